@@ -67,3 +67,10 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._orrery_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of tables that are written by now."""
+        import gc
+
+        gc.collect()
+        self.spark._jvm.System.gc()
