@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, html, pieces, pii, quality, simhash, suffixes, urls
+from orrery.llm import decontaminate, html, order, pieces, pii, quality, simhash, suffixes, toxicity, urls
+from orrery.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -23,6 +28,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialise(table(spark, sf_dir, "documents"), Scratch(spark).place("shards"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encoded(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
@@ -55,7 +64,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_quality_rules, op3_url_rules, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data)
+    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data)
     return {f.__name__: f for f in named}
 
 
