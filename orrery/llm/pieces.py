@@ -11,7 +11,7 @@ The search keeps a window of as many positions as the longest piece has
 characters. Whenever the backpointer paths of all positions in the window run
 through one boundary, the ids up to it are committed and forgotten, so memory does
 not grow with the text. Where no piece crosses a boundary (before a space, at a
-line feed) paths always converge; equal stretches between such boundaries have
+line feed, from a letter to a sign) paths always converge; equal stretches between such boundaries have
 equal ids, which a bounded memo uses.
 
 Decoding is exact for every text: spaces are only ever encoded by pieces, no space
@@ -37,7 +37,8 @@ MARK = "▁"
 #: Log-probabilities are whole multiples of 1 / SCALE, so sums are exact and ties are ties.
 SCALE = 1 << 20
 BYTE_LOG_P = -30 * SCALE
-MEMO = 400_000
+MEMO = 1_000_000
+LETTER, SIGN = r"[A-Za-z\u00C0-\u024F]", r"[^\w \n]"
 
 
 @dataclass
@@ -45,11 +46,13 @@ class Pieces:
     """A vocabulary: log-probability and id of each piece, and what each id decodes to."""
 
     log_p: dict[str, tuple[int, int]]
+    prefixes: dict[str, tuple[int, int] | None]  # log_p, and None for what is only the beginning of pieces
     byte_ids: list[int]
     decoded: list[bytes]
     longest: int
     splits: bool  # no piece has a space after another character, or a line feed
-    memo: dict[str, array] = field(default_factory=dict)
+    signs: bool  # no piece has a sign after a Latin letter
+    memo: dict[str, bytes] = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -76,47 +79,78 @@ def load(path: str = MODEL) -> Pieces:
     if -1 in byte_ids:
         raise ValueError("the model has no byte pieces")
     splits = not any(re.search(r"[^ ] |\n", p) for p in log_p)
-    return Pieces(log_p, byte_ids, decoded, max(map(len, log_p)), splits)
+    signs = not any(re.search(LETTER + SIGN, p) for p in log_p)
+    prefixes: dict[str, tuple[int, int] | None] = {p[:k]: None for p in log_p for k in range(1, len(p))}
+    return Pieces(log_p, prefixes | log_p, byte_ids, decoded, max(map(len, log_p)), splits, signs)
 
 
 def viterbi(text: str, p: Pieces) -> Iterator[list[int]]:
     """Committed runs of ids, in order; the state is bounded by the longest piece."""
-    longest, get, n = p.longest, p.log_p.get, len(text)
+    longest, step, n = p.longest, p.prefixes, len(text)
     base = 0  # the boundary up to which ids are committed; the lists begin there
-    score: list[int] = [0]
-    back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-    for end in range(1, n + 1):
-        best, frm, ids = None, end - 1, ()
-        for start in range(max(base, end - longest), end):
-            hit = get(text[start:end])
-            if hit is not None:
-                total = score[start - base] + hit[0]
-                if best is None or total > best:
-                    best, frm, ids = total, start, (hit[1],)
-        if best is None:
-            raw = text[end - 1].encode("utf-8", "surrogatepass")
-            best, ids = score[end - 1 - base] + BYTE_LOG_P * len(raw), tuple(p.byte_ids[b] for b in raw)
-        score.append(best)
-        back.append((frm, ids))
-        if end == n or end - base >= 2 * longest:
-            # Positions that a later piece may start at; at the end, the last alone.
-            live = {end} if end == n else set(range(max(base, end - longest + 1), end + 1))
+    score: list[int | None] = [0]
+    back: list[tuple[int, tuple[int, ...]] | None] = [None]  # where the best last piece begins, and its ids
+    for k in range(n + 1):
+        at = k - base
+        if at and (at == len(score) or score[at] is None):  # no piece ends here
+            raw = text[k - 1].encode("utf-8", "surrogatepass")
+            if at == len(score):
+                score.append(None)
+                back.append(None)
+            score[at], back[at] = score[at - 1] + BYTE_LOG_P * len(raw), (k - 1, tuple([p.byte_ids[b] for b in raw]))
+        if k == n or at >= 2 * longest:
+            # All paths on from here run through position k or a piece that spans it.
+            live = {k} if k == n else {k, *(b[0] for b in back[at + 1 :] if b is not None)}
             while len(live) > 1:
                 top = max(live)
                 live.remove(top)
                 live.add(back[top - base][0])
-            at = k = live.pop()
+            cut = here = live.pop()
             run: list[int] = []
-            while k > base:
-                k, ids = back[k - base]
+            while here > base:
+                here, ids = back[here - base]
                 run += reversed(ids)
             if run:
                 yield run[::-1]
-            del score[: at - base], back[: at - base]
-            base = at
+            del score[: cut - base], back[: cut - base]
+            base = cut
+            at = k - base
+            if k == n:
+                return
+        mine = score[at]
+        for end in range(k + 1, min(n, k + longest) + 1):
+            sub = text[k:end]
+            if sub not in step:
+                break
+            hit = step[sub]
+            if hit is not None:
+                to = end - base
+                while to >= len(score):
+                    score.append(None)
+                    back.append(None)
+                old = score[to]
+                if old is None or mine + hit[0] > old:
+                    score[to], back[to] = mine + hit[0], (k, (hit[1],))
 
 
+#: Stretches between boundaries that no piece crosses.
 STRETCH = re.compile(r"\n| *[^ \n]+| +")
+PART = re.compile(f"(?<={LETTER})(?={SIGN})")
+
+
+def _ids(s: str, p: Pieces, parts: list[str]) -> bytes:
+    """The ids of a stretch, through the memo."""
+    got = p.memo.get(s)
+    if got is None:
+        if len(parts) > 1:
+            got = b"".join([_ids(x, p, [x]) for x in parts])
+        else:
+            got = array("i", [i for run in viterbi(s, p) for i in run]).tobytes()
+        if len(s) <= 64:
+            if len(p.memo) >= MEMO:
+                p.memo.clear()
+            p.memo[s] = got
+    return got
 
 
 def encode(text: str | None, p: Pieces) -> array:
@@ -127,12 +161,8 @@ def encode(text: str | None, p: Pieces) -> array:
     for s in STRETCH.findall(text) if p.splits else [text]:
         got = memo.get(s)
         if got is None:
-            got = array("i", (i for run in viterbi(s, p) for i in run))
-            if len(s) <= 64:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[s] = got
-        out += got
+            got = _ids(s, p, PART.split(s) if p.signs else [s])
+        out.frombytes(got)
     return out
 
 

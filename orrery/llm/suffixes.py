@@ -178,7 +178,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, keep_first: bool = False)
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     every = scratch.cut(runs(docs), "runs")
-    buckets = every.groupBy("h").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("m > 1").select("h", "mixed")
+    # Written first: a join straight from two shuffles lets Spark split an anchor that very many texts share.
+    buckets = scratch.cut(every.groupBy("h").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("m > 1").select("h", "mixed"), "buckets")
     shared = scratch.cut(every.join(buckets, "h"), "shared")
     scratch.drop(every)
     scratch.sweep()
