@@ -5,15 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Type objects, as a type in text form needs a running session when this module is imported.
+DOUBLES = T.ArrayType(T.DoubleType())
+PEAK = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("amplitude", T.DoubleType())])
 
-@F.pandas_udf("array<double>")
+
+@F.pandas_udf(DOUBLES)
 def power(x: pd.Series) -> pd.Series:
     """Squared sizes of the bins 0 to W / 2 of the real Fourier transform."""
     return x.map(lambda v: np.abs(np.fft.rfft(np.asarray(v, float))) ** 2)
 
 
-@F.pandas_udf("bin int, amplitude double")
+@F.pandas_udf(PEAK)
 def dominant(x: pd.Series) -> pd.DataFrame:
     """The strongest bin but 0 (the lowest of equals) and its amplitude 2 |X| / W."""
     rows = []
@@ -24,7 +29,7 @@ def dominant(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bin", "amplitude"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def log_bands(x: pd.Series) -> pd.Series:
     """log(1e-8 + mean power) of four bands of about equal width over all bins of the standardised window."""
 
@@ -41,7 +46,7 @@ def log_bands(x: pd.Series) -> pd.Series:
 def slow(n_keep: int):
     """A UDF for the part of a window in the first ``n_keep`` bins."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def of(x: pd.Series) -> pd.Series:
         def keep(v: np.ndarray) -> np.ndarray:
             s = np.fft.rfft(np.asarray(v, float))

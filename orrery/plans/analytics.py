@@ -11,7 +11,6 @@ from orrery.plans import bindings as B
 from orrery.plans.registry import query
 
 W = B.WIDTH
-X = F.col("x")
 
 
 def r6(*cols: str):
@@ -35,7 +34,7 @@ SELECT donor_id, round(avg(z), 6) + 0.0 AS z_mean, round(stddev_pop(z), 6) AS z_
 FROM zs LEFT JOIN d2 USING (donor_id) LEFT JOIN runs USING (donor_id) GROUP BY donor_id""")
 def feature_pack(spark, d):
     """The twelve-feature pack; its first band holds the mean's zero and is left out of the comparison."""
-    rows = B.donors(spark, d).withColumns({"z": A.zscores(X), "b": spectral.log_bands("x")}).withColumn("dz", A.steps(F.col("z")))
+    rows = B.donors(spark, d).withColumns({"z": A.zscores(F.col("x")), "b": spectral.log_bands("x")}).withColumn("dz", A.steps(F.col("z")))
     z, dz = F.col("z"), F.col("dz")
     out = rows.select(
         "donor_id", F.abs(A.mean(z)).alias("z_mean"), A.std(z).alias("z_std"), F.array_min(z).alias("z_min"), F.array_max(z).alias("z_max"), A.mean(dz).alias("dz_mean"), A.std(dz).alias("dz_std"),
@@ -47,25 +46,25 @@ def feature_pack(spark, d):
 @query(f"""WITH {LONG}, {STATS}, c AS (SELECT donor_id, t, v - m AS c, d FROM long JOIN s USING (donor_id)), l AS (SELECT *, lead(c) OVER (PARTITION BY donor_id ORDER BY t) AS nx FROM c)
 SELECT l.donor_id, round(any_value(m), 6) AS mean, round(any_value(s.d), 6) AS std, round(regr_slope(c, t) * {W - 1}, 6) AS trend, round(avg(pow(c / s.d, 3)), 6) AS skew, round(avg(pow(c / s.d, 4)) - 3, 6) AS kurtosis, round(sum(c * nx) / sum(c * c), 6) AS acf1 FROM l JOIN s USING (donor_id) GROUP BY 1""")
 def interpretable_features(spark, d):
-    rows = B.donors(spark, d).select("donor_id", A.moments(X).alias("m")).select("donor_id", "m.*")
+    rows = B.donors(spark, d).select("donor_id", A.moments(F.col("x")).alias("m")).select("donor_id", "m.*")
     return rows.select("donor_id", *r6(*fidelity.FEATURES))
 
 
 @query(f"WITH {LONG}, s AS (SELECT donor_id, abs(v - lag(v) OVER (PARTITION BY donor_id ORDER BY t)) AS a FROM long) SELECT donor_id, round(sum(a) / {W - 1}, 6) AS tv FROM s GROUP BY 1")
 def total_variation(spark, d):
-    return B.donors(spark, d).select("donor_id", F.round(A.total_variation(X), 6).alias("tv"))
+    return B.donors(spark, d).select("donor_id", F.round(A.total_variation(F.col("x")), 6).alias("tv"))
 
 
 @query(f"""WITH {LONG}, c AS (SELECT donor_id, t + 1 AS k, sum(v) OVER (PARTITION BY donor_id ORDER BY t) AS cs, sum(v) OVER (PARTITION BY donor_id) AS total FROM long),
 e AS (SELECT donor_id, k, sqrt(k * ({W} - k) / {W}.0) * (cs / k - (total - cs) / ({W} - k)) AS c FROM c WHERE k < {W})
 SELECT donor_id, round(arg_max(c, round(abs(c), 9) * 1000000 - k / 1e6), 5) AS contrast, round(arg_max(k, round(abs(c), 9) * 1000000 - k / 1e6) / {W}.0, 6) AS split FROM e GROUP BY 1""")
 def cusum(spark, d):
-    return B.donors(spark, d).select("donor_id", A.cusum(X).alias("c")).select("donor_id", F.round("c.contrast", 5).alias("contrast"), F.round("c.split", 6).alias("split"))
+    return B.donors(spark, d).select("donor_id", A.cusum(F.col("x")).alias("c")).select("donor_id", F.round("c.contrast", 5).alias("contrast"), F.round("c.split", 6).alias("split"))
 
 
 @query(f"WITH {B.DONOR} SELECT donor_id, round(list_avg(x[{W - W // 4 + 1}:]) - list_avg(x[1:{W // 4}]), 6) AS persistence FROM donors")
 def persistence(spark, d):
-    return B.donors(spark, d).select("donor_id", F.round(A.persistence(X), 6).alias("persistence"))
+    return B.donors(spark, d).select("donor_id", F.round(A.persistence(F.col("x")), 6).alias("persistence"))
 
 
 _RESIDUAL = f"""pad AS (SELECT donor_id, t + 4 AS p, v FROM long UNION ALL SELECT donor_id, p, v FROM long, (SELECT unnest([0, 1, 2, 3]) AS p) WHERE t = 0 UNION ALL SELECT donor_id, {W} + p, v FROM long, (SELECT unnest([4, 5, 6, 7]) AS p) WHERE t = {W - 1}),
@@ -76,23 +75,23 @@ res AS (SELECT l.donor_id, l.t, any_value(l.v) - quantile_cont(p.v, 0.5) AS r FR
 f AS (SELECT donor_id, t, abs(r - med) > greatest(4 * mad, 1e-12) AS f FROM res JOIN m USING (donor_id) JOIN n USING (donor_id)), g AS (SELECT donor_id, f AND NOT coalesce(lag(f) OVER (PARTITION BY donor_id ORDER BY t), false) AS s FROM f)
 SELECT donor_id, CAST(count(*) FILTER (s) AS INTEGER) AS excursions FROM g GROUP BY 1""")
 def excursion_count(spark, d):
-    return B.donors(spark, d).select("donor_id", A.excursions(X).alias("excursions"))
+    return B.donors(spark, d).select("donor_id", A.excursions(F.col("x")).alias("excursions"))
 
 
 @query(f"WITH {LONG}, {_RESIDUAL} SELECT donor_id, round(arg_max(r, (round(abs(r), 9), -t)), 6) AS severity, round(arg_max(t, (round(abs(r), 9), -t)) / {W - 1}.0, 6) AS position FROM res GROUP BY 1")
 def signed_peak(spark, d):
-    return B.donors(spark, d).select("donor_id", A.signed_peak(X).alias("p")).select("donor_id", F.round("p.severity", 6).alias("severity"), F.round("p.position", 6).alias("position"))
+    return B.donors(spark, d).select("donor_id", A.signed_peak(F.col("x")).alias("p")).select("donor_id", F.round("p.severity", 6).alias("severity"), F.round("p.position", 6).alias("position"))
 
 
-@query(f"WITH {LONG}, s AS (SELECT donor_id, v - lag(v) OVER (PARTITION BY donor_id ORDER BY t) AS a FROM long) SELECT donor_id, round(stddev_pop(a), 6) AS std, round(quantile_cont(abs(a), 0.99), 6) AS p99, round(quantile_cont(abs(a), 0.999), 6) AS p999 FROM s GROUP BY 1")
+@query(f"WITH {LONG}, s AS (SELECT donor_id, v - lag(v) OVER (PARTITION BY donor_id ORDER BY t) AS a FROM long) SELECT donor_id, round(stddev_pop(a), 8) AS std, round(quantile_cont(abs(a), 0.99), 8) AS p99, round(quantile_cont(abs(a), 0.999), 8) AS p999 FROM s GROUP BY 1")
 def first_difference(spark, d):
-    s = B.donors(spark, d).withColumn("s", A.steps(X)).withColumn("a", F.transform("s", F.abs))
-    return s.select("donor_id", F.round(A.std(F.col("s")), 6).alias("std"), F.round(A.quantile(F.col("a"), 0.99), 6).alias("p99"), F.round(A.quantile(F.col("a"), 0.999), 6).alias("p999"))
+    s = B.donors(spark, d).withColumn("s", A.steps(F.col("x"))).withColumn("a", F.transform("s", F.abs))
+    return s.select("donor_id", F.round(A.std(F.col("s")), 8).alias("std"), F.round(A.quantile(F.col("a"), 0.99), 8).alias("p99"), F.round(A.quantile(F.col("a"), 0.999), 8).alias("p999"))
 
 
 @query(f"WITH {LONG} SELECT donor_id, CAST(coalesce(max(n), 0) AS INTEGER) AS run FROM (SELECT donor_id, hi, count(*) FILTER (hi) AS n FROM (SELECT donor_id, v > 40 AS hi, t - row_number() OVER (PARTITION BY donor_id, v > 40 ORDER BY t) AS g FROM long) GROUP BY donor_id, hi, g) GROUP BY 1")
 def longest_run(spark, d):
-    return B.donors(spark, d).select("donor_id", A.longest_run(F.transform(X, lambda v: v > 40)).alias("run"))
+    return B.donors(spark, d).select("donor_id", A.longest_run(F.transform(F.col("x"), lambda v: v > 40)).alias("run"))
 
 
 _NARROW = "nar AS (SELECT channel_idx, lo + 0.1 * (hi - lo) AS lo, hi - 0.3 * (hi - lo) AS hi FROM scaler)"
@@ -113,7 +112,7 @@ def pooled_acf(spark, d):
 
 @query(f"WITH {LONG}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT} SELECT channel_idx, CAST(k AS INTEGER) AS bin, round(avg((re * re + im * im) / {W}), 4) AS psd FROM dft WHERE k > 0 GROUP BY 1, 2")
 def mean_psd(spark, d):
-    c = B.donors(spark, d).select("channel_idx", A.let(A.mean(X), lambda m: F.transform(X, lambda v: v - m)).alias("x"))
+    c = B.donors(spark, d).select("channel_idx", A.let(A.mean(F.col("x")), lambda m: F.transform(F.col("x"), lambda v: v - m)).alias("x"))
     p = c.select("channel_idx", F.posexplode(spectral.power("x")).alias("bin", "p")).where("bin > 0")
     return p.groupBy("channel_idx", "bin").agg(F.round(F.avg("p") / W, 4).alias("psd"))
 
@@ -144,7 +143,7 @@ made AS (SELECT ph1.donor_id, ph1.channel_idx, family, t, CASE WHEN family = 'st
 @query(f"WITH {LONG}, {STATS}, {POSTHOC} SELECT donor_id, any_value(family) AS family, round(sum(y), 5) AS total, round(sum(y * t), 4) AS moment FROM made GROUP BY 1")
 def gallery_posthoc(spark, d):
     g = inject.posthoc(B.donors(spark, d), W, B.SEED)
-    return g.select("donor_id", "family", F.round(A.total(X), 5).alias("total"), F.round(A.total(F.transform(X, lambda v, t: v * t)), 4).alias("moment"))
+    return g.select("donor_id", "family", F.round(A.total(F.col("x")), 5).alias("total"), F.round(A.total(F.transform(F.col("x"), lambda v, t: v * t)), 4).alias("moment"))
 
 
 _RING = f"""ring AS (SELECT donor_id, channel_idx, row_number() OVER (PARTITION BY channel_idx ORDER BY CAST('0x' || substr(md5('{{seed}}:partner:' || donor_id), 1, 8) AS BIGINT), donor_id) - 1 AS spot, count(*) OVER (PARTITION BY channel_idx) AS n FROM donors),
@@ -160,13 +159,13 @@ SELECT donor_id, round(sum(y), 5) AS total, round(sum(y * t), 4) AS moment FROM
 def gallery_cutaddpaste(spark, d):
     """Without jitter, which SQL could state only at length; with it the gallery is tested by its properties."""
     g = inject.cutaddpaste(B.donors(spark, d), W, B.SEED, jitter=0.0)
-    return g.select("donor_id", F.round(A.total(X), 5).alias("total"), F.round(A.total(F.transform(X, lambda v, t: v * t)), 4).alias("moment"))
+    return g.select("donor_id", F.round(A.total(F.col("x")), 5).alias("total"), F.round(A.total(F.transform(F.col("x"), lambda v, t: v * t)), 4).alias("moment"))
 
 
 @query()
 def gallery_taxonomy(spark, d):
     g = inject.taxonomy(B.donors(spark, d), W, B.SEED)
-    return g.select("donor_id", "channel_idx", "family", F.round(A.total(X), 5).alias("total"))
+    return g.select("donor_id", "channel_idx", "family", F.round(A.total(F.col("x")), 5).alias("total"))
 
 
 @query(f"WITH {LONG}, {STATS}, {POSTHOC}, a AS (SELECT donor_id, max(v) - min(v) AS r FROM long GROUP BY 1), e AS (SELECT donor_id, t, v, CASE WHEN pow(v - y, 2) > 5.0 * greatest(r, 1e-12) THEN y ELSE v END AS e FROM long JOIN made USING (donor_id, t) JOIN a USING (donor_id)) SELECT donor_id, round(sum(e), 5) AS total, round(avg(CAST(e <> v AS INTEGER)), 6) AS changed_frac, bool_or(e <> v) AS changed FROM e GROUP BY 1")
@@ -429,7 +428,7 @@ def _g(p: str) -> str:
 
 @query(f"WITH {LONG} SELECT donor_id, round(sum(sqrt(0.5) * v + sqrt(0.5) * {_g('')}), 5) AS total FROM long GROUP BY 1")
 def q_sample(spark, d):
-    return models.q_sample(B.donors(spark, d), 0.5, B.SEED).select("donor_id", F.round(A.total(X), 5).alias("total"))
+    return models.q_sample(B.donors(spark, d), 0.5, B.SEED).select("donor_id", F.round(A.total(F.col("x")), 5).alias("total"))
 
 
 def _scaled(spark, d):
@@ -441,7 +440,7 @@ def _scaled(spark, d):
 def ddim_unguided(spark, d):
     train, base = _scaled(spark, d)
     out = models.ddim(base, models.fit_gaussians(train), nu=0.2, steps=20, seed=B.SEED)
-    return out.select("donor_id", "channel_idx", F.round(A.mean(X), 4).alias("mean"))
+    return out.select("donor_id", "channel_idx", F.round(A.mean(F.col("x")), 4).alias("mean"))
 
 
 @query()
@@ -451,13 +450,13 @@ def ddim_guided(spark, d):
     refs = (energy.references(base.orderBy("donor_id").limit(64))[0] - centre) @ basis
     guide = models.Guide(basis, centre, refs, 1.0, 1.0, 0.3)
     out = models.ddim(base, models.fit_gaussians(train), nu=0.2, steps=20, seed=B.SEED, guide=guide)
-    return out.select("donor_id", "channel_idx", F.round(A.mean(X), 4).alias("mean"))
+    return out.select("donor_id", "channel_idx", F.round(A.mean(F.col("x")), 4).alias("mean"))
 
 
 @query()
 def ppca_inflate(spark, d):
     train, base = _scaled(spark, d)
-    return models.ppca_inflate(base, models.fit_gaussians(train), seed=B.SEED).select("donor_id", "channel_idx", F.round(A.mean(X), 4).alias("mean"))
+    return models.ppca_inflate(base, models.fit_gaussians(train), seed=B.SEED).select("donor_id", "channel_idx", F.round(A.mean(F.col("x")), 4).alias("mean"))
 
 
 @query()
