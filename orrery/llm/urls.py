@@ -91,10 +91,15 @@ def resolve(base: Column, ref: Column) -> Column:
     )
 
 
-def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes of a page and of what it redirects to or names as canonical."""
+def page_edges(pages: DataFrame, scratch: Scratch, url: str = "url", html: str = "html") -> DataFrame:
+    """(a, b): nodes of a page and of what it redirects to or names as canonical.
+
+    Each step is written: the patterns run once for a link, and no plan repeats their expressions.
+    """
     seen = pages.select(F.col(url).alias("url"), F.explode(targets(F.coalesce(F.col(html), F.lit("")))).alias("ref")).where("ref <> ''")
-    return seen.select(key(F.col("url")).alias("a"), key(resolve(F.col("url"), F.col("ref"))).alias("b"))
+    seen = scratch.cut(seen, "links")
+    whole = scratch.cut(seen.select("url", resolve(F.col("url"), F.col("ref")).alias("to")), "resolved")
+    return scratch.cut(whole.select(key(F.col("url")).alias("a"), key(F.col("to")).alias("b")), "page-edges")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -103,7 +108,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
     ``redirects`` may add known redirects (from_url, to_url) to those found in the pages.
     """
     scratch = Scratch(pages.sparkSession)
-    edges = page_edges(pages, url, html)
+    edges = page_edges(pages, scratch, url, html)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(key(F.col("from_url")).alias("a"), key(F.col("to_url")).alias("b")))
     roots = components(edges, scratch)
