@@ -1,8 +1,9 @@
 """Training-order materialisation: token sequences written in a keyed random order.
 
-Texts are encoded, joined with an end mark and cut into sequences of ``LENGTH``
-ids; they are written once as a table whose rows carry their place (part, row), so
-retries and resumes see the same numbers. Places become dense indexes by prefix
+Texts are encoded by a public byte-level vocabulary (exact for every text), joined
+with an end mark and cut into sequences of ``LENGTH`` ids; they are written once as
+a table whose rows carry their place (part, row), so retries and resumes see the
+same numbers. Between the steps a sequence travels compressed. Places become dense indexes by prefix
 sums over the parts (one number for each input partition). A keyed Feistel network
 on the next power of two, with cycle-walking back into the range, permutes the
 indexes: every sequence gets its own global slot, and any slot can be traced back
@@ -20,7 +21,9 @@ two bytes, little endian; larger vocabularies take four.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -29,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm import pieces
 from orrery.llm.common import Scratch
 
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Fixed value: the pattern that splits texts before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
 PER_SHARD = 1024
-END = 2  # the end mark of the model
 PAD = 0
 ROUNDS = 6
+#: Longer runs without a change between blank and other characters are encoded piece by piece.
+RUN = 20_000
+_LONG = re.compile(rf"\S{{{RUN},}}|\s{{{RUN},}}")
 
 
 def _round(half: np.ndarray, key: int, n: int) -> np.ndarray:
@@ -69,30 +76,58 @@ def permuted(index: np.ndarray, total: int, key: int, back: bool = False) -> np.
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, text: str = "text", length: int = LENGTH, model: str = pieces.MODEL) -> DataFrame:
-    """(part, row, n_tokens, ids): packed sequences of each input partition, ids as bytes."""
-    loaded = pieces.load(model)
-    kind = np.dtype("<u2") if len(loaded.decoded) <= 1 << 16 else np.dtype("<u4")
+def load_ranks(path: str = RANKS) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+
+
+def encoder(ranks: dict[bytes, int]):
+    """The encoder of a vocabulary; the end mark is the id after its last."""
+    import tiktoken
+
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encode(text: str | None, enc) -> list[int]:
+    if not text:
+        return []
+    if len(text) < RUN or not _LONG.search(text):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in _LONG.finditer(text):
+        out += enc.encode_ordinary(text[at : m.start()])
+        for k in range(m.start(), m.end(), RUN):
+            out += enc.encode_ordinary(text[k : min(k + RUN, m.end())])
+        at = m.end()
+    return out + enc.encode_ordinary(text[at:])
+
+
+def sequences(docs: DataFrame, text: str = "text", length: int = LENGTH, ranks: str = RANKS) -> DataFrame:
+    """(part, row, n_tokens, packed): sequences of each input partition, their ids compressed."""
+    loaded = load_ranks(ranks)
+    end = max(loaded.values()) + 1
+    kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
     shared = docs.sparkSession.sparkContext.broadcast(loaded)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         part, row, rest = TaskContext.get().partitionId(), 0, array("i")
-        p = shared.value
+        enc, pack = encoder(shared.value), zstandard.ZstdCompressor(level=1).compress
 
         def out(ids: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
             nonlocal row
             raw = ids.astype(kind).reshape(-1, length)
             rows = list(range(row, row + len(raw)))
             row += len(raw)
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(raw), pa.int32()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), pa.array([x.tobytes() for x in raw], pa.binary())], ["part", "row", "n_tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(raw), pa.int32()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), pa.array([pack(x.tobytes()) for x in raw], pa.binary())], ["part", "row", "n_tokens", "packed"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 for t in whole.column(0).slice(at, 512).to_pylist():
-                    rest += pieces.encode(t, p)
-                    rest.append(END)
+                    rest.extend(encode(t, enc))
+                    rest.append(end)
                 n = len(rest) // length
                 if n:
                     yield out(np.array(rest[: n * length], np.int32), [length] * n)
@@ -100,7 +135,7 @@ def sequences(docs: DataFrame, text: str = "text", length: int = LENGTH, model:
         if len(rest):
             yield out(np.concatenate([np.array(rest, np.int32), np.full(length - len(rest), PAD, np.int32)]), [len(rest)])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(work, "part int, row long, n_tokens int, ids binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(work, "part int, row long, n_tokens int, packed binary")
 
 
 def _filesystem(path: str):
@@ -113,13 +148,13 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def materialise(docs: DataFrame, path: str, text: str = "text", key: int = 20240607, length: int = LENGTH, per_shard: int = PER_SHARD, model: str = pieces.MODEL) -> DataFrame:
+def materialise(docs: DataFrame, path: str, text: str = "text", key: int = 20240607, length: int = LENGTH, per_shard: int = PER_SHARD, ranks: str = RANKS) -> DataFrame:
     """Write the shards to ``path`` (a URI all executors reach); one row per sequence: slot, shard, offset, n_tokens, sha256.
 
     The returned table is a written one: the shards are complete when this returns.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    table = scratch.cut(sequences(docs, text, length, model), "sequences")
+    table = scratch.cut(sequences(docs, text, length, ranks), "sequences")
     # One row for each input partition.
     counts = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg((F.max("row") + 1).alias("n")).collect())
     first, total = {}, 0
@@ -131,15 +166,18 @@ def materialise(docs: DataFrame, path: str, text: str = "text", key: int = 20240
         for b in batches:
             base = np.fromiter((first[x] for x in b.column(0).to_pylist()), np.int64, b.num_rows)
             slot = permuted(base + b.column(1).to_numpy(), total, key) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(2), b.column(3)], ["shard", "slot", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(2), b.column(3)], ["shard", "slot", "n_tokens", "packed"])
 
     shards = -(-total // per_shard)
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = table.mapInArrow(slots, "shard long, slot long, n_tokens int, ids binary").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
+    placed = table.mapInArrow(slots, "shard long, slot long, n_tokens int, packed binary").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         fs, root = _filesystem(path)
         fs.create_dir(root, recursive=True)
         held: list[tuple[int, int, bytes]] = []
@@ -161,7 +199,7 @@ def materialise(docs: DataFrame, path: str, text: str = "text", key: int = 20240
             for s, n, ids in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if held and held[0][0] // per_shard != s // per_shard:
                     yield finish()
-                held.append((s, n, ids))
+                held.append((s, n, unpack(ids)))
         if held:
             yield finish()
 
