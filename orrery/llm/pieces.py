@@ -10,7 +10,9 @@ no piece covers falls back to byte pieces.
 The search keeps a window of as many positions as the longest piece has
 characters. Whenever the backpointer paths of all positions in the window run
 through one boundary, the ids up to it are committed and forgotten, so memory does
-not grow with the text. Where no piece crosses a boundary (before a space, at a
+not grow with the text. Should paths not converge (one character repeated over and
+over), their backpointers are kept until they do, and convergence is looked for each
+time the window has doubled, so time stays in proportion to the text. Where no piece crosses a boundary (before a space, at a
 line feed, from a letter to a sign) paths always converge; equal stretches between such boundaries have
 equal ids, which a bounded memo uses.
 
@@ -88,6 +90,7 @@ def viterbi(text: str, p: Pieces) -> Iterator[list[int]]:
     """Committed runs of ids, in order; the state is bounded by the longest piece."""
     longest, step, n = p.longest, p.prefixes, len(text)
     base = 0  # the boundary up to which ids are committed; the lists begin there
+    check = 2 * longest  # the window's size at which convergence is looked for
     score: list[int | None] = [0]
     back: list[tuple[int, tuple[int, ...]] | None] = [None]  # where the best last piece begins, and its ids
     for k in range(n + 1):
@@ -98,7 +101,7 @@ def viterbi(text: str, p: Pieces) -> Iterator[list[int]]:
                 score.append(None)
                 back.append(None)
             score[at], back[at] = score[at - 1] + BYTE_LOG_P * len(raw), (k - 1, tuple([p.byte_ids[b] for b in raw]))
-        if k == n or at >= 2 * longest:
+        if k == n or at >= check:
             # All paths on from here run through position k or a piece that spans it.
             live = {k} if k == n else {k, *(b[0] for b in back[at + 1 :] if b is not None)}
             while len(live) > 1:
@@ -117,6 +120,7 @@ def viterbi(text: str, p: Pieces) -> Iterator[list[int]]:
             at = k - base
             if k == n:
                 return
+            check = 2 * max(longest, at)
         mine = score[at]
         for end in range(k + 1, min(n, k + longest) + 1):
             sub = text[k:end]
