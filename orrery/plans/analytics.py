@@ -315,7 +315,7 @@ def c2st(spark, d):
     return fidelity.c2st(ids(real), ids(synth)).select(*r6("accuracy", "p_value"), "n_test")
 
 
-@query(f"WITH {SIDES}, rv AS (SELECT channel_idx AS g, v FROM real), sv AS (SELECT channel_idx AS g, v FROM synth), {W1} SELECT 'posthoc' AS method, round(avg(w1), 6) AS w1, CAST(NULL AS DOUBLE) AS acd FROM w1")
+@query(f"WITH {SIDES}, rv AS (SELECT channel_idx AS g, v FROM real), sv AS (SELECT channel_idx AS g, v FROM synth), {W1} SELECT 'posthoc' AS method, round(avg(w1), 6) AS w1, CAST(NULL AS DOUBLE) AS acd FROM w1 HAVING count(*) > 0")
 def metric_pivot(spark, d):
     w = fidelity.marginal_w1(*B.sides(spark, d)).select(F.lit("posthoc").alias("method"), F.lit("w1").alias("metric"), F.col("w1").alias("value"))
     return selection.pivot_metrics(w, ["w1", "acd"]).select("method", *r6("w1", "acd"))
