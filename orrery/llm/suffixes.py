@@ -209,7 +209,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_firs
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left)."""
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
-    spans = repeated_spans(own, scratch, keep_first)
+    spans = repeated_spans(own, scratch, keep_first).distinct()  # rows with one id and text give the same spans
     per = scratch.cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans").select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans")
     scratch.sweep()
     rows = own.join(per, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("doc_id", "text", F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))

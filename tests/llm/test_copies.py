@@ -142,6 +142,23 @@ def test_first_copy_stays(spark):
     assert {r["doc_id"]: r["n_removed"] for r in suffixes.dedup(docs, keep_first=True).collect()} == {1: 0, 2: 250, 3: 250}
 
 
+def test_repeated_rows_share_one_list_of_spans(spark, monkeypatch):
+    text = "".join(random.Random(4).choices("asdfgh ", k=3000))
+    docs = spark.createDataFrame([(None, text)] * 60 + [(1, "z" + text)], "doc_id long, text string")
+    sizes, cut = [], Scratch.cut
+
+    def seen(self, df, name):
+        out = cut(self, df, name)
+        if name == "spans":
+            sizes.extend(len(r["spans"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "cut", seen)
+    rows = suffixes.dedup(docs).collect()
+    assert len(rows) == 61 and {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in rows} == {(None, 3000, 1), (1, 3000, 1)}
+    assert max(sizes) <= 200  # the runs of one text, not those of sixty
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0 and suffixes.dedup(none).count() == 0
