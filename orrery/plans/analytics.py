@@ -443,11 +443,17 @@ def ddim_unguided(spark, d):
     return out.select("donor_id", "channel_idx", F.round(A.mean(F.col("x")), 4).alias("mean"))
 
 
+def guide_references(base, most=64):
+    """About ``most`` donors, equally many of each channel and one at least: the first in the keyed hash order of their ids."""
+    n = base.select("channel_idx").distinct().count()
+    return base.where(F.pmod("donor_id", F.lit(B.DONORS)) < -(-most // max(1, n)))
+
+
 @query()
 def ddim_guided(spark, d):
     train, base = _scaled(spark, d)
     basis, centre = models.fit_encoder(train, 4)
-    refs = (energy.references(base.orderBy("donor_id").limit(64))[0] - centre) @ basis
+    refs = (energy.references(guide_references(base))[0] - centre) @ basis
     guide = models.Guide(basis, centre, refs, 1.0, 1.0, 0.3)
     out = models.ddim(base, models.fit_gaussians(train), nu=0.2, steps=20, seed=B.SEED, guide=guide)
     return out.select("donor_id", "channel_idx", F.round(A.mean(F.col("x")), 4).alias("mean"))
