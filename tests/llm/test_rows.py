@@ -3,13 +3,15 @@
 import hashlib
 import itertools
 import re
+import time
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import html, order, pieces, pii, queries, toxicity, urls
+from orrery.llm import html, order, pieces, queries, toxicity, urls
 from orrery.llm.common import Scratch
 
 ODD = [None, "", " ", "a", "  two  spaces ", "line\n\nline\n", "▁ mark ▁", "<s> </s> <unk>", "naïve – “quotes” 漢字 😀‍", "x" * 5000, "ab " * 40_000, "\x00\x01", "...!!! a.b,c"]
@@ -53,12 +55,80 @@ another line of some length so that it scores.<p>Second &lt;one&gt;<br>goes on,
 
 
 def test_main_text():
-    assert html.main_text(PAGE) == "Title & more\nFirst paragraph, with a comma, and another line of some length so that it scores.\nSecond <one> goes on, and on, and on.\nitem one\nitem two"
+    assert html.main_text(PAGE) == "Title & more\n\nFirst paragraph, with a comma, and another line of some length so that it scores.\n\nSecond <one> goes on, and on, and on.\n\nitem one\n\nitem two"
     assert html.main_text("just text") == "just text"
     for x in (None, "", "<p>", "<div", "<!--", "<script>x", "<a href=x>only</a>", "</p></p>", "<p>" * 5000 + "deep", "<div>" * 20_000 + "deep, deep"):
         assert isinstance(html.main_text(x), str)
 
 
+LONG = "One sentence, two clauses, and some more words that make a paragraph."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><article><p>{LONG}</p></article><article><p>Short.</p></article></div>", [LONG, "Short."]),
+        (f"<main><div><p>{LONG}</p><p>{LONG}</p></div><div><p>The end.</p></div></main>", [LONG, LONG, "The end."]),
+        (f'<body><h2 id="related-work">Related work</h2><p class="lead related">{LONG}</p><p>{LONG}</p></body>', ["Related work", LONG, LONG]),
+        (f'<span class="ad">BUY <span>x</span> LEAKED</span><p>{LONG}</p>', [LONG]),
+        (f'<p>{LONG} <span class="ad">BUY <b>x</b> LEAKED</span> end</p>', [LONG + " end"]),
+        ("<p>a < b and 5 <6 or <3, " + LONG + "</p>", ["a < b and 5 <6 or <3, " + LONG]),
+        (f'<a href="x>text</a><p>{LONG}</p>', ["text", LONG]),
+        (f'<body class="has-sidebar"><form action="/"><div class="content-with-sidebar"><p>{LONG}</p></div><div class="sidebar"><p>{LONG[:30]}</p></div></form></body>', [LONG]),
+        (f'<div class="content-sidebar"><p>{LONG}</p><p>{LONG}</p></div><footer>{LONG}</footer>', [LONG, LONG]),
+        (f'<article><header><h1>Head</h1></header><p>{LONG}</p></article><header>Site</header>', ["Head", LONG]),
+        (f'<article><p>{LONG}</p></article><div class="comments"><article class="comment"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></div>', [LONG]),
+        (f"<article><p>{LONG}</p></article><footer><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></footer>", [LONG]),
+        (f'<article><p>{LONG}</p></article><div class="cookie-banner"><p>{LONG}</p><p>{LONG}</p></div><div class="site-notice">{LONG}</div>', [LONG]),
+        (f"<table><tr><td>{LONG}<td>two<tr><td>three</table>", [LONG, "two", "three"]),
+        (f"<ul><li>{LONG}<ul><li>in</ul><li>out</ul>", [LONG, "in", "out"]),
+        (f'<p>x&amp;y&nbsp;z &#x41;&lt;b&gt;</p><p hidden>no</p><p style="display: none">no</p><textarea><p>no</p></textarea><p>{LONG}', ["x&y z A<b>", LONG]),
+    ],
+)
+def test_pages_of_many_kinds(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
+class Plain(HTMLParser):
+    """The blocks inside article elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.blocks += [""] * (tag in ("article", "h1", "p"))
+        self.blocks[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.blocks += [""] * (tag in ("h1", "p"))
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_every_page_against_the_standard_parser(spark):
+    at = "/root/testdata/sf0.01"
+    texts = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    rows = queries.op7_main_text(spark, at).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        p = Plain()
+        p.feed(texts[r["page_id"]])
+        p.close()
+        want = "\n\n".join(x for x in (" ".join(b.split()) for b in p.blocks) if x)
+        assert r["text"] == want and r["n_chars"] == len(want)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<ul>", "<li>", "<b>", "<p><div>", "<td><p>", "<!", "<", '<a x="', "<a href=x>y", "</p>", "<div>x, y", "<script>", "<a" + " " * 99, "<span class=ad>", "<form>"])
+def test_a_million_characters_of_broken_markup(unit):
+    began = time.time()
+    html.main_text(unit * (1_000_000 // len(unit)) + '"')
+    assert time.time() - began < 20  # about a second on an idle core
+
+
 def test_pages_as_a_table(spark):
     rows = [(1, "u", PAGE, "c", 1, 2), (2, None, None, "c", 1, 2), (None, "u", "", "c", 1, 2), (1, "u", PAGE, "c", 1, 2)]
     got = html.extracted(pages(spark, rows)).collect()
@@ -109,54 +179,6 @@ def test_pieces_as_a_table(spark, model):
     assert pieces.encoded(docs.limit(0)).count() == 0
 
 
-def pattern_spans(text):
-    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        d = [int(c) for c in m[0] if c in "0123456789"]
-        if 16 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
-            out.append(("card", *m.span()))
-    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c in "0123456789" for c in m[0]) <= 15]
-
-
-def test_pattern_spans_over_whole_tables(spark):
-    at = "/root/testdata/sf0.01"
-    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
-    for r in queries.op10_personal_data(spark, at).collect():
-        want = pattern_spans(texts[r["doc_id"]])
-        kinds = [k for k, _, _ in want]
-        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [kinds.count(k) for k in pii.BASE_KINDS]
-        base = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
-        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and r["spans"].startswith(base)
-
-
-def test_field_decodes_the_best_path_and_cutting_loses_nothing():
-    crf = pii.model()
-    for text in ("set token = abc now", 'my password: hunter2-Zx9qk7Rw ok', "call (415) 555-0199 or mail maria(at)post(dot)net"):
-        ws = text.split()
-        e = np.stack([crf.score(w) for w in ws])
-        got = pii.viterbi(crf, [e], inner=False)[0]
-        value = lambda t: crf.start[t[0]] + e[range(len(t)), list(t)].sum() + sum(crf.move[a, b] for a, b in itertools.pairwise(t)) + crf.end[t[-1]]  # noqa: B023, E731
-        if len(ws) <= 5:
-            assert np.isclose(value(tuple(got)), max(value(t) for t in itertools.product(range(len(pii.TAGS)), repeat=len(ws))))
-        live = crf.open_words(ws)
-        assert all(t == 0 for w, t in zip(ws, got, strict=True) if w not in live)
-
-
-def test_field_learns_its_table():
-    crf = pii.model()
-    rows = pii.sentences()
-    wrong = sum((t != np.array(ts)).sum() for (ws, ts), t in zip(rows, (pii.viterbi(crf, [np.stack([crf.score(w) for w in ws])], inner=False)[0] for ws, _ in rows), strict=True))
-    assert wrong <= 0.02 * sum(len(ws) for ws, _ in rows)
-
-
-def test_redaction(spark):
-    docs = spark.createDataFrame([(1, "mail a.b@c.de now", 17, "x"), (2, None, None, "x"), (3, "", 0, "x")], "doc_id long, text string, n_chars long, spans string")
-    rows = {r["doc_id"]: r for r in pii.redact(docs).collect()}
-    assert rows[1]["text"] == "mail <email> now" and rows[1]["n_chars"] == 16 and rows[2]["text"] is None and rows[3]["text"] == ""
-    assert pii.find(docs.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("total", [1, 2, 3, 7, 64, 1000, 4097])
 def test_permutation(total):
     slots = order.permuted(np.arange(total), total, 99)
