@@ -3,7 +3,8 @@
 import re
 
 import corpus_pipeline
-from orrery.llm import decontaminate, pieces, pii, quality, simhash
+from test_nearcopies import five, similar
+from orrery.llm import decontaminate, pieces, pii, quality
 
 AT = "/root/testdata/sf0.001"
 
@@ -12,14 +13,14 @@ def test_stages_and_result(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "personal data", "SentencePiece encoding"]
     docs = spark.read.parquet(f"{AT}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.join(quality.judged(docs).where("kept").select("doc_id"), "doc_id").collect()}
-    fp = {i: simhash.fingerprint(t) for i, t in rows.items()}
+    sets = {i: five(t) for i, t in rows.items()}
     kept, left = [], sorted(rows)
-    while left:  # a group is what links reach; its smallest id stays
+    while left:  # a group is what links of five words and 0.8 reach; its smallest id stays
         front, left = [left[0]], left[1:]
         kept.append(front[0])
         while front:
             x = front.pop()
-            near = [y for y in left if (fp[x] ^ fp[y]).bit_count() <= 4]
+            near = [y for y in left if similar(sets[x], sets[y])]
             front += near
             left = [y for y in left if y not in near]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
