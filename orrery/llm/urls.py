@@ -8,10 +8,16 @@ classes of aliases. A URL without a rule of its own is blocked if some alias is
 blocked by a rule, unless some alias is explicitly allowed: explicit allows take
 precedence. A URL's own rule always decides for itself. Otherwise it is allowed.
 
-Only URLs and link targets leave the scan, never the html. Nodes are URLs without
-scheme and fragment, their host in lower case. Defined cases: null urls, and urls
+Every canonical link and every refresh of a page counts, but for those inside comments,
+scripts and styles; a base element moves relative targets. Only URLs and link targets
+leave the scan, never the html.
+
+Nodes are URLs without scheme, fragment, user and default port, their host in lower
+case, dot segments resolved; a page whose URL only so becomes one with a rule takes
+that rule's verdict if its class has none. Defined cases: null urls, and urls
 without "://", have empty host and path, no aliases, and are allowed; null or empty
-html has no links; repeated rows each get their row; a target need not be a page.
+html has no links; repeated rows each get their row; a target need not be a page;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +52,22 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def plain_path(p: Column) -> Column:
+    """A path without dot segments."""
+    stack = F.aggregate(
+        F.split(p, "/"),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.least(F.size(a), F.lit(1))))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+    )
+    end = F.when(p.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(stack, "/"), end)).otherwise(p)
+
+
 def key(url: Column) -> Column:
     """A URL's node: host, path ("/" if empty) and query; null if it has no host."""
-    h, p = host(url), path(url)
+    port = F.when(url.rlike("(?i)^[^:]*https://"), ":443$").otherwise(":80$")
+    h = F.regexp_replace(F.regexp_replace(host(url), F.lit("^.*@"), F.lit("")), port, F.lit(""))
+    p = plain_path(path(url))
     query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
     return F.when(h != "", F.concat(h, F.when(p == "", F.lit("/")).otherwise(p), query))
 
@@ -69,12 +88,24 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.concat(*[F.regexp_extract(tag, v, i) for i in (1, 2, 3)]))
 
 
+#: What hides links from a reader of the page.
+HIDING = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\b|\z)"
+LINK = r"""(?is)^<link\b[^>]*?\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""
+REFRESH = r"""(?is)^<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
+
+
 def targets(html: Column) -> Column:
-    """Array of the canonical link and the refresh target of a page, as written ("" where there is none)."""
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?\s*canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(_attribute(meta, "content"), r"""(?is)\burl\s*=\s*['"]?([^'"\s]+)""", 1)
-    return F.transform(F.array(_attribute(link, "href"), refresh), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    """Array of the canonical links and refresh targets of a page, as written, its base (or null) first."""
+    seen = F.when(html.rlike("(?i)canonical|refresh"), F.regexp_replace(html, HIDING, " ")).otherwise("")
+    tags = F.regexp_extract_all(seen, F.lit(r"(?is)<(?:link|meta|base)\b[^<>]*+>"), 0)
+
+    def of(tag: Column) -> Column:
+        refresh = F.regexp_extract(_attribute(tag, "content"), r"""(?is)\burl\s*=\s*['"]?([^'"\s]+)""", 1)
+        return F.when(tag.rlike(LINK), _attribute(tag, "href")).when(tag.rlike(REFRESH), refresh).otherwise("")
+
+    base = F.get(F.transform(F.filter(tags, lambda t: t.rlike("(?i)^<base")), lambda t: _attribute(t, "href")), 0)
+    found = F.filter(F.transform(tags, of), lambda x: x != "")
+    return F.transform(F.concat(F.array(base), F.array_distinct(found)), lambda x: F.regexp_replace(x, "(?i)&(amp|#38|#x26);", "&"))
 
 
 def resolve(base: Column, ref: Column) -> Column:
@@ -96,9 +127,10 @@ def page_edges(pages: DataFrame, scratch: Scratch, url: str = "url", html: str =
 
     Each step is written: the patterns run once for a link, and no plan repeats their expressions.
     """
-    seen = pages.select(F.col(url).alias("url"), F.explode(targets(F.coalesce(F.col(html), F.lit("")))).alias("ref")).where("ref <> ''")
-    seen = scratch.cut(seen, "links")
-    whole = scratch.cut(seen.select("url", resolve(F.col("url"), F.col("ref")).alias("to")), "resolved")
+    found = pages.select(F.col(url).alias("url"), targets(F.coalesce(F.col(html), F.lit(""))).alias("t")).where(F.size("t") > 1)
+    found = scratch.cut(found.select("url", F.get("t", 0).alias("base"), F.explode(F.slice("t", 2, F.size("t") - 1)).alias("ref")), "links")
+    at = found.select("url", F.when(F.coalesce("base", F.lit("")) != "", resolve(F.col("url"), F.col("base"))).otherwise(F.col("url")).alias("at"), "ref")
+    whole = scratch.cut(at.select("url", resolve(F.coalesce("at", "url"), F.col("ref")).alias("to")), "resolved")
     return scratch.cut(whole.select(key(F.col("url")).alias("a"), key(F.col("to")).alias("b")), "page-edges")
 
 
@@ -114,11 +146,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
     roots = components(edges, scratch)
     as_url = F.concat(F.lit("http://"), F.col("node"))
     ruled = roots.select("node", "root", rule(host(as_url), path(as_url), rules)["verdict"].alias("v"))
-    verdicts = scratch.cut(ruled.groupBy("root").agg(F.bool_or(F.col("v").eqNullSafe("block")).alias("blocked"), F.bool_or(F.col("v").eqNullSafe("allow")).alias("allowed")).where("blocked AND NOT allowed").select("root"), "blocked")
-    aliases = scratch.cut(roots.join(verdicts, "root", "left_semi").select(F.col("node").alias("k")), "aliases")
+    verdict = F.when(F.bool_or(F.col("v").eqNullSafe("allow")), "allow").when(F.bool_or(F.col("v").eqNullSafe("block")), "block")
+    verdicts = scratch.cut(ruled.groupBy("root").agg(verdict.alias("spread")).where("spread IS NOT NULL"), "verdicts")
+    aliases = scratch.cut(roots.join(verdicts, "root").select(F.col("node").alias("k"), "spread"), "aliases")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"))
     own = own.select("page_id", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), path(F.col("url")).alias("path"), key(F.col("url")).alias("node"))
-    own = own.withColumn("r", rule(F.col("host"), F.col("path"), rules))
+    as_url = F.concat(F.lit("http://"), F.col("node"))
+    own = own.withColumns({"r": rule(F.col("host"), F.col("path"), rules), "n": rule(host(as_url), path(as_url), rules)["verdict"]})
     rows = own.join(aliases, own["node"] == aliases["k"], "left")
-    spread = F.when(F.col("k").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), spread).alias("verdict"))
+    return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("spread"), F.col("n"), F.lit("allow")).alias("verdict"))

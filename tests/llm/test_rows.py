@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import time
 from html.parser import HTMLParser
@@ -39,6 +40,48 @@ def test_rules_and_redirects(spark):
     assert urls.judge(pages(spark, [])).count() == 0
 
 
+def test_links_that_are_easily_lost(spark):
+    canon = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://b.com/x/y", canon.format("../de/9")), (2, "http://b.com/x/z", canon.format("http://b.com:80/de/./9")), (3, "http://c.net/1", "<!-- " + canon.format("http://b.com/de/9") + " -->"),
+        (4, "http://c.net/2", canon.format("http://c.net/3") + canon.format("http://b.com/de/8")), (5, "http://c.net/4", '<meta http-equiv=refresh content="5; URL=\'http://c.net/5\'"><meta http-equiv="Refresh" content="0;url=//b.com/de/7">'),
+        (6, "http://c.net/6", f"<script>var x = '{canon.format('http://b.com/de/9')}'</script>"), (7, "http://c.net/7", '<base href="http://b.com/de/">' + canon.format("1")), (8, "https://b.com:443/fr/../x/../de/3", None),
+        (9, "http://c.net/9", "<LINK HREF=http://b.com/de/9?a=1&amp;b=2 REL=canonical>"), (10, "http://c.net/10", '<link rel="alternate" href="http://b.com/de/9">'), (11, "http://user:pw@c.net:8080/", canon.format("http://b.com/de/9")), (12, "http://c.net:8080/", ""),
+        (13, "http://c.net/../..", canon.format("/..")), (14, "http://b.com/de", canon.format("?x")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, [(*r, "c", 1, 2) for r in rows])).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 4, 5, 7, 8, 9, 11, 12}
+
+
+def test_classes_of_100_000_links_with_a_hub(spark):
+    rnd = random.Random(8)
+    hub = [(f"http://h{i}.net/", "http://hub.net/") for i in range(40_000)]
+    chains = [(f"http://c.net/{i}/{j}", f"http://c.net/{i}/{j + 1}") for i in range(800) for j in range(40)]
+    rings = [(f"http://r.net/{i}/{j}", f"http://r.net/{i}/{(j + 1) % 5}") for i in range(4000) for j in range(5)]
+    loose = [(f"http://l.net/{rnd.randrange(9000)}", f"http://l.net/{rnd.randrange(9000)}") for _ in range(8000)]
+    ends = [("http://h7.net/", "http://b.com/de/1"), ("http://c.net/3/20", "http://b.com/de/2"), ("http://c.net/3/40", "http://x.org/"), ("http://c.net/9/1", "http://b.com/de/3"), ("http://r.net/44/0", "http://b.com/de/4"), ("http://l.net/5", "http://b.com/de/5")]
+    edges = [*hub, *chains, *rings, *loose, *ends]
+    assert len(edges) > 100_000
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    groups = {}
+    for x in root:
+        groups.setdefault(find(x), []).append(x)
+    bad = {x for g in groups.values() if any("/de/" in x for x in g) and not any(".org" in x for x in g) for x in g}
+    asked = sorted({a for a, _ in edges})
+    table = spark.createDataFrame([(k, x, "") for k, x in enumerate(asked)], "page_id long, url string, html string")
+    got = {asked[r["page_id"]] for r in urls.judge(table, redirects=spark.createDataFrame(edges, "from_url string, to_url string")).collect() if r["verdict"] == "block"}
+    assert got == bad & set(asked) and len(got) > 40_000
+
+
 def test_rules_against_plain_python(spark):
     for r in queries.op3_url_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), "page_id").collect():
         m = re.match(r"[\s\S]*?://([^/?#]*)([^?#]*)", r["url"] or "")
