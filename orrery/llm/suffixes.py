@@ -1,25 +1,25 @@
-"""Removal of byte strings that occur elsewhere, by suffix order and previous factors.
+"""Removal of byte strings that occur elsewhere, by suffix order and longest previous factors.
 
-A suffix of a text has an earlier match of ``WIDTH`` bytes or more if its longest
-previous factor is that long. In suffix order such suffixes stand next to each
-other; the previous smaller position among neighbours that share ``WIDTH`` bytes
-is the earlier match, and a suffix without one is the first copy. Only matches of
-``WIDTH`` bytes count, so suffixes are ordered by their first ``WIDTH`` bytes
-alone (by two independent 64-bit names of them; what order unequal ones have does
-not matter), equal ones by place in the corpus.
+The longest previous factor of a suffix is its longest match with one that begins
+earlier in the corpus. It stands at the previous or the next smaller position in suffix
+order, and its length is the least common prefix on the way there. A suffix whose
+factor has ``WIDTH`` bytes or more is a later copy; one that has only such neighbours
+after it is a first copy.
 
 One suffix array of the corpus would be one sort of every byte. Instead the
 suffixes are dealt out by a winnowed anchor: the smallest 32-byte gram among the
-first 200 bytes. Equal suffixes have equal anchors at equal offsets, so each
-bucket of anchors can be ordered on its own, and
+first 200 bytes. Suffixes that share 200 bytes have equal anchors at equal offsets, so
+each bucket of anchors has a suffix array of its own, and
 
 1. anchors that occur once (nearly all) leave after one count;
-2. runs of suffixes around an anchor, equal byte for byte with another run, are
-   counted by a digest of their bytes; the first of them stands for all;
-3. only different runs with one anchor are compared: their bytes are fetched, and
-   their suffixes put in order in numpy, many buckets a batch. A bucket with more
+2. runs of suffixes around an anchor that are equal throughout (by anchor and digest,
+   two 64-bit hashes) are counted; the first of them stands for all;
+3. only different runs with one anchor are compared: their bytes are fetched, and put in
+   suffix order in numpy, many buckets a batch: ranks of 8, 16 ... 128 bytes by prefix
+   doubling, common prefixes from the ranks, smaller positions by pointer jumping.
+   Suffixes are ordered by ``WIDTH`` bytes, equal ones by place. A bucket with more
    than ``CROWD`` different runs is not gathered: its suffixes become rows, which
-   Spark groups by name.
+   Spark groups by two 64-bit hashes of their ``WIDTH`` bytes.
 
 Every table that is reused is written to the shared folder. Sizes: one anchor for
 about 70 bytes in (1), the repeated ones in (2), the edges of copies in (3).
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from orrery.llm.anchors import WIDTH, grams, winnow
 from orrery.llm.common import Scratch
 
-CROWD = 20_000
+CROWD = 2_000
 _SLICE = 256
 
 
@@ -99,25 +99,73 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, h long, n long, first int, bytes binary")
 
 
-def _suffixes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, offset, name, name): every suffix of at least WIDTH bytes of the runs."""
+def _starts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, owner, offset, at): every suffix of at least WIDTH bytes of the runs, in their order, and where it begins in the joined bytes."""
     data = np.frombuffer(b"".join(raw), np.uint8)
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     counts = lens - WIDTH + 1
     owner = np.repeat(np.arange(len(raw)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = offset + np.repeat(np.cumsum(lens) - lens, counts)
-    return owner, offset, grams(data, WIDTH, 1)[at], grams(data, WIDTH, 77)[at]
-
-
-def previous_factors(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(has an earlier match, has any match) of suffixes given in corpus order."""
-    order = np.argsort(a, kind="stable")  # suffix order; equal suffixes stay in corpus order
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    earlier, any_ = np.zeros(len(a), bool), np.zeros(len(a), bool)
-    earlier[order[1:]] = same
-    any_[order[1:]] = same
-    any_[order[:-1]] |= same
+    return data, owner, offset, offset + np.repeat(np.cumsum(lens) - lens, counts)
+
+
+def ranks(data: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """For 8, 16, 32 ... bytes up to ``width``: the rank of the string of that length at every place (zeros follow the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + len(data)]
+    out, have = {8: np.unique(word, return_inverse=True)[1].astype(np.uint64)}, 8
+    while 2 * have <= width:
+        r = out[have]
+        after = np.zeros_like(r)
+        after[: max(len(r) - have, 0)] = r[have:]
+        have *= 2
+        out[have] = np.unique((r << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64)
+    return out
+
+
+def suffix_array(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): suffixes of each bucket by their first ``width`` bytes, equal ones as given, and what each shares with the one before (up to ``width``)."""
+    level = ranks(data, width)
+    top = max(level)
+    order = np.lexsort(((level[top][at] << np.uint64(32)) | level[top][at + width - top], bucket))
+    i, j = at[order[1:]], at[order[:-1]]
+    n = np.zeros(len(i), np.int64)
+    for size in sorted(level, reverse=True):
+        fits = n + size <= width
+        step = np.minimum(n, width - size)
+        n += size * (fits & (level[size][i + step] == level[size][j + step]))
+    for _ in range(7):
+        fits = n < width
+        step = np.minimum(n, width - 1)
+        n += fits & (data[i + step] == data[j + step])
+    n[bucket[order[1:]] != bucket[order[:-1]]] = 0
+    return order, np.concatenate(([0], n)) if len(order) else n
+
+
+def match_before(order: np.ndarray, lcp: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """For each place in suffix order: what it shares with the previous smaller position, as far as that is ``width`` or more (else less)."""
+    to, m = np.arange(len(order)) - 1, lcp.copy()
+    live = np.flatnonzero((m >= width) & (order[to] > order))
+    while len(live):
+        via = to[live]
+        m[live] = np.minimum(m[live], m[via])
+        to[live] = to[via]
+        live = live[(m[live] >= width) & (order[to[live]] > order[live])]
+    return m
+
+
+def previous_factors(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(has an earlier match, has any match) of ``width`` bytes in the bucket, of suffixes given in corpus order."""
+    earlier, any_ = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    if not len(at):
+        return earlier, any_
+    order, lcp = suffix_array(data, at, bucket, width)
+    after = np.concatenate((lcp[1:], [0]))
+    factor = np.maximum(match_before(order, lcp, width), match_before(order[::-1], after[::-1], width)[::-1])
+    earlier[order] = factor >= width
+    any_[order] = np.maximum(lcp, after) >= width
     return earlier, any_
 
 
@@ -129,8 +177,8 @@ def _matched(keep_first: bool):
 
         def spans(t: pa.Table) -> pa.RecordBatch | None:
             raw = t.column("bytes").to_pylist()
-            owner, offset, a, b = _suffixes(raw)
-            earlier, any_ = previous_factors(owner, a, b)
+            data, owner, offset, at = _starts(raw)
+            earlier, any_ = previous_factors(data, at, t.column("h").to_numpy()[owner])
             n, first = t.column("n").to_numpy(), t.column("first").to_numpy()
             hit = earlier if keep_first else any_ & (n[owner] == 1)
             owner, start = owner[hit], offset[hit] + first[owner[hit]]
@@ -165,7 +213,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _sliced(batches, 4096):
         if not b.num_rows:
             continue
-        owner, offset, x, y = _suffixes(b.column("bytes").to_pylist())
+        data, owner, offset, at = _starts(b.column("bytes").to_pylist())
+        x, y = grams(data, WIDTH, 1)[at], grams(data, WIDTH, 77)[at]
         take = pa.array(owner)
         start = offset + b.column("first").to_numpy()[owner]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("th").take(take), b.column("n").take(take), pa.array(start.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["doc_id", "th", "n", "start", "x", "y"])

@@ -136,6 +136,47 @@ def test_repeated_bytes(spark, tmp_path, monkeypatch, crowd):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_factors_are_the_definition():
+    rnd = random.Random(12)
+    for _ in range(300):
+        width = rnd.choice([8, 9, 13, 20, 33])
+        data = np.frombuffer("".join(rnd.choice("ab") for _ in range(rnd.randint(width, 120))).encode() * rnd.choice([1, 1, 3]), np.uint8)
+        at = np.array(sorted(rnd.sample(range(len(data) - width + 1), rnd.randint(1, len(data) - width + 1))))
+        bucket = np.array([rnd.randrange(2) for _ in at])
+        raw, text = [data[i : i + width].tobytes() for i in at], data.tobytes()
+        order, lcp = suffixes.suffix_array(data, at, bucket, width)
+        assert order.tolist() == sorted(range(len(at)), key=lambda k: (bucket[k], raw[k], k))
+        for k in range(1, len(order)):
+            a, b = order[k - 1], order[k]
+            same = next((n for n in range(width) if raw[a][n] != raw[b][n]), width) if bucket[a] == bucket[b] else 0
+            assert lcp[k] == same
+        earlier, any_ = suffixes.previous_factors(data, at, bucket, width)
+        for k in range(len(at)):
+            twins = [j for j in range(len(at)) if j != k and bucket[j] == bucket[k] and raw[j] == raw[k]]
+            assert any_[k] == bool(twins) and earlier[k] == any(j < k for j in twins), text
+        # In any other order of the suffixes, too, smaller positions give the longest earlier match.
+        shuffled = np.array(rnd.sample(range(len(at)), len(at)))
+        common = np.array([0] + [rnd.choice([0, width, width]) for _ in at[1:]])
+        got = np.maximum(suffixes.match_before(shuffled, common, width), suffixes.match_before(shuffled[::-1], np.append(common[1:], 0)[::-1], width)[::-1]) >= width
+        for k in range(len(at)):
+            lo = k
+            while common[lo] >= width:
+                lo -= 1
+            hi = k
+            while hi + 1 < len(at) and common[hi + 1] >= width:
+                hi += 1
+            assert got[k] == any(shuffled[j] < shuffled[k] for j in range(lo, hi + 1))
+
+
+def test_a_text_beyond_one_chunk(spark):
+    rnd = random.Random(2)
+    part = "".join(rnd.choices("abcdefgh \n", k=3000))
+    filler = "".join(rnd.choices("ijklmnop", k=4_300_000))
+    docs = spark.createDataFrame([(1, part + filler), (None, filler[-1000:] + part)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.dedup(docs).collect()}
+    assert got == {1: (4000, 2), None: (4000, 1)}
+
+
 def test_first_copy_stays(spark):
     s = "".join(random.Random(9).choices("qwertz ", k=250))
     docs = spark.createDataFrame([(1, "a" + s), (2, "b" + s), (3, s + "c")], "doc_id long, text string")
