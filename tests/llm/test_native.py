@@ -19,7 +19,7 @@ def cases():
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("native")
-    items = [(1, ITEM), (2, "two words"), (3, None), (4, ""), (5, ITEM), (10, "école École naïve"), (11, "w" * 300)]
+    items = [(1, ITEM), (2, "two words"), (3, None), (4, ""), (5, ITEM), (10, "école École naïve"), (11, "w" * 300), (None, ITEM), (None, "two words"), (12, ITEM + " nu xi")]
     spark.createDataFrame(cases(), DOCS).coalesce(1).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{at}/benchmark.parquet")
     return str(at)
@@ -80,6 +80,18 @@ def test_ablation_is_what_the_bits_say(spark, folder):
         assert r["failed"] == sum(b >> bit & 1 for b in hit) and r["only_this_rule"] == sum(b == 1 << bit for b in hit)
 
 
+def test_a_ledger_of_other_rules(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rules = (quality.Rule(3, "too_short", "n_words < 20"), quality.Rule(0, "repeated_words", "100 * n_repeat_words > 30 * n_words"), quality.Rule(5, "long", "n_words > 100"))
+    policy = quality.Policy("brief", 2, ("too_short", "long"))
+    rows = quality.judged(docs, policy=policy, rules=rules).collect()
+    assert {r["kept"] for r in rows} == {True, False}
+    for r in rows:
+        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and r["n_words"] <= 100)
+    assert quality.keep(docs, policy=policy, rules=rules).count() == sum(r["kept"] for r in rows)
+
+
 def test_main_path_has_no_python(spark, folder):
     for name in ("op2_quality_rules", "op8_decontaminate"):
         plan = queries.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
