@@ -100,9 +100,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: t
     return measured.withColumn("fail_bits", failure_bits(rules))
 
 
-def fails(policy: Policy, bits: Column | None = None) -> Column:
-    """Does a ledger row break the policy?"""
-    return (F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(mask(policy))) != 0
+def fails(policy: Policy, bits: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Does a row of a ledger made with ``rules`` break the policy?"""
+    return (F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(mask(policy, rules))) != 0
 
 
 def ablation(rows: DataFrame, policies: tuple[Policy, ...] = (BASE, STANDARD), rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -123,13 +123,14 @@ def ablation(rows: DataFrame, policies: tuple[Policy, ...] = (BASE, STANDARD), r
     return one.select(F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(v).alias("version"), F.lit(n).alias("rule"), F.col(f"f{k}").alias("failed"), F.col(f"o{k}").alias("only_this_rule")) for k, (p, v, n) in enumerate(keys)])))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", policy: Policy = STANDARD) -> DataFrame:
-    """The ledger with ``base_failed`` and the policy's ``kept``."""
-    return ledger(docs, id_col, text).withColumns({"base_failed": fails(BASE), "kept": ~(fails(BASE) | fails(policy))})
+def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with ``base_failed`` and the policy's ``kept``; ``rules`` must have those of ``BASE``."""
+    base = fails(BASE, rules=rules)
+    return ledger(docs, id_col, text, rules).withColumns({"base_failed": base, "kept": ~(base | fails(policy, rules=rules))})
 
 
-def keep(docs: DataFrame, text: str = "text", policy: Policy = STANDARD) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass the policy, with their own columns."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(text).alias("text"))
-    rows = measure(own).select("d", "m.*").withColumn("fail_bits", failure_bits())
-    return rows.where(~(fails(BASE) | fails(policy))).select("d.*")
+    rows = measure(own).select("d", "m.*").withColumn("fail_bits", failure_bits(rules))
+    return rows.where(~(fails(BASE, rules=rules) | fails(policy, rules=rules))).select("d.*")
