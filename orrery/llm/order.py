@@ -4,7 +4,7 @@ Texts are encoded by a public byte-level vocabulary (exact for every text), join
 with an end mark and cut into sequences of ``LENGTH`` ids; they are written once as
 a table whose rows carry their place (part, row), so retries and resumes see the
 same numbers. Between the steps a sequence travels compressed. Places become dense indexes by prefix
-sums over the parts (one number for each input partition). A keyed Feistel network
+sums over the parts, a small table. A keyed Feistel network
 on the next power of two, with cycle-walking back into the range, permutes the
 indexes: every sequence gets its own global slot, and any slot can be traced back
 without a table. Slots are range-partitioned by shard; each task writes whole
@@ -16,7 +16,9 @@ and resume at any slot by one seek.
 Defined cases: null and empty texts give an end mark alone; an empty table gives no
 sequences and no shards; repeated rows are sequences of their own; the last
 sequence of a part is padded (``n_tokens`` says how much of it counts). Ids are
-two bytes, little endian; larger vocabularies take four.
+two bytes, little endian; larger vocabularies take four. Very long texts are encoded
+whole. Sequences follow the splits of the input: the same files read with the same
+settings give the same order, and the written table fixes it for good.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import Scratch
@@ -41,9 +43,11 @@ LENGTH = 2048
 PER_SHARD = 1024
 PAD = 0
 ROUNDS = 6
-#: Longer runs without a change between blank and other characters are encoded piece by piece.
-RUN = 20_000
-_LONG = re.compile(rf"\S{{{RUN},}}|\s{{{RUN},}}")
+#: So many rows of two numbers are broadcast.
+FEW = 1_000_000
+#: Runs of blanks from this length on are cut out by hand, as the pattern's look-ahead would overflow; ids are the same.
+RUN = 10_000
+_LONG = re.compile(rf"[^\S\x1c-\x1f]{{{RUN},}}")
 
 
 def _round(half: np.ndarray, key: int, n: int) -> np.ndarray:
@@ -89,16 +93,17 @@ def encoder(ranks: dict[bytes, int]):
 
 
 def encode(text: str | None, enc) -> list[int]:
+    """The ids of a text. Of a run of blanks all but the last are one piece (all, at the end); the last goes with what follows."""
     if not text:
         return []
     if len(text) < RUN or not _LONG.search(text):
         return enc.encode_ordinary(text)
     out, at = [], 0
     for m in _LONG.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
         out += enc.encode_ordinary(text[at : m.start()])
-        for k in range(m.start(), m.end(), RUN):
-            out += enc.encode_ordinary(text[k : min(k + RUN, m.end())])
-        at = m.end()
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
     return out + enc.encode_ordinary(text[at:])
 
 
@@ -155,22 +160,24 @@ def materialise(docs: DataFrame, path: str, text: str = "text", key: int = 20240
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     table = scratch.cut(sequences(docs, text, length, ranks), "sequences")
-    # One row for each input partition.
-    counts = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg((F.max("row") + 1).alias("n")).collect())
-    first, total = {}, 0
-    for part, n in counts:
-        first[part] = total
-        total += n
+    # One row for each input partition, and running sums within and over groups of them.
+    parts = table.groupBy("part").agg((F.max("row") + 1).alias("n")).withColumn("g", F.floor(F.col("part") / 1024))
+    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # a row for 1,024 parts
+    tops = parts.groupBy("g").agg(F.sum("n").alias("gn")).select("g", F.coalesce(F.sum("gn").over(before), F.lit(0)).alias("top"))
+    inside = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = scratch.cut(parts.join(tops, "g").select("part", "n", (F.col("top") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")), "firsts")
+    sums = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("parts")).first()
+    total = int(sums["total"])
+    placed = table.join(F.broadcast(firsts) if sums["parts"] <= FEW else firsts, "part").select((F.col("first") + F.col("row")).alias("index"), "n_tokens", "packed")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base = np.fromiter((first[x] for x in b.column(0).to_pylist()), np.int64, b.num_rows)
-            slot = permuted(base + b.column(1).to_numpy(), total, key) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(2), b.column(3)], ["shard", "slot", "n_tokens", "packed"])
+            slot = permuted(b.column(0).to_numpy(), total, key) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(1), b.column(2)], ["shard", "slot", "n_tokens", "packed"])
 
     shards = -(-total // per_shard)
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = table.mapInArrow(slots, "shard long, slot long, n_tokens int, packed binary").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
+    placed = placed.mapInArrow(slots, "shard long, slot long, n_tokens int, packed binary").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
