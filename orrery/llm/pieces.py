@@ -18,7 +18,13 @@ equal ids, which a bounded memo uses.
 
 Decoding is exact for every text: spaces are only ever encoded by pieces, no space
 is added or dropped, and the space mark itself, if a text has it, goes through
-byte pieces. Null and empty texts have no ids. Rows are independent.
+byte pieces. Null and empty texts have no ids; ids that are null decode to null; ids
+beyond the vocabulary, and bytes that are no UTF-8, decode to U+FFFD; control ids to
+nothing. Rows are independent, so repeated rows and ties do not matter; very long texts
+are encoded whole; empty tables give empty ones; other columns are ignored.
+
+Ids are those of the best path under these probabilities, without a space put before
+the text; a model of merges, applied merge by merge, cuts some words otherwise.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ MARK = "▁"
 #: Log-probabilities are whole multiples of 1 / SCALE, so sums are exact and ties are ties.
 SCALE = 1 << 20
 BYTE_LOG_P = -30 * SCALE
-MEMO = 1_000_000
+MEMO = 300_000
 LETTER, SIGN = r"[A-Za-z\u00C0-\u024F]", r"[^\w \n]"
 
 
@@ -171,8 +177,29 @@ def encode(text: str | None, p: Pieces) -> array:
 
 
 def decode(ids, p: Pieces) -> str:
-    d = p.decoded
-    return b"".join([d[i] for i in ids]).decode("utf-8", "surrogatepass")
+    """The text of ids; what has no meaning becomes U+FFFD."""
+    d, n = p.decoded, len(p.decoded)
+    raw = b"".join([d[i] if 0 <= i < n else b"\xef\xbf\xbd" for i in ids])
+    try:
+        return raw.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace")
+
+
+def decoded(rows: DataFrame, id_col: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
+    """One row per row: doc_id and the text of its ids."""
+    shared = rows.sparkSession.sparkContext.broadcast(load(model))
+    own = rows.select(F.col(id_col).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                texts = [None if x is None else decode([-1 if i is None else i for i in x], p) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return own.mapInArrow(work, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:

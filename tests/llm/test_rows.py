@@ -220,6 +220,10 @@ def test_pieces_as_a_table(spark, model):
     rows = pieces.encoded(docs).collect()
     assert len(rows) == len(ODD) + 2 and all(r["exact"] for r in rows)
     assert pieces.encoded(docs.limit(0)).count() == 0
+    back = pieces.decoded(pieces.encoded(docs).withColumn("text", F.lit("clash")))
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in back.collect()) == sorted((i is None, i, t or "") for i, t in [*enumerate(ODD), (None, "x"), (3, "a")])
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [model.byte_ids[0xC3]]), (4, [10**6, -5, None]), (5, [model.byte_ids[0x41]])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.decoded(odd).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "\ufffd" * 3, 5: "A"}
 
 
 @pytest.mark.parametrize("total", [1, 2, 3, 7, 64, 1000, 4097])
@@ -253,10 +257,16 @@ def test_shards_hold_every_text_once(spark, tmp_path):
     assert order.materialise(docs.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
-def test_long_runs_round_trip():
+def test_long_runs_have_the_ids_of_the_vocabulary(monkeypatch):
     enc = order.encoder(order.load_ranks())
-    for t in ("x" * 60_001, " " * 45_000 + "a", "😀" * 30_000):
+    for t in ("x" * 200_001, " " * 1_000_000 + "b", "a" + "\n" * 300_000, "\t" * 50_000 + " .", "😀" * 30_000, " " * 20_001 + "\x1c" + " " * 20_001):
         assert enc.decode_bytes(order.encode(t, enc)) == t.encode()
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(" \n\tab.1\x1c\u00a0") * rnd.choice([1, 1, 2, 5, 9]) for _ in range(40)) for _ in range(400)]
+    want = [enc.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(order, "RUN", 4)
+    monkeypatch.setattr(order, "_LONG", re.compile(r"[^\S\x1c-\x1f]{4,}"))
+    assert [order.encode(t, enc) for t in texts] == want
 
 
 def subsequence_kernel(s, t):
