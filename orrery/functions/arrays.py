@@ -164,3 +164,32 @@ def moments(x: Column) -> Column:
 
 def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)))
+
+
+def acf(x: Column, lags: int) -> Column:
+    """Biased autocorrelations of lags 0 to lags - 1: 1 at lag 0; 0 beyond it for a constant window."""
+
+    def of(c: Column) -> Column:
+        power = total(F.transform(c, lambda v: v * v))
+        at = lambda k: total(F.zip_with(F.slice(c, 1, F.size(c) - k), F.slice(c, k + 1, F.size(c) - k), lambda a, b: a * b))
+        return let(power, lambda p: F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.when(k == 0, 1.0).when((p > 1e-12) & (k < F.size(c)), at(k) / p).otherwise(0.0)))
+
+    return let(let(mean(x), lambda m: F.transform(x, lambda v: v - m)), of)
+
+
+def shape_scores(a: Column, b: Column) -> Column:
+    """Struct (r2, corr) of b against a after both are centred; 0 where a (for corr: either) is constant."""
+
+    def of(p: Column) -> Column:
+        va, vb = total(F.transform(p["a"], lambda v: v * v)), total(F.transform(p["b"], lambda v: v * v))
+        ab, off = total(F.zip_with(p["a"], p["b"], lambda x, y: x * y)), squared_distance(p["a"], p["b"])
+        return F.struct(F.when(va > 1e-12, 1 - off / va).otherwise(0.0).alias("r2"), F.when((va > 1e-12) & (vb > 1e-12), ab / F.sqrt(va * vb)).otherwise(0.0).alias("corr"))
+
+    centred = lambda x: let(mean(x), lambda m: F.transform(x, lambda v: v - m))
+    return let(F.struct(centred(a).alias("a"), centred(b).alias("b")), of)
+
+
+def hf_lf(bands: Column) -> Column:
+    """Energy of the upper two of four log-bands over that of the lower two."""
+    e = lambda i: F.exp(bands[i])
+    return (e(2) + e(3)) / (e(0) + e(1))

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions import hashing
+from orrery.functions import hashing, ranking
 
 
 def threshold_at_far(negatives: DataFrame, far: float = 0.01, score: str = "score") -> DataFrame:
     """One row: the score that a share ``far`` of finite negatives exceeds; beyond all for 0, below all for 1, 0 of none."""
     live = negatives.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
     if far <= 0:
-        t = F.max(score) + 1e-12
+        t = live.agg(F.max(score).alias("t")).select((F.col("t") + 1e-12).alias("t"))
     elif far >= 1:
-        t = F.min(score) - 1e-12
+        t = live.agg(F.min(score).alias("t")).select((F.col("t") - 1e-12).alias("t"))
     else:
-        t = F.percentile(score, F.lit(1 - far))
-    return live.agg(F.coalesce(t, F.lit(0.0)).alias("threshold"))
+        t = ranking.quantiles(live, score, [1 - far]).select(F.col("q")[0].alias("t"))
+    return t.select(F.coalesce("t", F.lit(0.0)).alias("threshold"))
 
 
 def event_hits(scores: DataFrame, threshold: Column | float, *by: str) -> DataFrame:
@@ -92,3 +92,29 @@ def assert_disjoint(train: DataFrame, test: DataFrame, key: str) -> None:
     """Raise if a row is in both parts."""
     if not train.select(key).join(test.select(key), key, "left_semi").isEmpty():
         raise ValueError(f"{key}: training and test rows overlap")
+
+
+def evaluate(scores: DataFrame, far: float = 0.01) -> DataFrame:
+    """One row: threshold, event recall, n_events, far, rare_far, average_precision, auroc.
+
+    ``scores`` has label (1 anomaly, 0 other), score, event_id (of anomalies) and, if it
+    has it, side: the threshold is that of the negatives whose side is not "rare", and
+    rare_far is the share of rare ones that reach it.
+    """
+    rows = scores if "side" in scores.columns else scores.withColumn("side", F.lit("nominal"))
+    nominal = rows.where((F.col("label") == 0) & ~F.col("side").eqNullSafe("rare"))
+    t = F.broadcast(threshold_at_far(nominal, far))
+    at = rows.join(t)
+    hits = event_hits(at.where("label = 1"), F.col("threshold")).agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("recall"), F.count("*").alias("n_events"))
+    share = lambda c: F.avg(F.when(c, (F.col("score") >= F.col("threshold")).cast("double")))
+    rates = at.agg(F.max("threshold").alias("threshold"), share((F.col("label") == 0) & ~F.col("side").eqNullSafe("rare")).alias("far"), share((F.col("label") == 0) & F.col("side").eqNullSafe("rare")).alias("rare_far"))
+    quiet = rows.where((F.col("label") == 1) | ~F.col("side").eqNullSafe("rare"))
+    one = rates.join(F.broadcast(hits)).join(F.broadcast(average_precision(quiet))).join(F.broadcast(auroc(quiet)))  # one row each
+    return one.select("threshold", "recall", "n_events", "far", "rare_far", "average_precision", "auroc")
+
+
+def recall_by_kind(scores: DataFrame, threshold: DataFrame) -> DataFrame:
+    """(kind, n_events, n_windows, recall, window_recall) of anomalies (kind, event_id, score) at a threshold (one row)."""
+    at = scores.join(F.broadcast(threshold)).withColumn("hit", (F.col("score") >= F.col("threshold")).cast("int"))
+    events = at.groupBy("kind", "event_id").agg(F.max("hit").alias("e"), F.sum("hit").alias("h"), F.count("*").alias("n"))
+    return events.groupBy("kind").agg(F.count("*").alias("n_events"), F.sum("n").alias("n_windows"), F.avg("e").alias("recall"), (F.sum("h") / F.sum("n")).alias("window_recall"))

@@ -1,22 +1,24 @@
 """Energies of embeddings against a reference set, and the nominal shell.
 
-References are few by design (``MOST``, checked); they go to the tasks, and queries
-are scored where they lie, in Arrow batches.
+Queries meet references block by block; each pair of blocks gives partial sums of
+exponentials and the nearest distances of a query, which are put together by query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions import ranking
+from orrery.operators import blocks
+
 MOST = 20_000
 
 
 def references(refs: DataFrame, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A reference set that a sampler carries to its tasks: at most ``MOST`` rows, by the caller's choice; more are an error."""
     rows = refs.select("x", F.col(kind).alias("kind") if kind else F.lit(0).alias("kind")).limit(MOST + 1).toPandas()
     if len(rows) > MOST:
         raise ValueError(f"more than {MOST} references")
@@ -35,23 +37,50 @@ def energies(queries: DataFrame, refs: DataFrame, tau: float, k: int = 8, kind:
     soft: -tau log sum exp(-d2 / tau); knn: over the k nearest alone; balanced: kinds
     weigh the same, whatever their number of references.
     """
-    ref, kinds = references(refs, kind)
-    groups = [np.flatnonzero(kinds == v) for v in np.unique(kinds)]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                if not len(ref):
-                    yield part[["query_id"]].assign(soft=np.inf, nearest=np.inf, knn=np.inf, balanced=np.inf)
-                    continue
-                z = np.stack(part.x).astype(float)
-                d2 = np.stack([((ref - v) ** 2).sum(axis=1) for v in z])
-                near = np.sort(d2, axis=1)[:, : max(1, min(k, len(ref)))]
-                means = np.stack([log_sum_exp(-d2[:, g] / tau) - np.log(len(g)) for g in groups], axis=1)
-                yield pd.DataFrame({"query_id": part.query_id, "soft": -tau * log_sum_exp(-d2 / tau), "nearest": d2.min(axis=1), "knn": -tau * log_sum_exp(-near / tau), "balanced": -tau * (log_sum_exp(means) - np.log(len(groups)))})
-
-    return queries.select("query_id", "x").mapInPandas(work, "query_id long, soft double, nearest double, knn double, balanced double")
+    own = refs.select("x", F.col(kind).cast("string").alias("kind") if kind else F.lit("").alias("kind"))
+
+    def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            z = blocks.matrix(q.x)
+            for name, part in r.groupby("kind", dropna=False):
+                d2 = blocks.squares(z, blocks.matrix(part.x))
+                near = np.sort(d2, axis=1)[:, :k]
+                out.append(pd.DataFrame({"query_id": q.query_id, "kind": name, "n": len(part), "part": log_sum_exp(-d2 / tau), "near": list(near)}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "kind", "n", "part", "near")})
+
+    met = blocks.meet(queries.select("query_id", "x"), own, work, "query_id long, kind string, n long, part double, near array<double>")
+    total = lambda a: F.aggregate(F.transform(a, lambda v: F.exp(v - F.array_max(a))), F.lit(0.0), lambda x, y: x + y)
+    log_total = lambda a: F.array_max(a) + F.log(total(a))
+    first = lambda a: F.slice(F.array_sort(F.flatten(a)), 1, k)
+    # One row for a query, a kind and a block of references.
+    per = met.groupBy("query_id", "kind").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"), F.collect_list("near").alias("near"))
+    per = per.select("query_id", "n", log_total(F.col("parts")).alias("part"), first(F.col("near")).alias("near"))
+    all_ = per.groupBy("query_id").agg(F.collect_list("part").alias("parts"), F.collect_list(F.col("part") - F.log("n")).alias("means"), F.collect_list("near").alias("near"))
+    all_ = all_.withColumn("near", first(F.col("near")))
+    scored = all_.select(
+        "query_id",
+        (-tau * log_total(F.col("parts"))).alias("soft"),
+        F.array_min("near").alias("nearest"),
+        (-tau * log_total(F.transform("near", lambda v: -v / tau))).alias("knn"),
+        (-tau * (log_total(F.col("means")) - F.log(F.size("means")))).alias("balanced"),
+    )
+    rows = queries.select("query_id").join(scored, "query_id", "left")
+    return rows.select("query_id", *[F.coalesce(c, F.lit(float("inf"))).alias(c) for c in ("soft", "nearest", "knn", "balanced")])
+
+
+def pair_squares(rows: DataFrame) -> DataFrame:
+    """(d2, c): how many pairs of rows have each squared distance."""
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"d2": [], "c": []})
+        pair = a.id.to_numpy()[:, None] < b.id.to_numpy()[None]
+        v, c = np.unique(blocks.squares(blocks.matrix(a.x), blocks.matrix(b.x))[pair], return_counts=True)
+        return pd.DataFrame({"d2": v, "c": c})
+
+    own = rows.select(F.monotonically_increasing_id().alias("id"), "x")
+    return blocks.meet(own, own, work, "d2 double, c long", (2048, 2048))
 
 
 def proto_energy(rows: DataFrame) -> DataFrame:
@@ -63,18 +92,15 @@ def proto_energy(rows: DataFrame) -> DataFrame:
 
 def shell(refs: DataFrame, validation: DataFrame, q: float = 0.99, scale: float = 0.25, tau: float | None = None) -> DataFrame:
     """One row: tau (root of the lower median squared distance of references), Q_q, delta, mean and std of the energy."""
-    ref, _ = references(refs)
     if tau is None:
-        if len(ref) < 2:
-            tau = 1e-3
-        else:
-            i, j = np.triu_indices(len(ref), 1)
-            d2 = np.concatenate([((ref[i[a : a + 100_000]] - ref[j[a : a + 100_000]]) ** 2).sum(axis=1) for a in range(0, len(i), 100_000)])
-            tau = max(float(np.sqrt(np.partition(d2, (len(d2) - 1) // 2)[(len(d2) - 1) // 2])), 1e-3)
+        # The lower middle of n values is the order statistic at floor((n - 1) / 2).
+        mid = ranking.lower_median(pair_squares(refs), "d2", "c").first()["v"]
+        tau = max(float(np.sqrt(mid)), 1e-3) if mid is not None else 1e-3
     h = energies(validation, refs, tau)
-    p = F.percentile("soft", F.array(F.lit(0.25), F.lit(0.75), F.lit(q)))
-    one = h.agg(p.alias("p"), F.avg("soft").alias("h_mean"), F.stddev_pop("soft").alias("h_std"))
-    return one.select(F.lit(tau).alias("tau"), F.col("p")[2].alias("q_value"), F.greatest(scale * F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-6)), F.lit(1e-4)).alias("delta"), "h_mean", "h_std")
+    p = ranking.quantiles(h, "soft", [0.25, 0.75, q])
+    one = h.agg(F.avg("soft").alias("h_mean"), F.stddev_pop("soft").alias("h_std"))
+    p = F.broadcast(p.select(F.col("q").alias("p")))
+    return one.join(p).select(F.lit(tau).alias("tau"), F.col("p")[2].alias("q_value"), F.greatest(scale * F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-6)), F.lit(1e-4)).alias("delta"), "h_mean", "h_std")
 
 
 def band_report(rows: DataFrame, q_value: Column | float, delta: Column | float, energy: str = "soft") -> DataFrame:

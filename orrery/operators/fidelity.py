@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import hashing, spectral
+from orrery.functions import hashing, ranking, spectral
 
 BUCKETS = 1024
 EPS = 1e-12
@@ -113,31 +113,63 @@ def balanced(rows: DataFrame, seed: int, *ids: str) -> DataFrame:
     return rows.join(n, "channel_idx").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n")).drop("rank", "n")
 
 
-def in_test(group: Column, seed: int, share: float = 0.3) -> Column:
-    """Is a group in the test part? All rows of a group are on one side."""
-    return hashing.uniform(seed, group) < share
+def test_groups(groups: DataFrame, seed: int, share: float = 0.3) -> DataFrame:
+    """``ceil(share x groups)`` of the distinct groups of column group_id, by keyed hash."""
+    h = groups.select("group_id").distinct().withColumns({"all": F.lit(0), "h": hashing.hashed(seed, F.col("group_id"))})
+    return ranking.numbered(h, ["all"], ranking.hash_bucket(F.col("h")), ["h", "group_id"]).where(F.col("index") < F.ceil(F.lit(share) * F.col("n"))).select("group_id")
+
+
+def balanced_accuracy(label: Column, said: Column) -> Column:
+    """Mean of the two classes' shares of right answers; NaN without both."""
+    part = lambda k: F.avg(F.when(label == k, (said == k).cast("double")))
+    return F.coalesce((part(1) + part(0)) / 2, F.lit(float("nan")))
 
 
 def c2st(real: DataFrame, synth: DataFrame, seed: int = 0, share: float = 0.3, n_perm: int = 200) -> DataFrame:
-    """Classifier two-sample test: held-out accuracy of a logistic regression, and a permutation p-value.
+    """Classifier two-sample test: held-out balanced accuracy of a logistic regression, and a permutation p-value.
 
-    Sides have channel_idx, group_id, window_id, x. Groups do not cross the split. Labels
-    are permuted by keyed hashes in tasks; only counts of each permutation move.
+    Sides have channel_idx, group_id, window_id, x. Groups do not cross the split. Each
+    permutation deals the test labels anew, as many of each as there are, in the order of a
+    keyed hash; no permutation is sorted in one task.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
 
     rows = balanced(both(real, synth, "channel_idx", "group_id", "window_id", "x"), seed, "window_id")
-    rows = rows.withColumns({"label": F.col("real").cast("double"), "raw": array_to_vector("x"), "test": in_test(F.col("group_id"), seed, share)})
-    train, test = rows.where(~F.col("test")), rows.where("test")
+    rows = rows.withColumns({"label": F.col("real").cast("double"), "raw": array_to_vector("x")})
+    held = test_groups(rows, seed, share)
+    train, test = rows.join(held, "group_id", "left_anti"), rows.join(held, "group_id", "left_semi")
     if train.select("label").distinct().count() < 2 or test.isEmpty():
         return rows.sparkSession.createDataFrame([(float("nan"), float("nan"), 0)], "accuracy double, p_value double, n_test long")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
     model = LogisticRegression(regParam=0.01, maxIter=100).fit(scaler.transform(train))
     said = model.transform(scaler.transform(test)).select("window_id", "real", "label", "prediction")
-    hit = said.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n_test"), F.avg("label").alias("share"))
-    draws = said.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).join(F.broadcast(hit.select("share", "accuracy", "n_test")))
-    fake = (hashing.uniform(seed, F.col("perm"), F.col("real"), F.col("window_id")) < F.col("share")).cast("double")
-    perms = draws.groupBy("perm", "accuracy", "n_test").agg(F.avg((fake == F.col("prediction")).cast("double")).alias("a"))
+    hit = said.agg(balanced_accuracy(F.col("label"), F.col("prediction")).alias("accuracy"), F.count("*").alias("n_test"), F.sum("label").cast("long").alias("ones"))
+    draws = said.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn("h", hashing.hashed(seed, F.col("perm"), F.col("real"), F.col("window_id")))
+    dealt = ranking.numbered(draws, ["perm"], ranking.hash_bucket(F.col("h")), ["h", "real", "window_id"]).join(F.broadcast(hit))
+    fake = (F.col("index") < F.col("ones")).cast("double")
+    perms = dealt.groupBy("perm", "accuracy", "n_test").agg(balanced_accuracy(fake, F.col("prediction")).alias("a"))
     return perms.groupBy("accuracy", "n_test").agg(((F.count_if(F.col("a") >= F.col("accuracy")) + 1) / (n_perm + 1)).alias("p_value")).select("accuracy", "p_value", "n_test")
+
+
+def c2st_over_seeds(real: DataFrame, synth: DataFrame, seeds: int = 5, n_perm: int = 200) -> DataFrame:
+    """One row: median accuracy, median p-value and share of seeds that reject at 0.05."""
+    out = None
+    for seed in range(seeds):
+        row = c2st(real, synth, seed, n_perm=n_perm)
+        out = row if out is None else out.unionByName(row)
+    return out.agg(F.percentile("accuracy", F.lit(0.5)).alias("accuracy"), F.percentile("p_value", F.lit(0.5)).alias("p_value"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("reject_rate"), F.max("n_test").alias("n_test"))
+
+
+def audit(real: DataFrame, synth: DataFrame, least: int = 32) -> DataFrame:
+    """(channel_idx, n_real, n_synth, tier, w1, acd): what a comparison of two sides may claim, channel by channel.
+
+    A channel with ``least`` windows on both sides is ``evidence``, one with fewer
+    ``descriptive``, one that a side lacks ``absent`` (no metrics).
+    """
+    n = both(real, synth, "channel_idx").groupBy("channel_idx").agg(F.count_if("real").alias("n_real"), F.count_if(~F.col("real")).alias("n_synth"))
+    low = F.least("n_real", "n_synth")
+    tier = F.when(low >= least, "evidence").when(low > 0, "descriptive").otherwise("absent")
+    metrics = marginal_w1(real, synth).join(autocorrelation_difference(real, synth, 16), "channel_idx", "full")
+    return n.withColumn("tier", tier).join(metrics, "channel_idx", "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions import hashing
+from orrery.functions import hashing, ranking
 
 
 def event_folds(labeled: DataFrame, n_folds: int = 3, seed: int = 0) -> DataFrame:
@@ -17,10 +17,9 @@ def event_folds(labeled: DataFrame, n_folds: int = 3, seed: int = 0) -> DataFram
     events = labeled.groupBy("event_id").agg(F.max("is_anomaly").alias("is_anomaly"))
     sizes = events.agg(F.count_if("is_anomaly").alias("a"), F.count_if(~F.col("is_anomaly")).alias("b"))
     h = hashing.hashed(seed, F.col("event_id"))
-    # The classes are two, their sizes one row; ranks come from one sort of event ids.
     both = events.join(F.broadcast(sizes)).withColumn("stratum", F.when(F.least("a", "b") >= n_folds, F.col("is_anomaly").cast("int")).otherwise(0))
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(h, "event_id")) - 1
-    return both.select("event_id", "is_anomaly", F.when(F.col("a") + F.col("b") < 2, 0).otherwise(rank % n_folds).cast("int").alias("fold"))
+    ranked = ranking.numbered(both.withColumn("h", h), ["stratum"], ranking.hash_bucket(F.col("h")), ["h", "event_id"])
+    return ranked.select("event_id", "is_anomaly", F.when(F.col("a") + F.col("b") < 2, 0).otherwise(F.col("index") % n_folds).cast("int").alias("fold"))
 
 
 def channel_fold_counts(folded: DataFrame, least: int, n_folds: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
 from orrery.functions import hashing as H
+from orrery.functions import ranking
 
 POSTHOC = ("step", "pulse", "ramp", "scale")
 TAXONOMY = ("point", "contextual", "shapelet", "seasonal", "trend")
@@ -78,9 +79,8 @@ def partners(nominal: DataFrame, seed: int, name: str = "partner") -> DataFrame:
 
     Donors of a channel are numbered by keyed hash; the partner is a hashed number of steps on.
     """
-    order = Window.partitionBy("channel_idx").orderBy(H.hashed(seed, F.lit(name), F.col("donor_id")), "donor_id")
-    n = nominal.groupBy("channel_idx").agg(F.count("*").alias("n"))
-    ring = nominal.select("donor_id", "channel_idx", "x", (F.row_number().over(order) - 1).alias("at")).join(n, "channel_idx")
+    spots = nominal.select("donor_id", "channel_idx", "x", H.hashed(seed, F.lit(name), F.col("donor_id")).alias("h"))
+    ring = ranking.numbered(spots, ["channel_idx"], ranking.hash_bucket(F.col("h")), ["h", "donor_id"]).withColumnRenamed("index", "at")
     hop = F.when(F.col("n") > 1, 1 + H.hashed(seed, F.lit(name + " hop"), F.col("donor_id")) % (F.col("n") - 1)).otherwise(0)
     mine = ring.withColumn("to", (F.col("at") + hop) % F.col("n"))
     there = ring.select("channel_idx", F.col("at").alias("to"), F.col("x").alias("other"))

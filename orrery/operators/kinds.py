@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import hashing
+from orrery.functions import hashing, ranking
+from orrery.operators import blocks
 
 # Names of kinds, fixed values.
 POINT_LOCAL, POINT_GLOBAL = "real ESA Point / Local", "real ESA Point / Global"
@@ -74,41 +75,57 @@ def kind_examples(rows: DataFrame, n: int, ties: list[str]) -> DataFrame:
 
 def alloc_contiguous(donors: DataFrame, kinds: list[str]) -> DataFrame:
     """Kinds in blocks of donors, the first blocks one larger where it does not divide."""
-    tile = F.ntile(len(kinds)).over(Window.orderBy("donor_id"))
-    return donors.withColumn("kind_alloc", F.element_at(F.array(*map(F.lit, kinds)), tile))
+    spot = ranking.numbered(donors.withColumn("all", F.lit(0)), ["all"], ranking.number_bucket(donors, "donor_id"), ["donor_id"])
+    tile = ranking.tile(F.col("index"), F.col("n"), len(kinds))
+    return spot.withColumn("kind_alloc", F.element_at(F.array(*map(F.lit, kinds)), tile + 1)).drop("all", "index", "n")
 
 
 def alloc_stratified(donors: DataFrame, kinds: list[str], seed: int = 0) -> DataFrame:
     """Kinds even within each channel; which kinds get the remainder turns with the channel."""
     k = len(kinds)
-    tile = F.ntile(k).over(Window.partitionBy("channel_idx").orderBy(hashing.hashed(seed, F.col("donor_id")), "donor_id"))
-    turn = F.dense_rank().over(Window.orderBy("channel_idx"))
-    return donors.withColumns({"tile": tile, "turn": turn}).withColumn("kind_alloc", F.element_at(F.array(*map(F.lit, kinds)), ((F.col("tile") - 1 + F.col("turn") - 1) % k + 1).cast("int"))).drop("tile", "turn")
+    turns = donors.select("channel_idx").distinct().withColumn("turn", F.row_number().over(Window.orderBy("channel_idx")) - 1)  # one row for a channel
+    h = donors.withColumn("h", hashing.hashed(seed, F.col("donor_id")))
+    spot = ranking.numbered(h, ["channel_idx"], ranking.hash_bucket(F.col("h")), ["h", "donor_id"]).join(turns, "channel_idx")
+    tile = ranking.tile(F.col("index"), F.col("n"), k)
+    return spot.withColumn("kind_alloc", F.element_at(F.array(*map(F.lit, kinds)), ((tile + F.col("turn")) % k + 1).cast("int"))).drop("h", "index", "n", "turn")
 
 
 def nearest_generated(queries: DataFrame, gallery: DataFrame, by: str = "kind_name") -> DataFrame:
-    """Greedy one-to-one matches within each group: in order of query_id, each takes the nearest window that is left.
+    """Greedy one-to-one matches within each group: in order of query_id, each takes the nearest window that is left (the smallest donor_id of equals).
 
-    A choice depends on all before it, so a group is one task; callers pass examples
-    and galleries of bounded size.
+    A choice depends on all before it, but of k queries none can need more than its k
+    nearest windows. Those are found block by block; what is left to one task is a group's
+    k x k candidates. Queries are examples, few by the caller's choice.
     """
-    both = queries.select(by, F.lit(0).alias("side"), F.col("query_id").alias("id"), "x").unionByName(gallery.select(by, F.lit(1).alias("side"), F.col("donor_id").alias("id"), "x"))
+    most = queries.groupBy(by).agg(F.count("*").alias("k"))
+    q = queries.select(by, F.col("query_id"), "x").join(most, by)
+    g = gallery.select(by, "donor_id", "x").join(F.broadcast(most.select(by)), by, "left_semi")
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, part in a.groupby(by):
+            there = b[b[by] == name]
+            if len(there):
+                d, ids = np.sqrt(blocks.squares(blocks.matrix(part.x), blocks.matrix(there.x))), there.donor_id.to_numpy()
+                for i, row, k in zip(part.query_id, d, part.k, strict=True):
+                    best = np.lexsort((ids, row))[:k]
+                    out.append(pd.DataFrame({by: name, "query_id": i, "donor_id": ids[best], "distance": row[best]}))
+        return pd.concat(out) if out else pd.DataFrame({by: [], "query_id": [], "donor_id": [], "distance": []})
+
+    found = blocks.meet(q, g, near, f"{by} string, query_id long, donor_id long, distance double")
+    order = Window.partitionBy(by, "query_id").orderBy("distance", "donor_id")
+    live = found.join(most, by).withColumn("rank", F.row_number().over(order)).where("rank <= k")
 
     def match(p: pd.DataFrame) -> pd.DataFrame:
-        q, g = p[p.side == 0].sort_values("id"), p[p.side == 1].sort_values("id")
-        if q.empty or g.empty:
-            return pd.DataFrame({by: [], "query_id": [], "donor_id": [], "distance": []})
-        gx, free, out = np.stack(g.x), np.ones(len(g), bool), []
-        for i, x in zip(q.id, q.x, strict=True):
-            if not free.any():
-                break
-            d = np.where(free, np.sqrt(((gx - x) ** 2).sum(axis=1)), np.inf)
-            j = int(d.argmin())
-            free[j] = False
-            out.append((p[by].iloc[0], i, g.id.iloc[j], d[j]))
+        taken, out = set(), []
+        for i, rows in p.sort_values(["query_id", "rank"]).groupby("query_id"):
+            left = rows[~rows.donor_id.isin(taken)]
+            if len(left):
+                taken.add(left.donor_id.iloc[0])
+                out.append((p[by].iloc[0], i, left.donor_id.iloc[0], left.distance.iloc[0]))
         return pd.DataFrame(out, columns=[by, "query_id", "donor_id", "distance"])
 
-    return both.groupBy(by).applyInPandas(match, f"{by} string, query_id long, donor_id long, distance double")
+    return live.select(by, "query_id", "donor_id", "distance", "rank").groupBy(by).applyInPandas(match, f"{by} string, query_id long, donor_id long, distance double")
 
 
 def farthest_points(rows: DataFrame, n: int, rounds_id: str = "donor_id") -> DataFrame:

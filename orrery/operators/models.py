@@ -178,17 +178,32 @@ def with_parent(rows: DataFrame) -> DataFrame:
     return rows.select("donor_id", "channel_idx", "x", F.col("x").alias("parent"))
 
 
-def ppca_inflate(rows: DataFrame, model: Gaussians, psi: float = 2.0, latent: int = 8, seed: int = 0) -> DataFrame:
-    """Windows redrawn around themselves with the spread of the main directions inflated by psi; psi 1 adds the plain spread."""
+def ppca_inflate(rows: DataFrame, model: Gaussians, psi: float = 2.0, latent: int = 8, seed: int = 0, patch: float | None = None) -> DataFrame:
+    """Windows redrawn with their latent spread inflated by psi; psi 1 gives the window's own projection.
+
+    A window's posterior in the probabilistic principal components has mean z and variance
+    n s / (s + n) in each direction (s the direction's variance, n that of what is left
+    out); inflation draws from psi squared times that variance, less the variance itself.
+    With ``patch``, places that deviate little from the window (squared, against ``patch``
+    times its range) keep the window's values; at psi 1 nothing is patched.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, g in b.groupby("channel_idx"):
                 mu, v, u = model.mean[int(c)], model.values[int(c)], model.vectors[int(c)]
-                top = np.argsort(v)[::-1][:latent]
-                z = (np.stack(g.x).astype(float) - mu) @ u[:, top]
+                order = np.argsort(v)[::-1]
+                top, rest = order[:latent], order[latent:]
+                left = float(v[rest].mean()) if len(rest) else 0.0
+                x = np.stack(g.x).astype(float)
+                z = (x - mu) @ u[:, top]
+                spread = np.sqrt(max(psi * psi - 1, 0.0) * left * v[top] / (left + v[top]))
                 noise = np.stack([np.random.default_rng([seed, int(d)]).standard_normal(len(top)) for d in g.donor_id])
-                yield pd.DataFrame({"donor_id": g.donor_id, "channel_idx": g.channel_idx, "x": list(mu + (z + psi * 0.1 * np.sqrt(v[top]) * noise) @ u[:, top].T)})
+                y = mu + (z + spread * noise) @ u[:, top].T
+                if patch is not None and psi != 1:
+                    span = np.maximum(x.max(axis=1) - x.min(axis=1), 1e-12)[:, None]
+                    y = np.where((y - x) ** 2 > patch * span, y, x)
+                yield pd.DataFrame({"donor_id": g.donor_id, "channel_idx": g.channel_idx, "x": list(y)})
 
     return rows.select("donor_id", "channel_idx", "x").mapInPandas(work, "donor_id long, channel_idx int, x array<double>")
 

@@ -1,63 +1,33 @@
 """Scores of generated galleries against real windows: nearest distances, coverage, diversity, verdicts.
 
-Queries are a stated set; they go out in blocks of bounded size, and each block is
-compared with the gallery's Arrow batches where they lie. Only per-task minima move.
+Queries are a stated set. They meet the gallery block by block (:mod:`orrery.operators.blocks`),
+so neither side is ever whole on the driver or in a task; only minima and sums move on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 8192
-BATCH = 4096
-
-
-def query_blocks(queries: DataFrame, key: str, size: int = QUERY_BLOCK) -> list[pd.DataFrame]:
-    """Blocks of about ``size`` queries; only one is fetched at a time."""
-    n = queries.count()
-    k = max(1, -(-n // size))
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(k)) == i).toPandas() for i in range(k)] if n else []
-
-
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows, by differences (no cancellation), in slices of bounded size."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i : i + step] = ((a[i : i + step, None, :] - b[None]) ** 2).sum(axis=2)
-    return out
+from orrery.functions import ranking
+from orrery.operators import blocks
 
 
 def min_distances(queries: DataFrame, gallery: DataFrame, by: str | None = None) -> DataFrame:
     """(query_id, [by,] distance) from each query (query_id, x) to the nearest gallery row (x[, by]); infinite for an empty gallery."""
-    parts = []
-    for block in query_blocks(queries.select("query_id", "x"), "query_id"):
-        ids, q = block.query_id.to_numpy(), np.stack(block.x).astype(float)
-
-        def work(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            best: dict = {}
-            for b in batches:
-                for key, g in b.groupby(by) if by else [(None, b)]:
-                    if not len(g):
-                        continue
-                    x = np.stack(g.x).astype(float)
-                    d = best.get(key, np.full(len(ids), np.inf))
-                    for at in range(0, len(x), BATCH):
-                        d = np.minimum(d, _squares(q, x[at : at + BATCH]).min(axis=1))
-                    best[key] = d
-            for key, d in best.items():
-                yield pd.DataFrame({"query_id": ids, **({by: key} if by else {}), "d2": d})
-
-        kind = f", {by} {gallery.schema[by].dataType.simpleString()}" if by else ""
-        parts.append(gallery.select(*([by] if by else []), "x").mapInPandas(work, f"query_id long{kind}, d2 double"))
-    near = parts[0] if parts else queries.sparkSession.createDataFrame([], f"query_id long{', ' + by + ' string' if by else ''}, d2 double")
-    for p in parts[1:]:
-        near = near.unionByName(p)
+    kind = f", {by} {gallery.schema[by].dataType.simpleString()}" if by else ""
+
+    def work(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, part in g.groupby(by) if by else [(None, g)]:
+            if len(q) and len(part):
+                d2 = blocks.squares(blocks.matrix(q.x), blocks.matrix(part.x)).min(axis=1)
+                out.append(pd.DataFrame({"query_id": q.query_id, **({by: key} if by else {}), "d2": d2}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ["query_id", *([by] if by else []), "d2"]})
+
+    near = blocks.meet(queries.select("query_id", "x"), gallery.select(*([by] if by else []), "x"), work, f"query_id long{kind}, d2 double")
     near = near.groupBy("query_id", *([by] if by else [])).agg(F.sqrt(F.min("d2")).alias("distance"))
     if by:
         return near
@@ -82,33 +52,21 @@ def score_generator(anomaly: DataFrame, rare: DataFrame, tau: float, by: str = "
 
 def choose_tau(distances: DataFrame, target: float = 0.1) -> DataFrame:
     """One row: the distance within which ``target`` of the queries lie (linear between order statistics); no rows is an error."""
-    t = F.percentile("distance", F.lit(target))
-    return distances.agg(F.when(F.count("distance") > 0, t).otherwise(F.raise_error(F.lit("no distances to choose tau from"))).alias("tau"))
+    t = ranking.quantiles(distances, "distance", [target])
+    return t.select(F.when(F.col("n") > 0, F.col("q")[0]).otherwise(F.raise_error(F.lit("no distances to choose tau from"))).alias("tau"))
 
 
 def mean_pairwise(rows: DataFrame, key: str = "query_id") -> DataFrame:
-    """One row: the mean distance of all pairs; 0 of fewer than two rows. Each block meets the batches; only sums move."""
-    parts = []
-    for block in query_blocks(rows.select(F.col(key).alias("query_id"), "x"), "query_id"):
-        ids, q = block.query_id.to_numpy(), np.stack(block.x).astype(float)
-
-        def work(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            s, n = 0.0, 0
-            for b in batches:
-                if len(b):
-                    x, other = np.stack(b.x).astype(float), b.query_id.to_numpy()
-                    for at in range(0, len(x), BATCH):
-                        pair = ids[:, None] < other[None, at : at + BATCH]
-                        s += float(np.sqrt(_squares(q, x[at : at + BATCH]))[pair].sum())
-                        n += int(pair.sum())
-            yield pd.DataFrame({"s": [s], "n": [n]})
-
-        parts.append(rows.select(F.col(key).alias("query_id"), "x").mapInPandas(work, "s double, n long"))
-    if not parts:
-        return rows.sparkSession.createDataFrame([(0.0,)], "diversity double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """One row: the mean distance of all pairs of distinct ids; 0 of fewer than two rows. Blocks meet; only sums move."""
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"s": [], "n": []})
+        pair = a.id.to_numpy()[:, None] < b.id.to_numpy()[None]
+        return pd.DataFrame({"s": [float(np.sqrt(blocks.squares(blocks.matrix(a.x), blocks.matrix(b.x)))[pair].sum())], "n": [int(pair.sum())]})
+
+    own = rows.select(F.col(key).alias("id"), "x")
+    out = blocks.meet(own, own, work, "s double, n long", (blocks.LEFT, blocks.LEFT))
     return out.agg(F.coalesce(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("diversity"))
 
 

@@ -17,7 +17,7 @@ def recommend(rows: DataFrame, target: float, floor: float = 0.5, by: str = "enc
     """Per encoder: viable rows (occupancy of at least ``floor``) first, then least excess of total variation over the real one, most occupancy, most ARP."""
     excess = F.greatest(F.col("tv") / target - 1, F.lit(0.0))
     marked = rows.withColumns({"excess": excess, "viable": F.col("occupancy") >= floor})
-    order = Window.partitionBy(by).orderBy(F.col("viable").desc(), "excess", F.col("occupancy").desc(), F.col("arp").desc(), "lam")
+    order = Window.partitionBy(by).orderBy(F.col("viable").desc(), "excess", F.col("occupancy").desc(), F.col("arp").desc(), "lam", "id")
     return marked.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
@@ -31,7 +31,7 @@ def recommend_quiet(rows: DataFrame, tv: float, ratio: float, floor: float = 0.5
     """As ``recommend``, by the sum of two-sided errors of total variation and spectral ratio; an undefined error counts as 1e9."""
     err = lambda c, t: F.coalesce(F.nanvl(two_sided(F.col(c), t), F.lit(1e9)), F.lit(1e9))
     marked = rows.withColumns({"error": err("tv", tv) + err("ratio", ratio), "viable": F.col("occupancy") >= floor})
-    order = Window.partitionBy(by).orderBy(F.col("viable").desc(), "error", F.col("occupancy").desc(), "lam")
+    order = Window.partitionBy(by).orderBy(F.col("viable").desc(), "error", F.col("occupancy").desc(), "lam", "id")
     return marked.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 

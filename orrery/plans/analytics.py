@@ -19,107 +19,114 @@ def r6(*cols: str):
 
 # Per-value table of donors, in SQL: (donor_id, channel_idx, t from 0, v).
 LONG = f"{B.DONOR}, long AS (SELECT donor_id, channel_idx, unnest(x) AS v, unnest(generate_series(0, {W - 1})) AS t FROM donors)"
+# The same of all windows; queries of single windows name them window_id.
+ALL = f"{B.EVERY}, long AS (SELECT donor_id, channel_idx, unnest(x) AS v, unnest(generate_series(0, {W - 1})) AS t FROM donors)"
 STATS = "s AS (SELECT donor_id, avg(v) AS m, stddev_pop(v) AS d FROM long GROUP BY 1)"
 DFT = f"""k AS (SELECT unnest(generate_series(0, {W // 2})) AS k),
 dft AS (SELECT donor_id, channel_idx, k, sum(z * cos(2 * pi() * k * t / {W})) AS re, sum(z * sin(2 * pi() * k * t / {W})) AS im FROM zs CROSS JOIN k GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {LONG}, {STATS}, zs AS (SELECT long.*, (v - m) / CASE WHEN d < 1e-8 THEN 1 ELSE d END AS z FROM long JOIN s USING (donor_id)), {DFT},
+def whole(sql: str):
+    """A query of every finite window."""
+    return query(sql.replace("donor_id", "window_id"))
+
+
+@whole(f"""WITH {ALL}, {STATS}, zs AS (SELECT long.*, (v - m) / CASE WHEN d < 1e-8 THEN 1 ELSE d END AS z FROM long JOIN s USING (donor_id)), {DFT},
 df AS (SELECT donor_id, t, z - lag(z) OVER (PARTITION BY donor_id ORDER BY t) AS dz FROM zs),
 d2 AS (SELECT donor_id, avg(dz) AS dz_mean, stddev_pop(dz) AS dz_std FROM df GROUP BY 1),
 runs AS (SELECT donor_id, max(n) AS n FROM (SELECT donor_id, g, count(*) AS n FROM (SELECT donor_id, t, abs(z) > 1 AS hi, t - row_number() OVER (PARTITION BY donor_id, abs(z) > 1 ORDER BY t) AS g FROM zs) WHERE hi GROUP BY 1, 2) GROUP BY 1),
 bands AS (SELECT donor_id, CASE WHEN k < {(W // 2 + 1) // 4} THEN 0 WHEN k < {(W // 2 + 1) * 2 // 4} THEN 1 WHEN k < {(W // 2 + 1) * 3 // 4} THEN 2 ELSE 3 END AS b, ln(avg(re * re + im * im) + 1e-8) AS e FROM dft GROUP BY 1, 2)
-SELECT donor_id, round(avg(z), 6) + 0.0 AS z_mean, round(stddev_pop(z), 6) AS z_std, round(min(z), 6) AS z_min, round(max(z), 6) AS z_max, round(max(dz_mean), 6) AS dz_mean, round(max(dz_std), 6) AS dz_std, round(max(abs(z)), 6) AS peak, round(coalesce(max(n), 0) / {W}.0, 6) AS excursion,
-  round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 1), 5) AS band1, round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 2), 5) AS band2, round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 3), 5) AS band3
+SELECT donor_id, round(avg(z), 6) + 0.0 AS z_mean, round(stddev_pop(z), 6) AS z_std, round(min(z), 6) AS z_min, round(max(z), 6) AS z_max, round(max(dz_mean), 6) + 0.0 AS dz_mean, round(max(dz_std), 6) AS dz_std, round(max(abs(z)), 6) AS peak, round(coalesce(max(n), 0) / {W}.0, 6) AS excursion,
+  round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 0), 5) AS band0, round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 1), 5) AS band1, round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 2), 5) AS band2, round((SELECT e FROM bands WHERE bands.donor_id = zs.donor_id AND b = 3), 5) AS band3
 FROM zs LEFT JOIN d2 USING (donor_id) LEFT JOIN runs USING (donor_id) GROUP BY donor_id""")
 def feature_pack(spark, d):
-    """The twelve-feature pack; its first band holds the mean's zero and is left out of the comparison."""
-    rows = B.donors(spark, d).withColumns({"z": A.zscores(F.col("x")), "b": spectral.log_bands("x")}).withColumn("dz", A.steps(F.col("z")))
+    """The twelve-feature pack: z-scores, their steps, peak, excursion and four log-bands."""
+    rows = B.every(spark, d).withColumns({"z": A.zscores(F.col("x")), "b": spectral.log_bands("x")}).withColumn("dz", A.steps(F.col("z")))
     z, dz = F.col("z"), F.col("dz")
     out = rows.select(
-        "donor_id", F.abs(A.mean(z)).alias("z_mean"), A.std(z).alias("z_std"), F.array_min(z).alias("z_min"), F.array_max(z).alias("z_max"), A.mean(dz).alias("dz_mean"), A.std(dz).alias("dz_std"),
-        F.array_max(F.transform(z, F.abs)).alias("peak"), (A.longest_run(F.transform(z, lambda v: F.abs(v) > 1)) / F.size(z)).alias("excursion"), *[F.round(F.col("b")[i], 5).alias(f"band{i}") for i in (1, 2, 3)],
+        "window_id", A.mean(z).alias("z_mean"), A.std(z).alias("z_std"), F.array_min(z).alias("z_min"), F.array_max(z).alias("z_max"), A.mean(dz).alias("dz_mean"), A.std(dz).alias("dz_std"),
+        F.array_max(F.transform(z, F.abs)).alias("peak"), (A.longest_run(F.transform(z, lambda v: F.abs(v) > 1)) / F.size(z)).alias("excursion"), *[F.round(F.col("b")[i], 5).alias(f"band{i}") for i in range(4)],
     )
-    return out.select("donor_id", *r6("z_mean", "z_std", "z_min", "z_max", "dz_mean", "dz_std", "peak", "excursion"), "band1", "band2", "band3")
+    return out.select("window_id", (F.round("z_mean", 6) + F.lit(0.0)).alias("z_mean"), *r6("z_std", "z_min", "z_max"), (F.round("dz_mean", 6) + F.lit(0.0)).alias("dz_mean"), *r6("dz_std", "peak", "excursion"), "band0", "band1", "band2", "band3")
 
 
-@query(f"""WITH {LONG}, {STATS}, c AS (SELECT donor_id, t, v - m AS c, d FROM long JOIN s USING (donor_id)), l AS (SELECT *, lead(c) OVER (PARTITION BY donor_id ORDER BY t) AS nx FROM c)
+@whole(f"""WITH {ALL}, {STATS}, c AS (SELECT donor_id, t, v - m AS c, d FROM long JOIN s USING (donor_id)), l AS (SELECT *, lead(c) OVER (PARTITION BY donor_id ORDER BY t) AS nx FROM c)
 SELECT l.donor_id, round(any_value(m), 6) AS mean, round(any_value(s.d), 6) AS std, round(regr_slope(c, t) * {W - 1}, 6) AS trend, round(avg(pow(c / s.d, 3)), 6) AS skew, round(avg(pow(c / s.d, 4)) - 3, 6) AS kurtosis, round(sum(c * nx) / sum(c * c), 6) AS acf1 FROM l JOIN s USING (donor_id) GROUP BY 1""")
 def interpretable_features(spark, d):
-    rows = B.donors(spark, d).select("donor_id", A.moments(F.col("x")).alias("m")).select("donor_id", "m.*")
-    return rows.select("donor_id", *r6(*fidelity.FEATURES))
+    rows = B.every(spark, d).select("window_id", A.moments(F.col("x")).alias("m")).select("window_id", "m.*")
+    return rows.select("window_id", *r6(*fidelity.FEATURES))
 
 
-@query(f"WITH {LONG}, s AS (SELECT donor_id, abs(v - lag(v) OVER (PARTITION BY donor_id ORDER BY t)) AS a FROM long) SELECT donor_id, round(sum(a) / {W - 1}, 6) AS tv FROM s GROUP BY 1")
+@whole(f"WITH {ALL}, s AS (SELECT donor_id, abs(v - lag(v) OVER (PARTITION BY donor_id ORDER BY t)) AS a FROM long) SELECT donor_id, round(sum(a) / {W - 1}, 6) AS tv FROM s GROUP BY 1")
 def total_variation(spark, d):
-    return B.donors(spark, d).select("donor_id", F.round(A.total_variation(F.col("x")), 6).alias("tv"))
+    return B.every(spark, d).select("window_id", F.round(A.total_variation(F.col("x")), 6).alias("tv"))
 
 
-@query(f"""WITH {LONG}, c AS (SELECT donor_id, t + 1 AS k, sum(v) OVER (PARTITION BY donor_id ORDER BY t) AS cs, sum(v) OVER (PARTITION BY donor_id) AS total FROM long),
+@whole(f"""WITH {ALL}, c AS (SELECT donor_id, t + 1 AS k, sum(v) OVER (PARTITION BY donor_id ORDER BY t) AS cs, sum(v) OVER (PARTITION BY donor_id) AS total FROM long),
 e AS (SELECT donor_id, k, sqrt(k * ({W} - k) / {W}.0) * (cs / k - (total - cs) / ({W} - k)) AS c FROM c WHERE k < {W})
 SELECT donor_id, round(arg_max(c, round(abs(c), 9) * 1000000 - k / 1e6), 5) AS contrast, round(arg_max(k, round(abs(c), 9) * 1000000 - k / 1e6) / {W}.0, 6) AS split FROM e GROUP BY 1""")
 def cusum(spark, d):
-    return B.donors(spark, d).select("donor_id", A.cusum(F.col("x")).alias("c")).select("donor_id", F.round("c.contrast", 5).alias("contrast"), F.round("c.split", 6).alias("split"))
+    return B.every(spark, d).select("window_id", A.cusum(F.col("x")).alias("c")).select("window_id", F.round("c.contrast", 5).alias("contrast"), F.round("c.split", 6).alias("split"))
 
 
-@query(f"WITH {B.DONOR} SELECT donor_id, round(list_avg(x[{W - W // 4 + 1}:]) - list_avg(x[1:{W // 4}]), 6) AS persistence FROM donors")
+@whole(f"WITH {B.EVERY} SELECT donor_id, round(list_avg(x[{W - W // 4 + 1}:]) - list_avg(x[1:{W // 4}]), 6) AS persistence FROM donors")
 def persistence(spark, d):
-    return B.donors(spark, d).select("donor_id", F.round(A.persistence(F.col("x")), 6).alias("persistence"))
+    return B.every(spark, d).select("window_id", F.round(A.persistence(F.col("x")), 6).alias("persistence"))
 
 
 _RESIDUAL = f"""pad AS (SELECT donor_id, t + 4 AS p, v FROM long UNION ALL SELECT donor_id, p, v FROM long, (SELECT unnest([0, 1, 2, 3]) AS p) WHERE t = 0 UNION ALL SELECT donor_id, {W} + p, v FROM long, (SELECT unnest([4, 5, 6, 7]) AS p) WHERE t = {W - 1}),
 res AS (SELECT l.donor_id, l.t, any_value(l.v) - quantile_cont(p.v, 0.5) AS r FROM long l JOIN pad p ON p.donor_id = l.donor_id AND p.p BETWEEN l.t AND l.t + 8 GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {LONG}, {_RESIDUAL}, m AS (SELECT donor_id, quantile_cont(r, 0.5) AS med FROM res GROUP BY 1), n AS (SELECT donor_id, quantile_cont(abs(r - med), 0.5) AS mad FROM res JOIN m USING (donor_id) GROUP BY 1),
+@whole(f"""WITH {ALL}, {_RESIDUAL}, m AS (SELECT donor_id, quantile_cont(r, 0.5) AS med FROM res GROUP BY 1), n AS (SELECT donor_id, quantile_cont(abs(r - med), 0.5) AS mad FROM res JOIN m USING (donor_id) GROUP BY 1),
 f AS (SELECT donor_id, t, abs(r - med) > greatest(4 * mad, 1e-12) AS f FROM res JOIN m USING (donor_id) JOIN n USING (donor_id)), g AS (SELECT donor_id, f AND NOT coalesce(lag(f) OVER (PARTITION BY donor_id ORDER BY t), false) AS s FROM f)
 SELECT donor_id, CAST(count(*) FILTER (s) AS INTEGER) AS excursions FROM g GROUP BY 1""")
 def excursion_count(spark, d):
-    return B.donors(spark, d).select("donor_id", A.excursions(F.col("x")).alias("excursions"))
+    return B.every(spark, d).select("window_id", A.excursions(F.col("x")).alias("excursions"))
 
 
-@query(f"WITH {LONG}, {_RESIDUAL} SELECT donor_id, round(arg_max(r, (round(abs(r), 9), -t)), 6) AS severity, round(arg_max(t, (round(abs(r), 9), -t)) / {W - 1}.0, 6) AS position FROM res GROUP BY 1")
+@whole(f"WITH {ALL}, {_RESIDUAL} SELECT donor_id, round(arg_max(r, (round(abs(r), 9), -t)), 6) AS severity, round(arg_max(t, (round(abs(r), 9), -t)) / {W - 1}.0, 6) AS position FROM res GROUP BY 1")
 def signed_peak(spark, d):
-    return B.donors(spark, d).select("donor_id", A.signed_peak(F.col("x")).alias("p")).select("donor_id", F.round("p.severity", 6).alias("severity"), F.round("p.position", 6).alias("position"))
+    return B.every(spark, d).select("window_id", A.signed_peak(F.col("x")).alias("p")).select("window_id", F.round("p.severity", 6).alias("severity"), F.round("p.position", 6).alias("position"))
 
 
-@query(f"WITH {LONG}, s AS (SELECT donor_id, v - lag(v) OVER (PARTITION BY donor_id ORDER BY t) AS a FROM long) SELECT donor_id, round(stddev_pop(a), 8) AS std, round(quantile_cont(abs(a), 0.99), 8) AS p99, round(quantile_cont(abs(a), 0.999), 8) AS p999 FROM s GROUP BY 1")
+@whole(f"WITH {ALL}, s AS (SELECT donor_id, v - lag(v) OVER (PARTITION BY donor_id ORDER BY t) AS a FROM long) SELECT donor_id, round(stddev_pop(a), 8) AS std, round(quantile_cont(abs(a), 0.99), 8) AS p99, round(quantile_cont(abs(a), 0.999), 8) AS p999 FROM s GROUP BY 1")
 def first_difference(spark, d):
-    s = B.donors(spark, d).withColumn("s", A.steps(F.col("x"))).withColumn("a", F.transform("s", F.abs))
-    return s.select("donor_id", F.round(A.std(F.col("s")), 8).alias("std"), F.round(A.quantile(F.col("a"), 0.99), 8).alias("p99"), F.round(A.quantile(F.col("a"), 0.999), 8).alias("p999"))
+    s = B.every(spark, d).withColumn("s", A.steps(F.col("x"))).withColumn("a", F.transform("s", F.abs))
+    return s.select("window_id", F.round(A.std(F.col("s")), 8).alias("std"), F.round(A.quantile(F.col("a"), 0.99), 8).alias("p99"), F.round(A.quantile(F.col("a"), 0.999), 8).alias("p999"))
 
 
-@query(f"WITH {LONG} SELECT donor_id, CAST(coalesce(max(n), 0) AS INTEGER) AS run FROM (SELECT donor_id, hi, count(*) FILTER (hi) AS n FROM (SELECT donor_id, v > 40 AS hi, t - row_number() OVER (PARTITION BY donor_id, v > 40 ORDER BY t) AS g FROM long) GROUP BY donor_id, hi, g) GROUP BY 1")
+@whole(f"WITH {ALL} SELECT donor_id, CAST(coalesce(max(n), 0) AS INTEGER) AS run FROM (SELECT donor_id, hi, count(*) FILTER (hi) AS n FROM (SELECT donor_id, v > 40 AS hi, t - row_number() OVER (PARTITION BY donor_id, v > 40 ORDER BY t) AS g FROM long) GROUP BY donor_id, hi, g) GROUP BY 1")
 def longest_run(spark, d):
-    return B.donors(spark, d).select("donor_id", A.longest_run(F.transform(F.col("x"), lambda v: v > 40)).alias("run"))
+    return B.every(spark, d).select("window_id", A.longest_run(F.transform(F.col("x"), lambda v: v > 40)).alias("run"))
 
 
 _NARROW = "nar AS (SELECT channel_idx, lo + 0.1 * (hi - lo) AS lo, hi - 0.3 * (hi - lo) AS hi FROM scaler)"
 
 
-@query(f"WITH {LONG}, {B.SCALER}, {_NARROW}, u AS (SELECT donor_id, (v - lo) / greatest(hi - lo, 1e-12) AS u FROM long JOIN nar USING (channel_idx)) SELECT donor_id, round(avg(CAST(u < 0 OR u > 1 AS INTEGER)), 6) AS outside_frac, bool_or(u < 0 OR u > 1) AS any_outside, round(max(greatest(-u, u - 1, 0)), 6) AS excess FROM u GROUP BY 1")
+@whole(f"WITH {ALL}, {B.SCALER}, {_NARROW}, u AS (SELECT donor_id, (v - lo) / greatest(hi - lo, 1e-12) AS u FROM long JOIN nar USING (channel_idx)) SELECT donor_id, round(avg(CAST(u < 0 OR u > 1 AS INTEGER)), 6) AS outside_frac, bool_or(u < 0 OR u > 1) AS any_outside, round(max(greatest(-u, u - 1, 0)), 6) AS excess FROM u GROUP BY 1")
 def envelope(spark, d):
     span = F.col("hi") - F.col("lo")
     narrow = B.scaler(spark, d).select("channel_idx", (F.col("lo") + 0.1 * span).alias("lo"), (F.col("hi") - 0.3 * span).alias("hi"))
-    return scaling.envelope(B.donors(spark, d), narrow).select("donor_id", F.round("outside_frac", 6).alias("outside_frac"), "any_outside", F.round("excess", 6).alias("excess"))
+    return scaling.envelope(B.every(spark, d), narrow).select("window_id", F.round("outside_frac", 6).alias("outside_frac"), "any_outside", F.round("excess", 6).alias("excess"))
 
 
-@query(f"""WITH {LONG}, m AS (SELECT channel_idx, avg(v) AS m FROM long GROUP BY 1), z AS (SELECT donor_id, channel_idx, t, v - m AS z FROM long JOIN m USING (channel_idx)), va AS (SELECT channel_idx, avg(z * z) AS va FROM z GROUP BY 1)
+@whole(f"""WITH {ALL}, m AS (SELECT channel_idx, avg(v) AS m FROM long GROUP BY 1), z AS (SELECT donor_id, channel_idx, t, v - m AS z FROM long JOIN m USING (channel_idx)), va AS (SELECT channel_idx, avg(z * z) AS va FROM z GROUP BY 1)
 SELECT a.channel_idx, CAST(b.t - a.t AS INTEGER) AS lag, round(avg(a.z * b.z) / any_value(va), 6) AS acf FROM z a JOIN z b ON a.donor_id = b.donor_id AND b.t - a.t BETWEEN 0 AND 15 JOIN va ON va.channel_idx = a.channel_idx GROUP BY 1, 2""")
 def pooled_acf(spark, d):
-    return fidelity.pooled_acf(B.donors(spark, d), 16, ["channel_idx"]).select("channel_idx", "lag", F.round("acf", 6).alias("acf"))
+    return fidelity.pooled_acf(B.every(spark, d), 16, ["channel_idx"]).select("channel_idx", "lag", F.round("acf", 6).alias("acf"))
 
 
-@query(f"WITH {LONG}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT} SELECT channel_idx, CAST(k AS INTEGER) AS bin, round(avg((re * re + im * im) / {W}), 4) AS psd FROM dft WHERE k > 0 GROUP BY 1, 2")
+@whole(f"WITH {ALL}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT} SELECT channel_idx, CAST(k AS INTEGER) AS bin, round(avg((re * re + im * im) / {W}), 4) AS psd FROM dft WHERE k > 0 GROUP BY 1, 2")
 def mean_psd(spark, d):
-    c = B.donors(spark, d).select("channel_idx", A.let(A.mean(F.col("x")), lambda m: F.transform(F.col("x"), lambda v: v - m)).alias("x"))
+    c = B.every(spark, d).select("channel_idx", A.let(A.mean(F.col("x")), lambda m: F.transform(F.col("x"), lambda v: v - m)).alias("x"))
     p = c.select("channel_idx", F.posexplode(spectral.power("x")).alias("bin", "p")).where("bin > 0")
     return p.groupBy("channel_idx", "bin").agg(F.round(F.avg("p") / W, 4).alias("psd"))
 
 
-@query(f"WITH {LONG}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT}, a AS (SELECT donor_id, k, round(2 * sqrt(re * re + im * im) / {W}, 9) AS a FROM dft WHERE k > 0) SELECT donor_id, CAST(arg_max(k, (a, -k)) AS INTEGER) AS bin, round(max(a), 6) AS amplitude FROM a GROUP BY 1")
+@whole(f"WITH {ALL}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT}, a AS (SELECT donor_id, k, round(2 * sqrt(re * re + im * im) / {W}, 9) AS a FROM dft WHERE k > 0) SELECT donor_id, CAST(arg_max(k, (a, -k)) AS INTEGER) AS bin, round(max(a), 6) AS amplitude FROM a GROUP BY 1")
 def dominant_fft(spark, d):
-    return B.donors(spark, d).select("donor_id", spectral.dominant("x").alias("f")).select("donor_id", "f.bin", F.round("f.amplitude", 6).alias("amplitude"))
+    return B.every(spark, d).select("window_id", spectral.dominant("x").alias("f")).select("window_id", "f.bin", F.round("f.amplitude", 6).alias("amplitude"))
 
 
 # --- generators and editors ---
@@ -250,19 +257,23 @@ def edi_union(spark, d):
     return scoring.edi(_sides(spark, d)[1]).select("method", *r6("edi"))
 
 
-def _grid(spark):
-    rows = [("ours", 0.05, 0.9, 2.0), ("unguided", 0.02, 0.5, 2.2), ("genias", -0.001, 0.4, 1.1), ("posthoc", 0.047, 0.3, 1.2)]
-    return spark.createDataFrame(rows, "method string, gap double, occupancy double, diversity double")
+_WIN = "m AS (SELECT ['ours', 'unguided', 'genias', 'posthoc'][label - 5] AS method, avg(CAST(embedding[1] AS DOUBLE)) AS gap, avg(CAST(embedding[2] > -1.5 AS INTEGER)) AS occupancy, stddev_pop(CAST(embedding[3] AS DOUBLE)) AS diversity FROM embeddings WHERE label >= 6 GROUP BY 1)"
 
 
-@query("SELECT 0.05 :: DOUBLE AS gap, round(2.0 / 2.2, 6) :: DOUBLE AS diversity_ratio, true AS occupancy_ok, true AS diversity_ok, true AS beats_all, true AS won")
+@query(f"""WITH {_WIN}, o AS (SELECT max(gap) FILTER (method = 'ours') AS gap, max(occupancy) FILTER (method = 'ours') AS occ, max(diversity) FILTER (method = 'ours') / max(diversity) FILTER (method = 'unguided') AS ratio, max(gap) FILTER (method <> 'ours') AS best FROM m)
+SELECT round(gap, 6) AS gap, round(ratio, 6) AS diversity_ratio, occ >= 0.8 AS occupancy_ok, ratio >= 0.8 AS diversity_ok, gap > best AS beats_all, occ >= 0.8 AND ratio >= 0.8 AND gap > best AS won FROM o""")
 def win_rule(spark, d):
-    return scoring.win_rule(_grid(spark), "ours", ["unguided", "genias", "posthoc"]).withColumn("diversity_ratio", F.round("diversity_ratio", 6))
+    """Each class of the gallery stands for a method; statistics of its coordinates for its scores."""
+    e = B.table(spark, d, "embeddings").where("label >= 6").withColumn("method", F.element_at(F.array(*map(F.lit, ("ours", "unguided", "genias", "posthoc"))), (F.col("label") - 5).cast("int")))
+    x = lambda k: F.col("embedding")[k].cast("double")
+    scores = e.groupBy("method").agg(F.avg(x(0)).alias("gap"), F.avg((x(1) > -1.5).cast("double")).alias("occupancy"), F.stddev_pop(x(2)).alias("diversity"))
+    w = scoring.win_rule(scores, "ours", ["unguided", "genias", "posthoc"])
+    return w.select(*r6("gap", "diversity_ratio"), "occupancy_ok", "diversity_ok", "beats_all", "won")
 
 
 # --- fidelity ---
 
-SIDES = f"""{LONG}, {STATS}, {POSTHOC}, {B.SCALER},
+SIDES = f"""{ALL}, {STATS}, {POSTHOC}, {B.SCALER},
 real AS (SELECT donor_id, l.channel_idx, t, (v - lo) / greatest(hi - lo, 1e-12) AS v FROM long l JOIN scaler USING (channel_idx)),
 synth AS (SELECT donor_id, m.channel_idx, t, (y - lo) / greatest(hi - lo, 1e-12) AS v FROM made m JOIN scaler USING (channel_idx))"""
 W1 = """cw AS (SELECT g, v, sum(r) AS r, sum(s) AS s FROM (SELECT g, v, 1 AS r, 0 AS s FROM rv UNION ALL SELECT g, v, 0, 1 FROM sv) GROUP BY 1, 2),
@@ -310,9 +321,10 @@ def fft_awd(spark, d):
 
 @query()
 def c2st(spark, d):
+    """Windows that begin in one stretch of a window's width share a group."""
     real, synth = B.sides(spark, d)
-    ids = lambda df: df.withColumns({"group_id": F.col("donor_id"), "window_id": F.col("donor_id")})
-    return fidelity.c2st(ids(real), ids(synth)).select(*r6("accuracy", "p_value"), "n_test")
+    ids = lambda df: df.withColumns({"group_id": F.floor(F.col("donor_id") / W), "window_id": F.col("donor_id")})
+    return fidelity.c2st_over_seeds(ids(real), ids(synth)).select(*r6("accuracy", "p_value", "reject_rate"), "n_test")
 
 
 @query(f"WITH {SIDES}, rv AS (SELECT channel_idx AS g, v FROM real), sv AS (SELECT channel_idx AS g, v FROM synth), {W1} SELECT 'posthoc' AS method, round(avg(w1), 6) AS w1, CAST(NULL AS DOUBLE) AS acd FROM w1 HAVING count(*) > 0")
@@ -467,35 +479,56 @@ def ppca_inflate(spark, d):
 
 @query()
 def augmented_detector(spark, d):
-    """Recall at a fixed false-alarm rate of a detector trained on generated positives."""
-    base = B.donors(spark, d)
-    made = inject.posthoc(base, W, B.SEED).withColumn("label", F.lit(1))
-    rows = made.select("donor_id", "x", "label").unionByName(base.select("donor_id", "x", F.lit(0).alias("label")))
-    part = F.pmod("donor_id", F.lit(3)) == 0
-    score = models.fit_detector(rows.where(~part))
-    s = score(rows.where(part)).select("donor_id", "label", "score")
-    return detection.auroc(s).select(F.round("auroc", 4).alias("auroc"))
-
-
-# --- selection on literal grids ---
-
-_ROWS = [("a", "band", True, False, 0.9, 0.50, 0.10, 1.2, 1.0), ("b", "band", True, False, 0.7, 0.55, 0.05, 1.0, 1.1), ("c", "push", True, True, 0.9, 0.90, 0.30, 3.0, 2.0), ("d", "push", True, False, 0.2, 0.40, 0.20, 0.9, 0.8), ("e", "push", False, False, 0.9, 0.99, 0.01, 1.0, 1.0)]
-_COLS = "id string, family string, finite boolean, explode boolean, occupancy double, arp double, lam double, tv double, ratio double"
-_VALUES = "g AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" for v in r) + ")" for r in _ROWS) + ") AS t(id, family, finite, explode, occupancy, arp, lam, tv, ratio))"
+    """Detectors trained on real anomalies alone, on generated ones alone and on both, on one fold held out.
+
+    One row an arm: event recall at a tenth of false alarms, average precision and AUROC.
+    Negatives are nominal windows, a third of them for the threshold and the test; no
+    event, and no donor of a generated window, is on both sides.
+    """
+    real = B.kinded(spark, d).where("is_anomaly").select(F.xxhash64("event_id", "channel", "start").alias("id"), F.col("event_id").cast("string").alias("event_id"), "fold", "x", F.lit(1).alias("label"))
+    quiet = B.donors(spark, d)
+    mine = F.pmod("donor_id", F.lit(3)) == 0
+    made = inject.posthoc(quiet.where(~mine), W, B.SEED).select(F.col("donor_id").alias("id"), "x", F.lit(1).alias("label"))
+    plain = quiet.select(F.col("donor_id").alias("id"), "x", F.lit(0).alias("label"), mine.alias("test"))
+    test = real.where("fold = 0").select("id", "event_id", "x", "label").unionByName(plain.where("test").select("id", F.lit(None).cast("string").alias("event_id"), "x", "label"))
+    train = real.where("fold <> 0").select("id", "x", "label")
+    detection.assert_disjoint(real.where("fold <> 0"), real.where("fold = 0"), "event_id")
+    arms = {"real_only": train, "generated_only": made, "generated_and_real": train.unionByName(made)}
+    out = None
+    for arm, positives in arms.items():
+        score = models.fit_detector(positives.unionByName(plain.where("NOT test").select("id", "x", "label")))
+        row = detection.evaluate(score(test).select("id", "event_id", "label", "score"), 0.1).select(F.lit(arm).alias("arm"), *[F.round(c, 4).alias(c) for c in ("recall", "average_precision", "auroc")])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- selection over a grid of cells ---
+
+_VALUES = """g AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS family, c_acctbal >= 0 AS finite, c_nationkey = 0 AS explode, (c_custkey % 100) / 100.0 :: DOUBLE AS occupancy, round(CAST(c_acctbal AS DOUBLE) / 10000, 6) AS arp,
+  (c_custkey % 7) / 10.0 :: DOUBLE AS lam, 0.5 + (c_custkey % 13) / 10.0 :: DOUBLE AS tv, 0.5 + (c_custkey % 11) / 10.0 :: DOUBLE AS ratio FROM customer)"""
+
+
+def _cells(spark, d):
+    """Customers stand for tuned cells, market segments for families."""
+    k, n = F.col("c_custkey"), lambda m, s: (F.col("c_custkey") % m).cast("double") / s
+    return B.table(spark, d, "customer").select(
+        k.cast("string").alias("id"), F.col("c_mktsegment").alias("family"), (F.col("c_acctbal") >= 0).alias("finite"), (F.col("c_nationkey") == 0).alias("explode"), n(100, 100.0).alias("occupancy"),
+        F.round(F.col("c_acctbal").cast("double") / 10000, 6).alias("arp"), n(7, 10.0).alias("lam"), (0.5 + n(13, 10.0)).alias("tv"), (0.5 + n(11, 10.0)).alias("ratio"),
+    )
 
 
 @query(f"WITH {_VALUES} SELECT family, id, arp FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY arp DESC, id) AS k FROM g WHERE finite AND NOT explode) WHERE k = 1")
 def pick_winners(spark, d):
-    return selection.pick_winners(spark.createDataFrame(_ROWS, _COLS), "arp").select("family", "id", "arp")
+    return selection.pick_winners(_cells(spark, d), "arp").select("family", "id", "arp")
 
 
-@query(f"WITH {_VALUES} SELECT family, id, round(e, 6) AS excess FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY occupancy >= 0.5 DESC, e, occupancy DESC, arp DESC, lam) AS k FROM (SELECT *, greatest(tv - 1, 0) AS e FROM g)) WHERE k = 1")
+@query(f"WITH {_VALUES} SELECT family, id, round(e, 6) AS excess FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY occupancy >= 0.5 DESC, e, occupancy DESC, arp DESC, lam, id) AS k FROM (SELECT *, greatest(tv - 1, 0) AS e FROM g)) WHERE k = 1")
 def recommend_lambda(spark, d):
-    return selection.recommend(spark.createDataFrame(_ROWS, _COLS), 1.0, by="family").select("family", "id", *r6("excess"))
+    return selection.recommend(_cells(spark, d), 1.0, by="family").select("family", "id", *r6("excess"))
 
 
-@query(f"WITH {_VALUES} SELECT family, id, round(e, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY occupancy >= 0.5 DESC, e, occupancy DESC, lam) AS k FROM (SELECT *, abs(tv - 1.0) + abs(ratio - 1.0) AS e FROM g)) WHERE k = 1")
+@query(f"WITH {_VALUES} SELECT family, id, round(e, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY occupancy >= 0.5 DESC, e, occupancy DESC, lam, id) AS k FROM (SELECT *, abs(tv - 1.0) + abs(ratio - 1.0) AS e FROM g)) WHERE k = 1")
 def recommend_quiet(spark, d):
-    return selection.recommend_quiet(spark.createDataFrame(_ROWS, _COLS), 1.0, 1.0, by="family").select("family", "id", *r6("error"))
+    return selection.recommend_quiet(_cells(spark, d), 1.0, 1.0, by="family").select("family", "id", *r6("error"))
 
 

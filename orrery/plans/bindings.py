@@ -11,7 +11,7 @@ from orrery.operators import folds, inject, kinds, panel, scaling, windows
 BIN, WIDTH, GUARD, MOST, SEED = 7200, 32, 2, 3, 7
 CUT, PATH_END = "2024-01-25 00:00:00", "2024-01-18 00:00:00"
 ORDERS_CUT, ORDERS_PATH_END = "2000-01-01 00:00:00", "1998-01-01 00:00:00"
-N_FOLDS, LEAST, PER_CHANNEL, DONORS = 3, 5, 200, 40
+N_FOLDS, LEAST, PER_CHANNEL, DONORS = 3, 5, 200, 256
 KINDS = ["real ESA Point / Local", "real ESA Point / Global", "real ESA local subsequence", "real level shift", "real ESA global subsequence"]
 
 
@@ -89,8 +89,13 @@ def kinded(spark: SparkSession, d: str) -> DataFrame:
     return folded(spark, d).withColumn("kind_name", kinds.esa_kind(F.col("x"), F.col("esa_length"), F.col("esa_locality"), 1.0))
 
 
+def every(spark: SparkSession, d: str) -> DataFrame:
+    """All finite windows, under one number for channel and start."""
+    return finite(spark, d).select((F.col("channel_idx").cast("long") * 1_000_000_000 + F.col("start")).alias("window_id"), "channel_idx", "start", "x")
+
+
 def donors(spark: SparkSession, d: str) -> DataFrame:
-    """Donors from all finite windows; a channel with fewer gives what it has."""
+    """Donors of galleries: ``DONORS`` of each channel from all finite windows; a channel with fewer gives what it has."""
     f = finite(spark, d)
     from pyspark.sql import Window
 
@@ -106,9 +111,9 @@ def scaler(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Real windows and a generated gallery, in units of the channel's range."""
+    """All real windows and a gallery made from them, in units of the channel's range."""
     s = scaler(spark, d)
-    real = donors(spark, d)
+    real = every(spark, d).withColumnRenamed("window_id", "donor_id")
     made = inject.posthoc(real, WIDTH, SEED)
     return scaling.span_normalise(real.select("donor_id", "channel_idx", "x"), s), scaling.span_normalise(made, s)
 
@@ -178,4 +183,6 @@ kinded AS (SELECT *, CASE WHEN esa_length = 'Point' THEN CASE WHEN esa_locality
   WHEN esa_locality = 'Local' THEN '{KINDS[2]}' WHEN {SHIFT} >= 1.0 THEN '{KINDS[3]}' ELSE '{KINDS[4]}' END AS kind_name FROM folded)"""
 DONOR = f"""{FINITE},
 donors AS (SELECT CAST(channel_idx * {DONORS} + rk - 1 AS BIGINT) AS donor_id, channel_idx, start, x FROM (SELECT *, row_number() OVER (PARTITION BY channel_idx ORDER BY {h(SEED, 'channel_idx', 'start')}, start) AS rk FROM finite) WHERE rk <= {DONORS})"""
+EVERY = f"""{FINITE},
+donors AS (SELECT CAST(channel_idx AS BIGINT) * 1000000000 + start AS donor_id, channel_idx, start, x FROM finite)"""
 SCALER = """scaler AS (SELECT dim.channel_idx, coalesce(min(list_min(x)), 0.0) AS lo, coalesce(max(list_max(x)), 1.0) AS hi FROM dim LEFT JOIN finite USING (channel_idx) GROUP BY 1)"""

@@ -191,9 +191,9 @@ def channel_minmax(spark, d):
     return B.scaler(spark, d).select("channel_idx", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query(f"WITH {B.DONOR}, {B.SCALER}, u AS (SELECT donor_id, list_transform(x, lambda v: -1 + (v - lo) / greatest(hi - lo, 1e-6) * 2) AS u FROM donors JOIN scaler USING (channel_idx)) SELECT donor_id, round(list_min(u), 6) AS low, round(list_max(u), 6) AS high, round(list_avg(u), 6) AS mean FROM u")
+@query(f"WITH {B.EVERY}, {B.SCALER}, u AS (SELECT donor_id, list_transform(x, lambda v: -1 + (v - lo) / greatest(hi - lo, 1e-6) * 2) AS u FROM donors JOIN scaler USING (channel_idx)) SELECT donor_id, round(list_min(u), 6) AS low, round(list_max(u), 6) AS high, round(list_avg(u), 6) AS mean FROM u".replace("donor_id", "window_id"))
 def minmax_transform(spark, d):
     from orrery.functions import arrays as A
 
-    u = scaling.transform(B.donors(spark, d), B.scaler(spark, d), (-1.0, 1.0))
-    return u.select("donor_id", F.round(F.array_min("x"), 6).alias("low"), F.round(F.array_max("x"), 6).alias("high"), F.round(A.mean(F.col("x")), 6).alias("mean"))
+    u = scaling.transform(B.every(spark, d), B.scaler(spark, d), (-1.0, 1.0))
+    return u.select("window_id", F.round(F.array_min("x"), 6).alias("low"), F.round(F.array_max("x"), 6).alias("high"), F.round(A.mean(F.col("x")), 6).alias("mean"))
