@@ -35,9 +35,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; a local session (tests) without one gets a temporary one, a cluster has to name it."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
