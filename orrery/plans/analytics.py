@@ -124,9 +124,9 @@ def mean_psd(spark, d):
     return p.groupBy("channel_idx", "bin").agg(F.round(F.avg("p") / W, 4).alias("psd"))
 
 
-@whole(f"WITH {ALL}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT}, a AS (SELECT donor_id, k, round(2 * sqrt(re * re + im * im) / {W}, 9) AS a FROM dft WHERE k > 0) SELECT donor_id, CAST(arg_max(k, (a, -k)) AS INTEGER) AS bin, round(max(a), 6) AS amplitude FROM a GROUP BY 1")
+@whole(f"WITH {ALL}, {STATS}, zs AS (SELECT long.*, v - m AS z FROM long JOIN s USING (donor_id)), {DFT}, a AS (SELECT donor_id, k, round(2 * sqrt(re * re + im * im) / {W}, 9) AS a FROM dft WHERE k > 0) SELECT donor_id, CAST(arg_max(k, (a, -k)) AS INTEGER) AS bin, round(max(a), 5) AS amplitude FROM a GROUP BY 1")
 def dominant_fft(spark, d):
-    return B.every(spark, d).select("window_id", spectral.dominant("x").alias("f")).select("window_id", "f.bin", F.round("f.amplitude", 6).alias("amplitude"))
+    return B.every(spark, d).select("window_id", spectral.dominant("x").alias("f")).select("window_id", "f.bin", F.round("f.amplitude", 5).alias("amplitude"))
 
 
 # --- generators and editors ---
