@@ -213,6 +213,8 @@ ASSIGNED = re.compile(r"([A-Za-z_.-]++)[\"']?(?:=>|:=|=|:)[\"']?(.+)")
 SIGNS = {"=", ":", ":=", "=>"}
 _CLASS = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "9" for c in "0123456789"}})
 LONGEST = 4096
+#: Words a task remembers, and texts it looks at together.
+KNOWN, SLICE = 300_000, 512
 
 
 def bare(word: str) -> str:
@@ -309,12 +311,11 @@ class Crf:
     names: dict[str, int]
     emit: np.ndarray  # features x tags
     move: np.ndarray  # tag to tag; "other" stands before and after a text
-    plain: set[str] = field(default_factory=set)
-    weak: set[str] = field(default_factory=set)
+    plain: dict[str, bool] = field(default_factory=dict)  # words that are not open: can they go on with a name or street?
     seen: dict[str, tuple[np.ndarray, np.ndarray | None]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"plain": set(), "weak": set(), "seen": {}}
+        return self.__dict__ | {"plain": {}, "seen": {}}
 
     def _sum(self, fs: list[str]) -> np.ndarray:
         return self.emit[[self.names[f] for f in fs if f in self.names]].sum(axis=0)
@@ -341,10 +342,9 @@ class Crf:
         if not fresh:
             return fresh
         reach, out = self.reach, set()
-        if len(self.plain) > 600_000:
+        if len(self.plain) > KNOWN:
             self.plain.clear()
-            self.weak.clear()
-        if len(self.seen) > 100_000:
+        if len(self.seen) > KNOWN // 20:
             self.seen.clear()
         for w in fresh:
             e = self.seen.get(w)
@@ -352,9 +352,7 @@ class Crf:
                 e = self.look(w)
                 if e[1] is None and e[0][CUE] == e[0][HOUSE] == SHUT and (e[0][0] - e[0][2:5] > reach).all():
                     if len(w) <= 64:
-                        self.plain.add(w)
-                        if e[0][NAME] > SHUT:
-                            self.weak.add(w)
+                        self.plain[w] = bool(e[0][NAME] > SHUT)
                     continue
                 self.seen[w] = e
             out.add(w)
@@ -362,7 +360,8 @@ class Crf:
 
     def goes_on(self, word: str) -> bool:
         """Can the word, which is not open, go on with a name or a street?"""
-        return word in self.weak or len(word) > 64 and NAME not in shut(word, self.cues)
+        known = self.plain.get(word)
+        return NAME not in shut(word, self.cues) if known is None else known
 
     def scores(self, ws: list[str]) -> np.ndarray:
         """Words x tags, every word with what its neighbours give it."""
@@ -619,6 +618,12 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], crf: C
     return [sorted(x, key=lambda s: (order[s[0]], s[1])) for x in out]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -629,7 +634,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     crf = model()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, crf)
@@ -656,7 +661,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     crf = model()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw = b.column(text).to_pylist()
             texts = [t or "" for t in raw]
             base = [base_spans(t) for t in texts]
