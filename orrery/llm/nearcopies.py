@@ -1,24 +1,30 @@
-"""Near copies by shingle similarity: texts whose sets of five words overlap by 0.8 or more.
+"""SimHash near copies from a similarity of 0.8 on: texts whose sets of five words overlap that far.
 
 A text's set is that of the hashes of its runs of five words (of all its words if
-it has fewer). Texts with equal sets enter as one. Fingerprints of 64 bits do not
-serve here: at a similarity of 0.8 they differ in about ten bits, often more, and
-no index of that radius is selective. Instead
+it has fewer). Texts with equal sets enter as one. At a similarity of 0.8 fingerprints
+of 64 bits differ in ten bits or so, and no index of that radius is selective, so the
+fingerprints here have 256 bits, and candidates come from the sets themselves:
 
-1. each set sends a key for every pair of its ``LOW`` smallest hashes. Of a union
-   in random order, at most one of the first ten is common to both sets with
+1. hashes that no other set has among its ``LOW`` smallest leave after one count; for
+   every pair of what is left a set sends a key. Of a union in random order, at most one of the first ten is common to both sets with
    probability 4e-6 at a similarity of 0.8, less above; otherwise a key is shared.
-   Sets of up to ten hashes lose nothing;
-2. where keys meet, sets are linked loosely if the sizes allow a similarity of 0.8
-   and the ``SKETCH`` smallest hashes agree in ``LOOSE`` of them (a similarity of
-   0.8 falls under that with probability 1e-8). Components of these links hold
-   every pair that counts;
+   Sets of up to ten hashes lose nothing. Keys with one smallest member make one
+   cell, as near copies share most of their keys;
+2. in a cell, pigeonring chains of fingerprint segments within their budgets prune the
+   pairs before the full Hamming check at ``TAU`` bits (at a similarity of 0.8 the
+   distance is about 39, at most 48 on average for the smallest sets, with a deviation
+   of six; unrelated texts differ in 128, with a deviation of eight). Sets of up to ten
+   hashes pass. Components of these links hold every pair that counts;
 3. within each component the whole sets are compared, and linked from 0.8 on.
 
 In both comparisons groups grow from a pivot, as in :mod:`orrery.llm.simhash`:
 what a pivot has absorbed is compared only with what is left, so the edges are a
-spanning forest of all links. A key of more than ``CELL`` sets, and a component of
+spanning forest of all links. A cell of more than ``CELL`` sets, and a component of
 more than ``HASHES`` hashes, is dealt into pieces; each pair of pieces is a cell.
+
+Defined cases: null, empty and blank texts have the empty set and are copies of each
+other; repeated rows are one; ids may be null or repeated; an empty table stays empty;
+other columns go along untouched, whatever their names; long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -36,10 +42,11 @@ from orrery.llm.components import components
 SHINGLE = 5
 SEED = 42
 LOW = 10
-SKETCH = 64
-LOOSE = 0.45
-CELL = 16_384
-HASHES = 4_000_000
+TAU = 80
+SEGMENTS = 16
+CHAIN = 4
+CELL = 4096
+HASHES = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -59,27 +66,57 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, len(ws) - k + 1))
 
 
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The 256-bit SimHash of a set of hashes: a bit is set if it is in over half of them."""
+    total = np.zeros(256, np.int64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096]
+        wide = np.empty((len(h), 4), np.uint64)
+        for k in range(4):  # one hash gives four words
+            x = h + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            wide[:, k] = x ^ (x >> np.uint64(27))
+        total += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes)).tobytes()
+
+
+def close(fps: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which of the fingerprints (rows of 16-bit segments) are within ``TAU`` bits of p.
+
+    Of segments on a ring whose differences sum up to TAU at most, one begins a chain
+    whose first l segments differ in at most l TAU / SEGMENTS bits, for every l.
+    """
+    diff = np.bitwise_count(fps ^ p).astype(np.int16)
+    budget, ok, run = TAU // SEGMENTS, np.ones(diff.shape, bool), np.zeros(diff.shape, np.int16)
+    for n in range(CHAIN):
+        run += np.roll(diff, -n, axis=1)
+        ok &= run <= budget * (n + 1)
+    out = ok.any(axis=1)
+    out[out] = diff[out].sum(axis=1) <= TAU
+    return out
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for b in batches:
-        sig, n, low, sketch = [], [], [], []
+        sig, n, low, fp = [], [], [], []
         for t in b.column(2).to_pylist():
             s = shingles(t)
             sig.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
             n.append(len(s))
-            low.append(s[:LOW].tobytes())
-            sketch.append(s[:SKETCH].astype(np.uint32).tobytes())
-        cols = [b.column(0), b.column(1), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(sketch, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "sig", "n", "low", "sketch"])
+            low.append(s[:LOW].view(np.int64))
+            fp.append(fingerprint(s) if len(s) > LOW else b"")
+        cols = [b.column(0), b.column(1), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(fp, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "sig", "n", "low", "fp"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, low) to a row (key, sig) for each pair of the smallest hashes."""
+    """Rows (sig, sorted hashes) to a row (key, sig) for each pair of the hashes."""
     for b in batches:
         sig, out, row = b.column(0), [], []
-        for i, raw in enumerate(b.column(1).to_pylist()):
-            v = np.frombuffer(raw, np.uint64)
+        for i, values in enumerate(b.column(1).to_pylist()):
+            v = np.array(values, np.int64).view(np.uint64)
             x, y = np.triu_indices(len(v), 1)
             key = v[x] * np.uint64(0x9E3779B97F4A7C15) + v[y] * np.uint64(0xC2B2AE3D27D4EB4F)
             out.append(key ^ (key >> np.uint64(29)))
@@ -122,18 +159,19 @@ def _common(raw: list[np.ndarray], p: int, asked: np.ndarray) -> np.ndarray:
 
 def _links(exact: bool):
     """Sorted rows (cell, lo, hi, sig, n, raw) to edges; a cell may run over into the next batch."""
-    kind = np.uint64 if exact else np.uint32
-
     def edges(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
         sigs = list(rows)
         sizes = np.array([rows[s][0] for s in sigs], np.int64)
-        raw = [np.frombuffer(rows[s][1], kind) for s in sigs]
+        if exact:
+            raw = [np.frombuffer(rows[s][1], np.uint64) for s in sigs]
+        else:
+            fps = np.frombuffer(b"".join([rows[s][1] or bytes(32) for s in sigs]), np.uint16).reshape(-1, SEGMENTS)
 
         def hits(p: int, asked: np.ndarray) -> np.ndarray:
-            same = _common(raw, p, asked)
             if exact:
+                same = _common(raw, p, asked)
                 return 5 * same >= 4 * (sizes[p] + sizes[asked] - same)
-            return same >= LOOSE * np.minimum(SKETCH, np.maximum(sizes[p], sizes[asked]))
+            return close(fps[asked], fps[p]) | (np.minimum(sizes[asked], sizes[p]) <= LOW)
 
         return [(sigs[a], sigs[b]) for a, b in grow(sizes, hits)]
 
@@ -186,16 +224,22 @@ def groups(docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFra
     """(doc_id, th, root) per row: rows with one root are connected by similarities of 0.8 or more."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    marked = scratch.cut(own.mapInArrow(_marks, f"doc_id {kind}, th long, sig long, n long, low binary, sketch binary"), "marked")
+    marked = scratch.cut(own.mapInArrow(_marks, f"doc_id {kind}, th long, sig long, n long, low array<long>, fp binary"), "marked")
     some = F.min(F.struct("doc_id", "th")).alias("rep")
-    sets = scratch.cut(marked.groupBy("sig").agg(some, F.min("n").alias("n"), F.min("low").alias("low"), F.min("sketch").alias("raw")), "sets")
-    keyed = scratch.cut(sets.select("sig", "low").mapInArrow(_keys, "key long, sig long"), "keys")
-    shared = scratch.cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    pieces = F.when(F.col("m") > CELL, F.ceil(F.col("m") / (CELL // 2))).otherwise(1).cast("int")
-    met = scratch.cut(keyed.join(shared, "key").select("key", "sig", pieces.alias("pieces")), "met")
+    sets = scratch.cut(marked.groupBy("sig").agg(some, F.min("n").alias("n"), F.min("low").alias("low"), F.min("fp").alias("raw")), "sets")
+    single = sets.select("sig", F.explode("low").alias("v"))
+    often = scratch.cut(single.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "often")
+    some = scratch.cut(single.join(often, "v"), "some")
+    low = some.groupBy("sig").agg(F.array_sort(F.collect_list("v")).alias("low")).where("size(low) > 1")  # at most LOW of a set
+    keyed = scratch.cut(low.mapInArrow(_keys, "key long, sig long"), "keys")
+    shared = scratch.cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("cell")).where("m > 1").select("key", "cell"), "shared")
+    met = scratch.cut(keyed.join(shared, "key").select("cell", "sig").distinct(), "met")
     scratch.drop(keyed)
+    scratch.drop(shared)
     scratch.sweep()
-    rows = met.join(sets.select("sig", "n", "raw"), "sig").select(F.col("key").alias("cell"), "sig", "n", "raw", F.inline(_cells(F.col("pieces"))))
+    sizes = scratch.cut(met.groupBy("cell").agg(F.count("*").alias("m")), "sizes")
+    pieces = F.when(F.col("m") > CELL, F.ceil(F.col("m") / (CELL // 2))).otherwise(1).cast("int")
+    rows = met.join(sizes, "cell").join(sets.select("sig", "n", "raw"), "sig").select("cell", "sig", "n", "raw", F.inline(_cells(pieces)))
     loose = scratch.cut(components(_linked(rows, False), scratch), "loose")
     scratch.drop(met)
     scratch.sweep()
@@ -216,7 +260,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     scratch = Scratch(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
-    first = scratch.cut(groups(docs, id_col, text, scratch).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th")), "kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(id_col).alias("i"), F.xxhash64(F.col(text)).alias("h"))
-    kept = rows.join(first, F.col("i").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_th")), "left_semi")
-    return kept.dropDuplicates(["i", "h"]).select("d.*")
+    # One shuffle of the documents: the distinct rows are found in the partitions of the join.
+    keys = lambda i, h: [F.coalesce(i.cast("string"), F.lit("")).alias("i"), i.isNull().alias("none"), h.alias("h")]
+    first = groups(docs, id_col, text, scratch).groupBy("root").agg(F.min(order).alias("k"))
+    first = scratch.cut(first.select(*keys(F.col("k.doc_id"), F.col("k.th"))), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *keys(F.col(id_col), F.xxhash64(F.col(text))))
+    return rows.join(first, ["i", "none", "h"], "left_semi").dropDuplicates(["i", "none", "h"]).select("d.*")
