@@ -12,7 +12,7 @@ the labelled table marks. The field is trained on the driver from the small tabl
 below (exact gradients by forward-backward) and its weights go to the tasks. Some
 tags are closed to some words: only a learned cue or a sign is a cue, only a number is a
 house number, only capitalised words are names or streets; a name goes on from
-a cue, a street from a house number.
+a cue or a link after one, a street from a house number.
 
 Decoding is Viterbi in numpy over batches of word runs. A word with no cue or number
 within two words, whose score for "other" exceeds those for contact, number and secret
@@ -55,13 +55,15 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("contact", "number", "secret", "name", "address")
 BLANK = re.compile(r"([\x20\x09-\x0D]+)")
 
-TAGS = ("other", "cue", *ADDED_KINDS, "house")
-CUE, NAME, STREET, HOUSE = 1, 5, 6, 7
+TAGS = ("other", "cue", *ADDED_KINDS, "house", "link")
+CUE, NAME, STREET, HOUSE, LINK = 1, 5, 6, 7, 8
 ADDED = {**{2 + i: k for i, k in enumerate(ADDED_KINDS)}, HOUSE: "address"}
 SHUT = -1e6
+LINKS = ("is", "was")
 
 # The labelled table: one sentence a row, tagged words as word/tag with tags q (cue),
-# c (contact), n (number), s (secret), m (name), h (house number), a (rest of an address).
+# l (link: a common word that goes on from a cue), c (contact), n (number), s (secret),
+# m (name), h (house number), a (rest of an address).
 # A capital tag also makes the word a cue for its neighbours, as q does. Everything else
 # is "other".
 LABELLED = (
@@ -116,10 +118,10 @@ LABELLED = (
     "token=5baa61e4c9b93f3f0682250b6cf8331b7ee68fd8/s expired",
     "password:/q hunter2-Zx9qk7Rw/s was in the note",
     "password:/q letMeIn99/s on paper",
-    "the password/q is/q tr0ub4dor/s for now",
-    "my password/q is/q blue42sky/s so",
-    "his password/q was/q qwerty123/s then",
-    "the passcode/q is/q 7h3k9x/s today",
+    "the password/q is/l tr0ub4dor/s for now",
+    "my password/q is/l blue42sky/s so",
+    "his password/q was/l qwerty123/s then",
+    "the passcode/q is/l 7h3k9x/s today",
     "secret:/q 7d865e959b2466918c9863afca942d0f/s leaked",
     "apikey/q =/q A8b7C6d5E4f3G2h1J0k9L8m7/s in the code",
     "secret_key/q =/q wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY/s",
@@ -131,7 +133,7 @@ LABELLED = (
     "use ghp_k29Xv7bQ4mT1zR8pL3wY6cN5dH0/s now",
     "the password/q was long and the secret/q was kept",
     "the password/q is required and the token/q is optional",
-    "password/q is/q a word, secret/q is/q another",
+    "password/q is/l a word, secret/q is/l another",
     "key/q words are not secret/q and a token/q is a word",
     "write to john.smith[at]example[dot]org/c today",
     "mail maria(at)post(dot)net/c for help",
@@ -188,10 +190,10 @@ LABELLED = (
     "ask Prof./q Hale/m for it",
     "with Ms/q Rosa/m Vega/m today",
     "then Mr/q Boone/m left",
-    "my name/q is/q Peter/m Olsen/m and",
+    "my name/q is/l Peter/m Olsen/m and",
     "name:/q Clara/m Bell/m of Rome",
     "Dear/q Mr./q Stone/m we write",
-    "the name/q is/q long and the name/q of the place is old",
+    "the name/q is/l long and the name/q of the place is old",
     "the doctor Dr./q and the name/q were lost",
     "Paul Warren came, and Anna went to Rome with Peter.",
     "at 12/h Baker/a Street/A in town",
@@ -208,7 +210,7 @@ LABELLED = (
     "in 1984 Orwell and 2001 Kubrick",
     "The 12 Apostles and 300 Spartans of Sparta",
 )
-SHORT = {"q": 1, "c": 2, "n": 3, "s": 4, "m": 5, "a": 6, "h": 7}
+SHORT = {"q": 1, "c": 2, "n": 3, "s": 4, "m": 5, "a": 6, "h": 7, "l": 8}
 ASSIGNED = re.compile(r"([A-Za-z_.-]++)[\"']?(?:=>|:=|=|:)[\"']?(.+)")
 SIGNS = {"=", ":", ":=", "=>"}
 _CLASS = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "9" for c in "0123456789"}})
@@ -257,6 +259,8 @@ def features(word: str, cues: frozenset[str] | set[str]) -> list[str]:
     """Shape features of one word."""
     core = word.strip("\"'“”,;!?").rstrip(".")
     out = ["bias"]
+    if bare(word) in LINKS:
+        return [*out, "letters", f"link:{bare(word)}"]
     if len(core) > LONGEST:
         return [*out, "endless"]
     b = bare(word)
@@ -288,6 +292,8 @@ def shut(word: str, cues: frozenset[str] | set[str]) -> list[int]:
     core = word.strip("\"'“”,;!?.()")
     cue = bare(word) in cues
     out = [] if cue or core in SIGNS else [CUE]
+    if bare(word) not in LINKS:
+        out.append(LINK)
     if not (core[:1].isupper() and len(core) <= 40):
         out += [NAME, STREET]
     return out if re.fullmatch(r"[0-9]{1,5}[A-Za-z]?", core) else [*out, HOUSE]
@@ -311,7 +317,7 @@ class Crf:
     names: dict[str, int]
     emit: np.ndarray  # features x tags
     move: np.ndarray  # tag to tag; "other" stands before and after a text
-    plain: dict[str, bool] = field(default_factory=dict)  # words that are not open: can they go on with a name or street?
+    plain: dict[str, bool] = field(default_factory=dict)  # words that are not open: can they go on with what begins before?
     seen: dict[str, tuple[np.ndarray, np.ndarray | None]] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -332,7 +338,7 @@ class Crf:
     def reach(self) -> np.ndarray:
         """For contact, number and secret: the most that the moves beside a word can give them over "other"."""
         some = [2, 3, 4]
-        before, after = [k for k in range(len(TAGS)) if k != HOUSE], [k for k in range(len(TAGS)) if k not in (NAME, STREET)]
+        before, after = [k for k in range(len(TAGS)) if k != HOUSE], [k for k in range(len(TAGS)) if k not in (NAME, STREET, LINK)]
         into, out = self.move - self.move[:, :1], self.move - self.move[:1]
         return into[np.ix_(before, some)].max(axis=0) + out[np.ix_(some, after)].max(axis=1)
 
@@ -352,16 +358,16 @@ class Crf:
                 e = self.look(w)
                 if e[1] is None and e[0][CUE] == e[0][HOUSE] == SHUT and (e[0][0] - e[0][2:5] > reach).all():
                     if len(w) <= 64:
-                        self.plain[w] = bool(e[0][NAME] > SHUT)
+                        self.plain[w] = bool(max(e[0][NAME], e[0][LINK]) > SHUT)
                     continue
                 self.seen[w] = e
             out.add(w)
         return out
 
     def goes_on(self, word: str) -> bool:
-        """Can the word, which is not open, go on with a name or a street?"""
+        """Can the word, which is not open, go on with a name, a street or a link?"""
         known = self.plain.get(word)
-        return NAME not in shut(word, self.cues) if known is None else known
+        return not {NAME, LINK} <= set(shut(word, self.cues)) if known is None else known
 
     def scores(self, ws: list[str]) -> np.ndarray:
         """Words x tags, every word with what its neighbours give it."""
@@ -435,7 +441,8 @@ def train(table: tuple[str, ...] = LABELLED, steps: int = 300, rate: float = 0.1
         for j, w in enumerate(ws):
             closed[i, j, shut(w, cues)] = SHUT
     only = np.zeros((k, k))
-    only[[t for t in range(k) if t not in (CUE, NAME)], NAME] = SHUT
+    only[[t for t in range(k) if t not in (CUE, LINK, NAME)], NAME] = SHUT
+    only[[t for t in range(k) if t not in (CUE, LINK)], LINK] = SHUT
     only[[t for t in range(k) if t not in (STREET, HOUSE)], STREET] = SHUT
     only[HOUSE, [t for t in range(k) if t != STREET]] = SHUT
     params = [np.zeros((len(names), k)), np.zeros((k, k))]
