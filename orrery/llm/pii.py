@@ -319,9 +319,10 @@ class Crf:
     move: np.ndarray  # tag to tag; "other" stands before and after a text
     plain: dict[str, bool] = field(default_factory=dict)  # words that are not open: can they go on with what begins before?
     seen: dict[str, tuple[np.ndarray, np.ndarray | None]] = field(default_factory=dict)
+    cases: dict[tuple, bool | None] = field(default_factory=dict)  # what ``plain`` says of all words of letters of a case; None: open
 
     def __getstate__(self):
-        return self.__dict__ | {"plain": {}, "seen": {}}
+        return self.__dict__ | {"plain": {}, "seen": {}, "cases": {}}
 
     def _sum(self, fs: list[str]) -> np.ndarray:
         return self.emit[[self.names[f] for f in fs if f in self.names]].sum(axis=0)
@@ -353,17 +354,38 @@ class Crf:
         if len(self.seen) > KNOWN // 20:
             self.seen.clear()
         for w in fresh:
+            case = self._case(w)
+            if case is not None:  # words of letters that are no cues have the features of their case alone
+                if case not in self.cases:
+                    self.cases[case] = self._dull(self.look(w), reach)
+                if self.cases[case] is not None:
+                    self.plain[w] = self.cases[case]
+                    continue
             e = self.seen.get(w)
             if e is None:
                 e = self.look(w)
-                if e[1] is None and e[0][CUE] == e[0][HOUSE] == SHUT and (e[0][0] - e[0][2:5] > reach).all():
+                dull = self._dull(e, reach)
+                if dull is not None:
                     if len(w) <= 64:
-                        self.plain[w] = bool(max(e[0][NAME], e[0][LINK]) > SHUT)
+                        self.plain[w] = dull
                     continue
                 self.seen[w] = e
             out.add(w)
         return out
 
+    def _case(self, word: str) -> tuple | None:
+        core = word.strip("\"'“”,;!?").rstrip(".")
+        if not core.isalpha() or len(core) > 40 or (b := bare(word)) in self.cues or b in LINKS:
+            return None
+        return core.islower(), core[0].isupper(), core[1:].islower(), core.isupper()
+
+    def _dull(self, e: tuple[np.ndarray, np.ndarray | None], reach: np.ndarray) -> bool | None:
+        """None for scores of an open word; else whether the word can go on with what begins before it."""
+        own, given = e
+        if given is None and own[CUE] == own[HOUSE] == SHUT and (own[0] - own[2:5] > reach).all():
+            return bool(max(own[NAME], own[LINK]) > SHUT)
+        return None
+
     def goes_on(self, word: str) -> bool:
         """Can the word, which is not open, go on with a name, a street or a link?"""
         known = self.plain.get(word)
