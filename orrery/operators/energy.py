@@ -47,7 +47,7 @@ def energies(queries: DataFrame, refs: DataFrame, tau: float, k: int = 8, kind:
                 d2 = blocks.squares(z, blocks.matrix(part.x))
                 near = np.sort(d2, axis=1)[:, :k]
                 out.append(pd.DataFrame({"query_id": q.query_id, "kind": name, "n": len(part), "part": log_sum_exp(-d2 / tau), "near": list(near)}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "kind", "n", "part", "near")})
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "kind", "n", "part", "near")}, dtype=object)
 
     met = blocks.meet(queries.select("query_id", "x"), own, work, "query_id long, kind string, n long, part double, near array<double>")
     total = lambda a: F.aggregate(F.transform(a, lambda v: F.exp(v - F.array_max(a))), F.lit(0.0), lambda x, y: x + y)

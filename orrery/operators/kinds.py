@@ -110,7 +110,7 @@ def nearest_generated(queries: DataFrame, gallery: DataFrame, by: str = "kind_na
                 for i, row, k in zip(part.query_id, d, part.k, strict=True):
                     best = np.lexsort((ids, row))[:k]
                     out.append(pd.DataFrame({by: name, "query_id": i, "donor_id": ids[best], "distance": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({by: [], "query_id": [], "donor_id": [], "distance": []})
+        return pd.concat(out) if out else pd.DataFrame({by: [], "query_id": [], "donor_id": [], "distance": []}, dtype=object)
 
     found = blocks.meet(q, g, near, f"{by} string, query_id long, donor_id long, distance double")
     order = Window.partitionBy(by, "query_id").orderBy("distance", "donor_id")

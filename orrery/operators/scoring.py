@@ -25,7 +25,7 @@ def min_distances(queries: DataFrame, gallery: DataFrame, by: str | None = None)
             if len(q) and len(part):
                 d2 = blocks.squares(blocks.matrix(q.x), blocks.matrix(part.x)).min(axis=1)
                 out.append(pd.DataFrame({"query_id": q.query_id, **({by: key} if by else {}), "d2": d2}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ["query_id", *([by] if by else []), "d2"]})
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ["query_id", *([by] if by else []), "d2"]}, dtype=object)
 
     near = blocks.meet(queries.select("query_id", "x"), gallery.select(*([by] if by else []), "x"), work, f"query_id long{kind}, d2 double")
     near = near.groupBy("query_id", *([by] if by else [])).agg(F.sqrt(F.min("d2")).alias("distance"))
