@@ -17,11 +17,10 @@ def hash_bucket(h: Column) -> Column:
     return F.shiftright(h, 22)
 
 
-def number_bucket(rows: DataFrame, col: str, buckets: int = 256) -> Column:
-    """A bucket that follows a number; its bounds are approximate quantiles, at most ``buckets`` numbers on the driver."""
+def number_bucket(rows: DataFrame, col: str, buckets: int = 64) -> Column:
+    """A bucket that follows a number; its bounds are approximate quantiles, fewer than ``buckets`` numbers on the driver."""
     cuts = rows.agg(F.percentile_approx(col, [i / buckets for i in range(1, buckets)], 10_000).alias("p")).first()["p"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    return F.size(F.filter(bounds, lambda b: b < F.col(col)))
+    return sum(((F.col(col) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
 
 
 def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list[str | Column]) -> DataFrame:
