@@ -137,14 +137,14 @@ def c2st(real: DataFrame, synth: DataFrame, seed: int = 0, share: float = 0.3, n
     from pyspark.ml.functions import array_to_vector
 
     rows = balanced(both(real, synth, "channel_idx", "group_id", "window_id", "x"), seed, "window_id")
-    rows = rows.withColumns({"label": F.col("real").cast("double"), "raw": array_to_vector("x")})
+    rows = rows.withColumns({"label": F.col("real").cast("double"), "raw": array_to_vector("x")}).persist()  # read once for the split, the fit and the test
     held = test_groups(rows, seed, share)
     train, test = rows.join(held, "group_id", "left_anti"), rows.join(held, "group_id", "left_semi")
     if train.select("label").distinct().count() < 2 or test.isEmpty():
         return rows.sparkSession.createDataFrame([(float("nan"), float("nan"), 0)], "accuracy double, p_value double, n_test long")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
     model = LogisticRegression(regParam=0.01, maxIter=100).fit(scaler.transform(train))
-    said = model.transform(scaler.transform(test)).select("window_id", "real", "label", "prediction")
+    said = model.transform(scaler.transform(test)).select("window_id", "real", "label", "prediction").persist()
     hit = said.agg(balanced_accuracy(F.col("label"), F.col("prediction")).alias("accuracy"), F.count("*").alias("n_test"), F.sum("label").cast("long").alias("ones"))
     draws = said.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn("h", hashing.hashed(seed, F.col("perm"), F.col("real"), F.col("window_id")))
     dealt = ranking.numbered(draws, ["perm"], ranking.hash_bucket(F.col("h")), ["h", "real", "window_id"]).join(F.broadcast(hit))
