@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, html, order, pieces, pii, quality, simhash, suffixes, toxicity, urls
+from orrery.llm import decontaminate, html, interaction, order, pieces, pii, quality, simhash, suffixes, toxicity, urls
 from orrery.llm.common import Scratch
 
 
@@ -63,8 +63,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data)
+    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data, op11_filter_interactions)
     return {f.__name__: f for f in named}
 
 
@@ -103,5 +107,24 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
 
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+  + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS mask FROM d),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, ascii(substr(o, step, 1)) - 65 AS f, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, CAST(i AS INT), 1)) - 65))), 0)::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, o, step, f, sum(CASE WHEN (mask & (before | (1 << f))) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN (mask & (1 << f)) <> 0 AND (mask & before) = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN (mask & (1 << f)) <> 0 AND (mask & before) <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = (1 << f) THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN (mask & (1 << f)) <> 0 AND (mask & before) = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN (mask & (1 << f)) <> 0 AND (mask & before) = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8}
+    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8, "op11_filter_interactions": OP11}
