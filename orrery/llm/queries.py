@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, html, interaction, order, pieces, pii, quality, simhash, suffixes, toxicity, urls
+from orrery.llm import decontaminate, html, interaction, order, passages, pieces, pii, quality, simhash, suffixes, toxicity, urls
 from orrery.llm.common import Scratch
 
 
@@ -67,8 +67,13 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data, op11_filter_interactions)
+    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data, op11_filter_interactions, op13_repeated_passages)
     return {f.__name__: f for f in named}
 
 
@@ -125,6 +130,17 @@ SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT)
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
 """
 
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(generate_series(i, i + 34)) AS p FROM twice)),
+each AS (SELECT r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8, "op11_filter_interactions": OP11}
+    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8, "op11_filter_interactions": OP11, "op13_repeated_passages": OP13}
