@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, html, interaction, order, passages, pieces, pii, quality, simhash, suffixes, toxicity, urls
+from orrery.llm import decontaminate, html, importance, interaction, order, passages, pieces, pii, quality, simhash, suffixes, toxicity, urls
 from orrery.llm.common import Scratch
 
 
@@ -67,13 +67,18 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = passages.dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data, op11_filter_interactions, op13_repeated_passages)
+    named = (op1_toxicity, op2_quality_rules, op3_url_rules, op4_training_order, op5_sentencepiece, op6_simhash, op7_main_text, op8_decontaminate, op9_repeated_bytes, op10_personal_data, op11_filter_interactions, op12_importance, op13_repeated_passages)
     return {f.__name__: f for f in named}
 
 
