@@ -4,12 +4,12 @@ Edges are windows of ``WIDTH`` words, nodes the ``WIDTH - 1`` words that two win
 row share. Only edges that occur twice or more are in the graph.
 
 1. Windows are dealt out in runs: windows in a row whose smallest hash of ``GRAM`` words is
-   the same one (a minimizer). A run is one row with a digest of its words, about one for 14
+   the same one (a minimizer). A run is one row with a digest of its words, about one for 12
    words; equal windows have equal minimizers, so a minimizer that occurs once has no
    repeated edge and leaves after one count.
 2. Runs that occur twice are repeated paths as they are. Runs that occur once but share a
-   minimizer with others are looked at edge by edge: an edge that also lies on a repeated
-   path is a place on it, other repeated edges are paths of one edge.
+   minimizer with others are looked at edge by edge, an edge being its two nodes: one that
+   also lies on a repeated path is a place on it, other repeated edges are paths of one edge.
 3. Paths compact: where one path ends and another begins at a node with no other way in or
    out, and the second follows the first in the first one's source, they are one. Pointer
    doubling by joins: as many rounds as the longest chain has binary digits. Links go
@@ -17,10 +17,12 @@ row share. Only edges that occur twice or more are in the graph.
 4. Every occurrence becomes a span of a compacted path, with its place on it. A compacted
    path is one stretch of one source document, so source coordinates verify it: spans are
    cut into cells of ``CELL`` words, and the words of every distinct piece are compared
-   with those of the source in its cell. Until here edges were told apart by hashes; a
-   piece that differs ends the query with an error rather than with lost or false words.
+   with those of the source in its cell. Until here edges were told apart by hashes (128
+   bits); a piece that differs ends the query with an error rather than with lost or false
+   words.
 
-Only rows of bounded size shuffle; spans are gathered by document, whose words bound them.
+Documents and runs are numbered as their table is written, so what shuffles is numbers.
+Rows are of bounded size; spans are gathered by document, whose words bound them.
 Hot runs (copies of a passage in a third of all documents) are counted before the shuffle,
 pieces are made distinct before it, and joins are inner ones that Spark can split.
 
@@ -33,9 +35,11 @@ fine. Empty tables give no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +53,21 @@ _REACH = WIDTH - GRAM + 1
 _CHUNK = 1 << 22
 _SLICE = 256
 _MEMO = 500_000
+#: An odd number and its inverse modulo 2 ** 64.
+_BASE = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Tokens(dict):
     """The 64-bit hash of each word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _MEMO:
-            self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        if len(self) > _MEMO:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,118 +107,128 @@ def minimizers(tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))  # type: ignore[return-value]
 
 
+def digests(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of the words of each run, wherever it stands: differences of running sums of a polynomial."""
+    powers, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(tokens), k, np.uint64)))) for k in _BASE)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * powers[:-1])))
+    return (upto[first + size + WIDTH - 1] - upto[first]) * back[first]
+
+
 def runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first, size, h, c1, c2): runs of ``size`` windows from word ``first`` of rows (doc_id, th, text); c1 and c2 digest their words."""
+    """(doc, doc_id, th, first, size, h, c): runs of ``size`` windows from word ``first`` of rows (doc, doc_id, th, text).
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    ``h`` is their minimizer and ``c`` digests their words; doc_id and th stand in the first run of a document alone.
+    """
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for b in _sliced(batches):
-            texts = _words(b.column(2))
+            texts = _words(b.column(3))
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
-            tokens = np.concatenate([memo.of(w) for w in texts]) if len(texts) else np.zeros(0, np.uint64)
+            tokens = memo.of(texts)
             first, size, h = minimizers(tokens, lens)
             if not len(first):
                 continue
-            raw = tokens.tobytes()
-            c = np.array([divmod(xxhash.xxh3_128_intdigest(raw[8 * i : 8 * (i + n + WIDTH - 1)]), 1 << 64) for i, n in zip(first.tolist(), size.tolist(), strict=True)], np.uint64).view(np.int64)
             begin = np.cumsum(lens) - lens
-            row = np.searchsorted(begin, first, side="right") - 1
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array((first - begin[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1])], ["doc_id", "th", "first", "size", "h", "c1", "c2"])
+            row = np.searchsorted(np.cumsum(lens), first, side="right")
+            once = pa.array(row, mask=np.concatenate(([False], row[1:] == row[:-1])))
+            cols = (first - begin[row]).astype(np.int32), size.astype(np.int32), h.view(np.int64), digests(tokens, first, size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(once), b.column(2).take(once), *map(pa.array, cols)], ["doc", "doc_id", "th", "first", "size", "h", "c"])
 
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, first int, size int, h long, c1 long, c2 long")
+    return docs.mapInArrow(work, f"doc long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, first int, size int, h long, c long")
 
 
 def ways(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, th, first, size, c1, c2, n, head, tail, x, y, nodes) of wanted runs: their first and last node and, where ``edges`` is true, every edge (x, y) and node."""
-    per = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "size", "c1", "c2", "n", "edges")).alias("runs")).select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "runs")
-    # Rows with one id and one text would give the same ways again.
-    rows = docs.join(per, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "runs")
+    """(run, doc, first, size, n, head, tail, nodes) of wanted runs (doc_id, th, run, doc, first, size, n, edges): the first and the last node and, if ``edges``, all."""
+    per = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("run", "doc", "first", "size", "n", "edges")).alias("runs"))
+    rows = docs.join(per, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("text", "runs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for b in _sliced(batches):
-            row, out = [], []
-            for i, (words, each) in enumerate(zip(_words(b.column(2)), b.column(3).to_pylist(), strict=True)):
-                t = memo.of(words)
-                node = grams(t, WIDTH - 1, 11).view(np.int64)
-                x, y = (grams(t, WIDTH, salt).view(np.int64) for salt in (23, 47))
-                for r in each:
-                    a, z = r["first"], r["first"] + r["size"]
-                    full = (x[a:z], y[a:z], node[a : z + 1]) if r["edges"] else (None, None, None)
-                    row.append(i)
-                    out.append((a, r["size"], r["c1"], r["c2"], r["n"], node[a], node[z], *full))
-            if not row:
-                continue
-            take = pa.array(row)
-            kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 3)
-            cols = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols], ["doc_id", "th", "first", "size", "c1", "c2", "n", "head", "tail", "x", "y", "nodes"])
+            lists = b.column(1)
+            r = pa.RecordBatch.from_struct_array(lists.flatten())
+            texts = _words(b.column(0))
+            lens = np.fromiter(map(len, texts), np.int64, len(texts))
+            each = np.repeat(np.cumsum(lens) - lens, np.diff(lists.offsets.to_numpy()))
+            node = grams(memo.of(texts), WIDTH - 1, 11).view(np.int64)
+            at, size = each + r["first"].to_numpy(), r["size"].to_numpy().astype(np.int64)
+            wide = np.where(r["edges"].to_numpy(zero_copy_only=False), size + 1, 0)
+            ends = np.cumsum(wide)
+            flat = np.repeat(at - (ends - wide), wide) + np.arange(ends[-1] if len(ends) else 0)
+            nodes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(node[flat]))
+            yield pa.RecordBatch.from_arrays([r["run"], r["doc"], r["first"], r["size"], r["n"], pa.array(node[at]), pa.array(node[at + size]), nodes], ["run", "doc", "first", "size", "n", "head", "tail", "nodes"])
 
-    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, first int, size int, c1 long, c2 long, n long, head long, tail long, x array<long>, y array<long>, nodes array<long>")
+    return rows.mapInArrow(work, "run long, doc long, first int, size int, n long, head long, tail long, nodes array<long>")
 
 
 def compacted(paths: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, u1, u2, base, s_id, s_th, s_at): each path (a, b, doc_id, th, first, size, head, tail) as a stretch, ``base`` edges on, of the compacted path (u1, u2) that starts at word s_at of its source."""
-    place = F.struct("a", "b", "doc_id", "th", "first", "size")
+    """(p, u, base, s_doc, s_at): each path (p, doc, first, size, head, tail) as a stretch, ``base`` edges on, of the compacted path u, which starts at word s_at of its source."""
+    place = F.struct("p", "doc", "first", "size")
     only = lambda node: paths.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("ways"), F.min(place).alias(node)).where("ways = 1").select("node", node)
-    met = only("tail").join(only("head"), "node")
-    follows = F.col("tail.doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tail.th") == F.col("head.th")) & (F.col("head.first") == F.col("tail.first") + F.col("tail.size"))
-    links = met.where(follows).select(F.col("head.a").alias("a"), F.col("head.b").alias("b"), F.col("tail.a").alias("u1"), F.col("tail.b").alias("u2"), F.col("tail.size").alias("base"), F.lit(True).alias("more"))
-    now = scratch.cut(links, "links")
+    met = only("tail").join(only("head"), "node").where("head.doc = tail.doc AND head.first = tail.first + tail.size")
+    now = scratch.cut(met.select(F.col("head.p").alias("p"), F.col("tail.p").alias("u"), F.col("tail.size").alias("base"), F.lit(True).alias("more")), "links")
     while now.where("more").limit(1).count():
-        other = now.select(F.col("a").alias("u1"), F.col("b").alias("u2"), F.col("u1").alias("v1"), F.col("u2").alias("v2"), F.col("base").alias("on"), F.col("more").alias("on_more"))
-        step = now.where("more").join(other, ["u1", "u2"], "left")
-        far = step.select("a", "b", F.coalesce("v1", "u1").alias("u1"), F.coalesce("v2", "u2").alias("u2"), (F.col("base") + F.coalesce("on", F.lit(0))).alias("base"), F.coalesce("on_more", F.lit(False)).alias("more"))
+        other = now.select(F.col("p").alias("u"), F.col("u").alias("v"), F.col("base").alias("on"), F.col("more").alias("on_more"))
+        step = now.where("more").join(other, "u", "left")
+        far = step.select("p", F.coalesce("v", "u").alias("u"), (F.col("base") + F.coalesce("on", F.lit(0))).alias("base"), F.coalesce("on_more", F.lit(False)).alias("more"))
         before, now = now, scratch.cut(now.where("NOT more").unionByName(far), "links")
         scratch.drop(before)
-    roots = paths.join(now, ["a", "b"], "left").select("a", "b", F.coalesce("u1", "a").alias("u1"), F.coalesce("u2", "b").alias("u2"), F.coalesce("base", F.lit(0)).alias("base"), F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), (F.col("first") - F.coalesce("base", F.lit(0))).alias("s_at"))
-    return scratch.cut(roots, "paths")
+    base = F.coalesce("base", F.lit(0))
+    return scratch.cut(paths.join(now, "p", "left").select("p", F.coalesce("u", "p").alias("u"), base.alias("base"), F.col("doc").alias("s_doc"), (F.col("first") - base).alias("s_at")), "paths")
 
 
-def occurrences(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, th, first, size, u1, u2, off, own): windows from word ``first`` that lie ``off`` edges on in a compacted path; ``own`` in its source."""
-    every = scratch.cut(runs(docs), "runs")
-    other = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+def occurrences(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc, first, size, u, off, own): windows from word ``first`` that lie ``off`` edges on in the compacted path u, ``own`` in its source; and (doc, doc_id, th)."""
+    every = scratch.cut(runs(docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "th", "text")).withColumn("run", F.monotonically_increasing_id()), "runs")
     # Written first: a join straight from two shuffles lets Spark split a minimizer that very many texts share.
-    buckets = scratch.cut(every.groupBy("h").agg(F.count("*").alias("m"), other.alias("mixed")).where("m > 1").select("h", "mixed"), "buckets")
-    shared = scratch.cut(every.join(buckets, "h"), "shared")
+    buckets = scratch.cut(every.groupBy("h").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("m > 1").select("h", "mixed"), "buckets")
+    shared = scratch.cut(every.select("run", "doc", "first", "size", "h", "c").join(buckets, "h"), "shared")
+    names = scratch.cut(every.where("th IS NOT NULL").select("doc", "doc_id", "th"), "names")
     scratch.drop(every)
     scratch.sweep()
-    place = F.struct("doc_id", "th", "first", "size")
-    equal = shared.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("rep"), F.max("mixed").alias("mixed"))
-    wanted = equal.where("n > 1 OR mixed").select("rep.*", "c1", "c2", "n", F.col("mixed").alias("edges"))
-    near = scratch.cut(ways(docs, wanted).dropDuplicates(["c1", "c2"]), "ways")
+    equal = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("run").alias("rep"))
+    known = scratch.cut(shared.join(equal, ["h", "c"]).select("run", "doc", "first", "size", "mixed", "n", "rep"), "known")
+    scratch.drop(shared)
+    scratch.sweep()
+    wanted = known.where("run = rep").join(names, "doc").select("doc_id", "th", "run", "doc", "first", "size", "n", F.col("mixed").alias("edges"))
+    near = scratch.cut(ways(docs, wanted), "ways")
     scratch.sweep()
     # Edges of mixed minimizers: on a repeated path, or in two or more runs that occur once.
-    flat = near.where("x IS NOT NULL").select("doc_id", "th", "first", "c1", "c2", "n", F.col("nodes"), F.posexplode(F.arrays_zip("x", "y")).alias("i", "e"))
-    edges = scratch.cut(flat.select("doc_id", "th", (F.col("first") + F.col("i")).alias("at"), "c1", "c2", "n", "i", F.get("nodes", F.col("i")).alias("head"), F.get("nodes", F.col("i") + 1).alias("tail"), "e.x", "e.y"), "edges")
-    owner = F.min(F.struct((F.col("n") == 1).alias("lone"), "doc_id", "th", "at", "c1", "c2", "i", "head", "tail"))
-    repeated = scratch.cut(edges.groupBy("x", "y").agg(F.sum("n").alias("n"), owner.alias("o")).where("n > 1").select("x", "y", "o"), "repeated")
-    lone = repeated.where("o.lone").select(F.col("x").alias("a"), F.col("y").alias("b"), "o.doc_id", "o.th", F.col("o.at").alias("first"), F.lit(1).alias("size"), "o.head", "o.tail")
-    full = near.where("n > 1").select(F.col("c1").alias("a"), F.col("c2").alias("b"), "doc_id", "th", "first", "size", "head", "tail")
-    paths = compacted(scratch.cut(full.unionByName(lone), "segments"), scratch)
-    on = F.when(F.col("o.lone"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("i"))).otherwise(F.struct(F.col("o.c1").alias("a"), F.col("o.c2").alias("b"), F.col("o.i").alias("i")))
-    spots = scratch.cut(repeated.select("x", "y", on.alias("on")).select("x", "y", "on.*").join(paths, ["a", "b"]).withColumn("base", F.col("base") + F.col("i")).drop("a", "b", "i"), "spots")
-    whole = shared.join(paths.withColumnsRenamed({"a": "c1", "b": "c2"}), ["c1", "c2"])
-    single = edges.where("n = 1").select("doc_id", "th", F.col("at").alias("first"), F.lit(1).alias("size"), "x", "y").join(spots, ["x", "y"])
-    own = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")) & (F.col("first") - F.col("base") == F.col("s_at"))
-    both = whole.select("doc_id", "th", "first", "size", "u1", "u2", "base", "s_id", "s_th", "s_at").unionByName(single.select("doc_id", "th", "first", "size", "u1", "u2", "base", "s_id", "s_th", "s_at"))
-    return both.select("doc_id", "th", "first", "size", "u1", "u2", F.col("base").alias("off"), own.alias("own"))
+    lone = 1 << 60
+    spot = F.col("run") * 32 + F.col("i") + F.when(F.col("n") == 1, lone).otherwise(0)
+    nodes = near.where("size(nodes) > 0").select("run", "n", "nodes", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i"))
+    edges = nodes.select(F.get("nodes", F.col("i")).alias("head"), F.get("nodes", F.col("i") + 1).alias("tail"), "n", spot.alias("spot"))
+    repeated = scratch.cut(edges.groupBy("head", "tail").agg(F.sum("n").alias("n"), F.min("spot").alias("o")).where("n > 1").select("head", "tail", "o"), "repeated")
+    single = scratch.cut(edges.where("n = 1").join(repeated, ["head", "tail"]).select("head", "tail", F.col("spot") - lone, "o").toDF("head", "tail", "spot", "o"), "single")
+    scratch.sweep()
+    at = lambda c: (F.floor(F.col(c) / 32).cast("long"), (F.col(c) % 32).cast("int"))
+    run, i = at("spot")
+    found = single.select("head", "tail", "spot", "o", run.alias("run"), i.alias("i")).join(near.where("n = 1").select("run", "doc", "first"), "run").select("head", "tail", "spot", "o", "doc", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("size"))
+    found = scratch.cut(found, "found")
+    ones = found.where(F.col("spot") + lone == F.col("o")).select(F.col("o").alias("p"), "doc", "first", "size", "head", "tail")
+    full = near.where("n > 1").select((F.col("run") * 32).alias("p"), "doc", "first", "size", "head", "tail").distinct()  # rows with one id and one text give theirs twice
+    paths = compacted(scratch.cut(full.unionByName(ones), "segments"), scratch)
+    scratch.drop(near)
+    run, i = at("o")
+    inside = F.col("o") < lone
+    places = found.select("doc", "first", "size", F.when(inside, run * 32).otherwise(F.col("o")).alias("p"), F.when(inside, i).otherwise(0).alias("i"))
+    whole = known.where("n > 1").select("doc", "first", "size", (F.col("rep") * 32).alias("p"), F.lit(0).alias("i"))
+    own = (F.col("doc") == F.col("s_doc")) & (F.col("first") - F.col("off") == F.col("s_at"))
+    spans = whole.unionByName(places).join(paths, "p").withColumn("off", F.col("base") + F.col("i"))
+    return spans.select("doc", "first", "size", "u", "off", own.alias("own")), names
 
 
 def merged(spans: list[dict]) -> list[tuple]:
-    """(first, size, u1, u2, off, own): spans of one text; those that go on in the text and on the path become one."""
+    """(first, size, u, off, own): spans of one text; those that go on in the text and on the path become one."""
     out: list[tuple] = []
-    for s in sorted(spans, key=lambda s: (s["u1"], s["u2"], s["first"] - s["off"], s["first"])):
-        key = (s["u1"], s["u2"], s["first"] - s["off"])
+    for s in sorted(spans, key=lambda s: (s["u"], s["first"] - s["off"], s["first"])):
+        key = (s["u"], s["first"] - s["off"])
         if out and out[-1][0] == key and out[-1][1] + out[-1][2] >= s["first"]:
             out[-1] = (key, out[-1][1], max(out[-1][2], s["first"] + s["size"] - out[-1][1]), s["own"])
         else:
             out.append((key, s["first"], s["size"], s["own"]))
-    return [(first, size, u1, u2, first - diagonal, own) for (u1, u2, diagonal), first, size, own in out]
+    return [(first, size, u, first - diagonal, own) for (u, diagonal), first, size, own in out]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,34 +238,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
-    found = occurrences(own, scratch)
-    per = scratch.cut(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "size", "u1", "u2", "off", "own")).alias("spans")), "spans").select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans")
+    found, names = occurrences(own, scratch)
+    # Rows with one id and one text have the same spans: those of one of them do.
+    once = names.groupBy("doc_id", "th").agg(F.min("doc").alias("doc"))
+    each = found.groupBy("doc").agg(F.collect_list(F.struct("first", "size", "u", "off", "own")).alias("spans"))
+    per = scratch.cut(each.join(once, "doc"), "spans").select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans")
     scratch.sweep()
     rows = own.join(per, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("doc_id", "text", "spans")
-    names = ("doc_id", "n_words", "n_removed", "kept", "spans", "cells")
-    span = pa.struct([("first", pa.int64()), ("n_words", pa.int64()), ("path", pa.string()), ("at", pa.int64())])
-    cell = pa.struct([("u1", pa.int64()), ("u2", pa.int64()), ("cell", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("words", pa.string()), ("own", pa.bool_())])
+    columns = ("doc_id", "n_words", "n_removed", "kept", "spans", "cells")
+    span = pa.struct([("first", pa.int64()), ("n_words", pa.int64()), ("path", pa.int64()), ("at", pa.int64())])
+    cell = pa.struct([("u", pa.int64()), ("cell", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("words", pa.string()), ("own", pa.bool_())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             out: list[tuple] = []
             for w, found in zip(_words(b.column(1)), b.column(2).to_pylist(), strict=True):
                 gone, spans, cells = np.zeros(len(w), bool), [], []
-                for first, size, u1, u2, off, mine in merged(found or []):
+                for first, size, u, off, mine in merged(found or []):
                     n = size + WIDTH - 1
                     gone[first : first + n] = True
-                    spans.append((first, n, f"{u1 & (1 << 64) - 1:016x}{u2 & (1 << 64) - 1:016x}", off))
+                    spans.append((first, n, u, off))
                     at = off
                     while at < off + n:
                         end = min((at // CELL + 1) * CELL, off + n)
-                        cells.append((u1, u2, at // CELL, at % CELL, end - at, b" ".join(w[first + at - off : first + end - off]).decode(), mine))
+                        cells.append((u, at // CELL, at % CELL, end - at, b" ".join(w[first + at - off : first + end - off]).decode(), mine))
                         at = end
                 kept = b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(w)
                 out.append((len(w), int(gone.sum()), kept.decode(), [dict(zip(span.names, s, strict=True)) for s in sorted(spans)], [dict(zip(cell.names, c, strict=True)) for c in cells]))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(span), pa.list_(cell)), strict=True))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(span), pa.list_(cell)), strict=True))], columns)
 
-    kinds = "n_words long, n_removed long, kept string, spans array<struct<first long, n_words long, path string, at long>>, cells array<struct<u1 long, u2 long, cell long, lo int, n int, words string, own boolean>>"
+    kinds = "n_words long, n_removed long, kept string, spans array<struct<first long, n_words long, path long, at long>>, cells array<struct<u long, cell long, lo int, n int, words string, own boolean>>"
     done = scratch.cut(rows.mapInArrow(work, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {kinds}"), "done")
     verify(done)
     return done.drop("cells")
@@ -259,9 +276,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 def verify(done: DataFrame) -> None:
     """Compare the words of every distinct piece with those of its path's source; an error where they differ."""
-    pieces = done.select(F.explode("cells").alias("c")).select("c.*").groupBy("u1", "u2", "cell", "lo", "n", "words").agg(F.max("own").alias("own"))
-    source = pieces.where("own").select("u1", "u2", "cell", F.col("lo").alias("s_lo"), F.col("n").alias("s_n"), F.col("words").alias("source"))
-    other = pieces.where("NOT own").join(source, ["u1", "u2", "cell"], "left")
+    pieces = done.select(F.explode("cells").alias("c")).select("c.*").groupBy("u", "cell", "lo", "n", "words").agg(F.max("own").alias("own"))
+    source = pieces.where("own").select("u", "cell", F.col("lo").alias("s_lo"), F.col("n").alias("s_n"), F.col("words").alias("source"))
+    other = pieces.where("NOT own").join(source, ["u", "cell"], "left")
     inside = F.array_join(F.slice(F.split("source", " "), F.col("lo") - F.col("s_lo") + 1, F.col("n")), " ")
     same = (F.col("s_lo") <= F.col("lo")) & (F.col("lo") + F.col("n") <= F.col("s_lo") + F.col("s_n")) & (F.col("words") == inside)
     if other.where(~F.coalesce(same, F.lit(False))).limit(1).count():

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from comparing import connect, duck_rows, spark_rows
 
@@ -76,22 +77,30 @@ def test_long_spans_are_stretches_of_their_source(spark, docs):
 
 
 def test_chains_compact_to_their_root(spark):
-    rows = [(i, i, 7, 70, 10 * i, 10, 100 + i, 101 + i) for i in range(37)] + [(90, 90, 8, 80, 0, 5, 500, 501), (91, 91, 8, 80, 5, 5, 501, 502), (92, 92, 9, 90, 0, 5, 501, 503)]
-    paths = spark.createDataFrame(rows, "a long, b long, doc_id long, th long, first int, size int, head long, tail long")
-    got = {r["a"]: (r["u1"], r["base"], r["s_at"]) for r in passages.compacted(paths, Scratch(spark)).collect()}
+    rows = [(i, 7, 10 * i, 10, 100 + i, 101 + i) for i in range(37)] + [(90, 8, 0, 5, 500, 501), (91, 8, 5, 5, 501, 502), (92, 9, 0, 5, 501, 503)]
+    paths = spark.createDataFrame(rows, "p long, doc long, first int, size int, head long, tail long")
+    got = {r["p"]: (r["u"], r["base"], r["s_at"]) for r in passages.compacted(paths, Scratch(spark)).collect()}
     assert all(got[i] == (0, 10 * i, 0) for i in range(37))
     assert got[90] == (90, 0, 0) and got[91] == (91, 0, 5) and got[92] == (92, 0, 0)  # two ways on
 
 
 def test_different_words_of_equal_hashes_are_an_error(spark):
-    kind = "doc_id long, cells array<struct<u1 long, u2 long, cell long, lo int, n int, words string, own boolean>>"
-    source, part = (1, 2, 0, 0, 4, "a b c d", True), (1, 2, 0, 1, 2, "b c", False)
-    passages.verify(spark.createDataFrame([(1, [source]), (2, [part, (*source[:6], False)]), (3, []), (4, None)], kind))
-    for wrong in ((1, 2, 0, 1, 2, "b x", False), (1, 2, 0, 3, 2, "d e", False), (1, 2, 1, 0, 1, "a", False)):
+    kind = "doc_id long, cells array<struct<u long, cell long, lo int, n int, words string, own boolean>>"
+    source, part = (1, 0, 0, 4, "a b c d", True), (1, 0, 1, 2, "b c", False)
+    passages.verify(spark.createDataFrame([(1, [source]), (2, [part, (*source[:5], False)]), (3, []), (4, None)], kind))
+    for wrong in ((1, 0, 1, 2, "b x", False), (1, 0, 3, 2, "d e", False), (1, 1, 0, 1, "a", False)):
         with pytest.raises(RuntimeError):
             passages.verify(spark.createDataFrame([(1, [source]), (2, [part, wrong])], kind))
 
 
+def test_digests_do_not_depend_on_the_place():
+    t = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    t[200:300] = t[:100]
+    first, size = np.array([3, 203, 3, 4]), np.array([20, 20, 21, 20])
+    d = passages.digests(t, first, size)
+    assert d[0] == d[1] and len(set(d.tolist())) == 3
+
+
 def test_whole_tables_against_sql(spark):
     at = "/root/testdata/sf0.01"
     got = spark_rows(queries.op13_repeated_passages(spark, at))
