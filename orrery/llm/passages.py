@@ -181,13 +181,13 @@ def compacted(paths: DataFrame, scratch: Scratch) -> DataFrame:
 def occurrences(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc, first, size, u, off, own): windows from word ``first`` that lie ``off`` edges on in the compacted path u, ``own`` in its source; and (doc, doc_id, th)."""
     every = scratch.cut(runs(docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "th", "text")).withColumn("run", F.monotonically_increasing_id()), "runs")
-    # Written first: a join straight from two shuffles lets Spark split a minimizer that very many texts share.
+    # Counts are written first: a join straight from two shuffles lets Spark split a minimizer or a run that very many texts share.
     buckets = scratch.cut(every.groupBy("h").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("m > 1").select("h", "mixed"), "buckets")
     shared = scratch.cut(every.select("run", "doc", "first", "size", "h", "c").join(buckets, "h"), "shared")
     names = scratch.cut(every.where("th IS NOT NULL").select("doc", "doc_id", "th"), "names")
     scratch.drop(every)
     scratch.sweep()
-    equal = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("run").alias("rep"))
+    equal = scratch.cut(shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("run").alias("rep")), "equal")
     known = scratch.cut(shared.join(equal, ["h", "c"]).select("run", "doc", "first", "size", "mixed", "n", "rep"), "known")
     scratch.drop(shared)
     scratch.sweep()

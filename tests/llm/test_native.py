@@ -11,7 +11,7 @@ DOCS = "doc_id long, text string, h long, d string, m int, w string, words strin
 
 
 def cases():
-    texts = [None, "", " \t\n", "one", ITEM, ITEM.upper(), f"x {ITEM} y {ITEM}", " ".join(WORDS[:10]), " ".join(WORDS[:9]), "a b c d e f g h " * 3, "x\n" * 40, "Two Words", "two,words two words", "#$% " * 30, ("long " + ITEM + "\n") * 3000, "école ÉCOLE naïve " * 20, ITEM + " " + ITEM, "w" * 300]
+    texts = [None, "", " \t\n", "one", ITEM, ITEM.upper(), f"x {ITEM} y {ITEM}", " ".join(WORDS[:10]), " ".join(WORDS[:9]), "a b c d e f g h " * 3, "x\n" * 40, "Two Words", "two,words two words", "#$% " * 30, ("long " + ITEM + "\n") * 3000, "école ÉCOLE naïve " * 20, ITEM + " " + ITEM, "w" * 300, " ".join(f"single{i}" for i in range(60))]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, ITEM), (4, "other text"), (None, ITEM), (None, None)]
     return [(i, t, 7, "clash", 1, "clash", "clash", 3) for i, t in rows]
 
