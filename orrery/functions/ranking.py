@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-
 
 def hash_bucket(h: Column) -> Column:
     """The bucket of a 32-bit hash, in its order."""
@@ -41,46 +39,46 @@ def tile(index: Column, n: Column, k: int) -> Column:
     return F.when(index < wide, F.floor(index / (q + 1))).otherwise(r + F.floor((index - wide) / F.greatest(q, F.lit(1)))).cast("int")
 
 
-def quantiles(rows: DataFrame, col: str, shares: list[float]) -> DataFrame:
-    """One row: ``n`` and ``q``, the quantiles of the values that are not null (linear between order statistics; nulls of none).
+def below(counts: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = 64) -> DataFrame:
+    """``counts`` (one row for each ``value`` of a group) with, for each column c of ``sums``, c_below (over smaller values of the group) and c_total.
 
-    Values are counted first; then running sums within buckets of values, on top of sums over buckets.
+    Buckets follow the values; their bounds are approximate quantiles of the different
+    values, so one outlier moves no other value, and no bucket holds many more than its
+    share. The bounds stay in the plan: nothing comes to the driver.
     """
-    counts = rows.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS - 1)
-    at = counts.join(F.broadcast(span)).select("v", "c", F.when(F.col("hi") > F.col("lo"), F.floor(share)).otherwise(0).alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-    tops = at.groupBy("b").agg(F.sum("c").alias("s")).select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy()).alias("n"))
-    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = at.join(F.broadcast(tops), "b").select("v", "c", "n", (F.col("base") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("below"))
-
-    def one(i: int, p: float) -> list[Column]:
-        spot = F.lit(p) * (F.col("n") - 1)
-        value = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("c")), F.col("v")))
-        return [value(F.floor(spot)).alias(f"a{i}"), value(F.ceil(spot)).alias(f"b{i}")]
+    cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    at = counts.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    whole, inside = Window.partitionBy(*by), Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows a group
+    zero = F.lit(0)
+    tops = at.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in sums]).select(*by, "_b", *[F.coalesce(F.sum(c).over(before), zero).alias(f"_{c}") for c in sums], *[F.sum(c).over(whole).alias(f"{c}_total") for c in sums])
+    placed = at.join(tops, [*by, "_b"])
+    return placed.select(*counts.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), zero)).alias(f"{c}_below") for c in sums], *[f"{c}_total" for c in sums])
 
-    found = placed.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[c for i, p in enumerate(shares) for c in one(i, p)])
+
+def quantiles(rows: DataFrame, col: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """``n`` and ``q``, the quantiles of the values that are not null (linear between order statistics; nulls of none).
+
+    One row, or one for each group of ``by`` that has values.
+    """
+    by = by or []
+    counts = rows.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    placed = below(counts, by, "v", ["c"])
+    value = lambda k: F.max(F.when((F.col("c_below") <= k) & (k < F.col("c_below") + F.col("c")), F.col("v")))
+    spots = [F.lit(p) * (F.col("c_total") - 1) for p in shares]
+    each = [c for i, s in enumerate(spots) for c in (value(F.floor(s)).alias(f"a{i}"), value(F.ceil(s)).alias(f"b{i}"))]
+    found = placed.groupBy(*by).agg(F.coalesce(F.max("c_total"), F.lit(0)).alias("n"), *each)
 
     def between(i: int, p: float) -> Column:
         spot = F.lit(p) * (F.col("n") - 1)
         a, b = F.col(f"a{i}"), F.col(f"b{i}")
         return F.when(a == b, a).otherwise(a + (b - a) * (spot - F.floor(spot)))
 
-    return found.select("n", F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
+    return found.select(*by, "n", F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
 
 
 def lower_median(rows: DataFrame, col: str, times: str) -> DataFrame:
-    """One row: the value at place floor((n - 1) / 2) of values that each count ``times``; null of none.
-
-    Two passes over sums: the bucket of values that holds the place, then the place in it.
-    """
-    counts = rows.groupBy(F.col(col).alias("v")).agg(F.sum(times).alias("c"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS * 16 - 1)
-    at = counts.join(F.broadcast(span)).select("v", "c", F.floor((F.col("n") - 1) / 2).alias("k"), F.when(F.col("hi") > F.col("lo"), F.floor(share)).otherwise(0).alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 x BUCKETS rows
-    tops = at.groupBy("b").agg(F.sum("c").alias("s"), F.max("k").alias("k")).select("b", "s", "k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    here = tops.where((F.col("base") <= F.col("k")) & (F.col("k") < F.col("base") + F.col("s"))).select("b", "base")
-    inside = at.join(F.broadcast(here), "b").withColumn("below", F.col("base") + F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.agg(F.max(F.when((F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("c")), F.col("v"))).alias("v"))
+    """One row: the value at place floor((n - 1) / 2) of values that each count ``times``; null of none."""
+    at = below(rows.groupBy(F.col(col).alias("v")).agg(F.sum(times).alias("c")), [], "v", ["c"])
+    k = F.floor((F.col("c_total") - 1) / 2)
+    return at.agg(F.max(F.when((F.col("c_below") <= k) & (k < F.col("c_below") + F.col("c")), F.col("v"))).alias("v"))

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from orrery.functions import hashing, ranking
 
 
-def threshold_at_far(negatives: DataFrame, far: float = 0.01, score: str = "score") -> DataFrame:
-    """One row: the score that a share ``far`` of finite negatives exceeds; beyond all for 0, below all for 1, 0 of none."""
+def threshold_at_far(negatives: DataFrame, far: float = 0.01, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """The score that a share ``far`` of finite negatives exceeds; beyond all for 0, below all for 1. One row (0 of none), or one for each group that has any."""
+    by = by or []
     live = negatives.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
     if far <= 0:
-        t = live.agg(F.max(score).alias("t")).select((F.col("t") + 1e-12).alias("t"))
+        t = live.groupBy(*by).agg((F.max(score) + 1e-12).alias("t"))
     elif far >= 1:
-        t = live.agg(F.min(score).alias("t")).select((F.col("t") - 1e-12).alias("t"))
+        t = live.groupBy(*by).agg((F.min(score) - 1e-12).alias("t"))
     else:
-        t = ranking.quantiles(live, score, [1 - far]).select(F.col("q")[0].alias("t"))
-    return t.select(F.coalesce("t", F.lit(0.0)).alias("threshold"))
+        t = ranking.quantiles(live, score, [1 - far], by).select(*by, F.col("q")[0].alias("t"))
+    return t.select(*by, F.coalesce("t", F.lit(0.0)).alias("threshold"))
 
 
 def event_hits(scores: DataFrame, threshold: Column | float, *by: str) -> DataFrame:
@@ -25,35 +26,26 @@ def event_hits(scores: DataFrame, threshold: Column | float, *by: str) -> DataFr
     return scores.groupBy(*by, "event_id").agg(F.max((F.col("score") >= threshold).cast("int")).alias("hit"))
 
 
-def ranks(rows: DataFrame, score: str = "score") -> DataFrame:
-    """(score, pos, neg, below): counts of each distinct score and of negatives below it.
+def ranks(rows: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """(by, score, pos, neg, pos_below, neg_below, pos_total, neg_total): counts of each distinct score, and of those below it."""
+    by = by or []
+    n = rows.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    return ranking.below(n, by, "score", ["pos", "neg"])
 
-    Counted first; running sums within buckets of scores on top of sums over buckets.
-    """
-    n = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    span = n.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    at = n.join(F.broadcast(span)).withColumn("bucket", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0)).drop("lo", "hi")
-    # At most 1024 buckets.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = at.groupBy("bucket").agg(F.sum("neg").alias("bn"), F.sum("pos").alias("bp")).select("bucket", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("p0"))
-    inside = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    out = at.join(tops, "bucket")
-    return out.select("score", "pos", "neg", (F.col("n0") + F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("neg_below"), (F.col("p0") + F.coalesce(F.sum("pos").over(inside), F.lit(0))).alias("pos_below"))
-
-
-def auroc(rows: DataFrame, score: str = "score") -> DataFrame:
+
+def auroc(rows: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Chance that a positive scores above a negative, ties half; NaN without both."""
-    r = ranks(rows, score)
-    one = r.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return one.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).otherwise(float("nan")).alias("auroc"))
+    by = by or []
+    one = ranks(rows, score, by).groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return one.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).otherwise(float("nan")).alias("auroc"))
 
 
-def average_precision(rows: DataFrame, score: str = "score") -> DataFrame:
+def average_precision(rows: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Mean precision over recall steps at distinct scores; NaN without positives."""
-    r = ranks(rows, score)
-    sums = r.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    tp, fp = F.col("p") - F.col("pos_below"), F.col("n") - F.col("neg_below")
-    return r.join(F.broadcast(sums)).agg(F.coalesce(F.sum(F.col("pos") * tp / (tp + fp)) / F.max("p"), F.lit(float("nan"))).alias("average_precision"))
+    by = by or []
+    tp, fp = F.col("pos_total") - F.col("pos_below"), F.col("neg_total") - F.col("neg_below")
+    r = ranks(rows, score, by).groupBy(*by).agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.nullif(F.max("pos_total"), F.lit(0))).alias("ap"))
+    return r.select(*by, F.coalesce("ap", F.lit(float("nan"))).alias("average_precision"))
 
 
 def bootstrap_recall(hits: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
@@ -118,3 +110,27 @@ def recall_by_kind(scores: DataFrame, threshold: DataFrame) -> DataFrame:
     at = scores.join(F.broadcast(threshold)).withColumn("hit", (F.col("score") >= F.col("threshold")).cast("int"))
     events = at.groupBy("kind", "event_id").agg(F.max("hit").alias("e"), F.sum("hit").alias("h"), F.count("*").alias("n"))
     return events.groupBy("kind").agg(F.count("*").alias("n_events"), F.sum("n").alias("n_windows"), F.avg("e").alias("recall"), (F.sum("h") / F.sum("n")).alias("window_recall"))
+
+
+def evaluate_models(scores: DataFrame, far: float = 0.01) -> DataFrame:
+    """``evaluate`` of many models in one plan: a row for each ``model`` that has nominal windows.
+
+    ``scores`` has model, label, score, event_id and side (``nominal``, ``rare`` or
+    ``anomaly``). Adds the counts of windows, and the share of anomalous windows found.
+    """
+    by = ["model"]
+    at = scores.join(threshold_at_far(scores.where("side = 'nominal'"), far, by=by), by)
+    hit = (F.col("score") >= F.col("threshold")).cast("double")
+    share = lambda side: F.avg(F.when(F.col("side") == side, hit))
+    of = lambda side: F.count_if(F.col("side") == side)
+    rates = at.groupBy(*by).agg(F.max("threshold").alias("threshold"), share("nominal").alias("far"), share("rare").alias("rare_far"), share("anomaly").alias("window_recall"), of("nominal").alias("n_nominal"), of("rare").alias("n_rare"), of("anomaly").alias("n_windows"))
+    events = event_hits(at.where("side = 'anomaly'"), F.col("threshold"), *by).groupBy(*by).agg(F.avg("hit").alias("recall"), F.count("*").alias("n_events"))
+    quiet = scores.where("side <> 'rare'")
+    out = rates.join(events, by, "left").join(average_precision(quiet, by=by), by, "left").join(auroc(quiet, by=by), by, "left")
+    return out.na.fill(0.0, ["recall"]).na.fill(0, ["n_events"])
+
+
+def model_hits(scores: DataFrame, far: float = 0.01) -> DataFrame:
+    """(model, kind, event_id, hit): which events each model finds at its own threshold."""
+    at = scores.join(threshold_at_far(scores.where("side = 'nominal'"), far, by=["model"]), "model")
+    return event_hits(at.where("side = 'anomaly'"), F.col("threshold"), "model", "kind")

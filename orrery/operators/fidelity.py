@@ -6,13 +6,17 @@ channel that one side lacks does not count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import hashing, ranking, spectral
+from orrery.functions import hashing, ranking, shared, spectral
+from orrery.operators import grouped
 
-BUCKETS = 1024
 EPS = 1e-12
 FEATURES = ("mean", "std", "trend", "skew", "kurtosis", "acf1")
 
@@ -25,21 +29,16 @@ def both(real: DataFrame, synth: DataFrame, *cols: str) -> DataFrame:
 def wasserstein(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, w1) of values (by, real, v): the area between the two empirical distribution functions.
 
-    Values are counted first. Running sums are taken within buckets of values, on
-    top of a running sum over the buckets, so no group is sorted in one task.
+    Values are counted first; running sums are taken within buckets of values that follow
+    their quantiles, so no group is sorted in one task. With one value more, the sum of
+    |F - G| over steps is a difference of neighbours: each value carries the step up to it
+    and the step after it, so no next value is looked up.
     """
     counts = rows.groupBy(*by, "v").agg(F.count_if("real").alias("r"), F.count_if(~F.col("real")).alias("s"))
-    span = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("r").alias("nr"), F.sum("s").alias("ns")).where("nr > 0 AND ns > 0")
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS))).otherwise(0)
-    placed = counts.join(span, by).withColumn("bucket", at)
-    over = Window.partitionBy(*by).orderBy("bucket")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    edges = placed.groupBy(*by, "bucket").agg(F.sum("r").alias("br"), F.sum("s").alias("bs"), F.min("v").alias("first"))
-    edges = edges.select(*by, "bucket", F.coalesce(F.sum("br").over(before), F.lit(0)).alias("pr"), F.coalesce(F.sum("bs").over(before), F.lit(0)).alias("ps"), F.lead("first").over(over).alias("after"))
-    inside = Window.partitionBy(*by, "bucket").orderBy("v")
-    run = inside.rowsBetween(Window.unboundedPreceding, 0)
-    steps = placed.join(edges, [*by, "bucket"]).select(*by, "nr", "ns", (F.col("pr") + F.sum("r").over(run)).alias("fr"), (F.col("ps") + F.sum("s").over(run)).alias("fs"), (F.coalesce(F.lead("v").over(inside), F.col("after")) - F.col("v")).alias("dv"))
-    return steps.groupBy(*by).agg(F.coalesce(F.sum(F.abs(F.col("fr") / F.col("nr") - F.col("fs") / F.col("ns")) * F.col("dv")), F.lit(0.0)).alias("w1"))
+    at = ranking.below(counts, by, "v", ["r", "s"]).where("r_total > 0 AND s_total > 0")
+    gap = lambda more: F.abs((F.col("r_below") + F.col("r") * more) / F.col("r_total") - (F.col("s_below") + F.col("s") * more) / F.col("s_total"))
+    # v[i] ends the step whose height is that below it and begins the one above it.
+    return at.groupBy(*by).agg(F.sum(F.col("v") * (gap(0) - gap(1))).alias("w1")).select(*by, F.greatest("w1", F.lit(0.0)).alias("w1"))
 
 
 def marginal_w1(real: DataFrame, synth: DataFrame) -> DataFrame:
@@ -106,59 +105,70 @@ def macro(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.coalesce(F.avg(value), F.lit(float("nan"))).alias("value"), F.count(value).alias("n_channels"))
 
 
-def balanced(rows: DataFrame, seed: int, *ids: str) -> DataFrame:
-    """As many windows of both sides in each channel, chosen by keyed hash."""
-    n = rows.groupBy("channel_idx").agg(F.least(F.count_if("real"), F.count_if(~F.col("real"))).alias("n"))
-    order = Window.partitionBy("channel_idx", "real").orderBy(hashing.hashed(seed, F.col("real"), *map(F.col, ids)), *ids)
-    return rows.join(n, "channel_idx").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n")).drop("rank", "n")
+def balanced(rows: DataFrame, seeds: int, *ids: str) -> DataFrame:
+    """Rows with ``seed``, 0 to ``seeds`` - 1: for each seed as many of both sides in each channel, chosen by keyed hash; no task sorts a side."""
+    n = rows.groupBy("channel_idx").agg(F.least(F.count_if("real"), F.count_if(~F.col("real"))).alias("least"))
+    keys = rows.select("channel_idx", "real", *ids).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    keys = keys.withColumn("h", hashing.hashed(0, F.col("seed"), F.col("real"), *map(F.col, ids)))
+    placed = ranking.numbered(keys, ["seed", "channel_idx", "real"], ranking.hash_bucket(F.col("h")), ["h", *ids])
+    return placed.join(F.broadcast(n), "channel_idx").where(F.col("index") < F.col("least")).select("seed", "real", *ids)
 
 
-def test_groups(groups: DataFrame, seed: int, share: float = 0.3) -> DataFrame:
-    """``ceil(share x groups)`` of the distinct groups of column group_id, by keyed hash."""
-    h = groups.select("group_id").distinct().withColumns({"all": F.lit(0), "h": hashing.hashed(seed, F.col("group_id"))})
-    return ranking.numbered(h, ["all"], ranking.hash_bucket(F.col("h")), ["h", "group_id"]).where(F.col("index") < F.ceil(F.lit(share) * F.col("n"))).select("group_id")
+def test_groups(groups: DataFrame, share: float = 0.3) -> DataFrame:
+    """Of each ``seed``, ``ceil(share x groups)`` of the distinct groups of column group_id, by keyed hash."""
+    h = groups.select("seed", "group_id").distinct().withColumn("h", hashing.hashed(1, F.col("seed"), F.col("group_id")))
+    return ranking.numbered(h, ["seed"], ranking.hash_bucket(F.col("h")), ["h", "group_id"]).where(F.col("index") < F.ceil(F.lit(share) * F.col("n"))).select("seed", "group_id")
 
 
-def balanced_accuracy(label: Column, said: Column) -> Column:
-    """Mean of the two classes' shares of right answers; NaN without both."""
-    part = lambda k: F.avg(F.when(label == k, (said == k).cast("double")))
-    return F.coalesce((part(1) + part(0)) / 2, F.lit(float("nan")))
+def null_share(hit: int, said: int, ones: int, zeros: int, n_perm: int, seed: int) -> float:
+    """Permutation p-value of a balanced accuracy: dealing the labels anew only changes how many of the ``said`` rows are ones."""
+    draws = np.random.default_rng(seed).hypergeometric(ones, zeros, said, n_perm)
+    value = lambda k: (k / ones + (zeros - (said - k)) / zeros) / 2
+    return float((1 + (value(draws) >= value(hit) - 1e-12).sum()) / (1 + n_perm))
 
 
-def c2st(real: DataFrame, synth: DataFrame, seed: int = 0, share: float = 0.3, n_perm: int = 200) -> DataFrame:
-    """Classifier two-sample test: held-out balanced accuracy of a logistic regression, and a permutation p-value.
+def c2st(real: DataFrame, synth: DataFrame, seeds: int = 5, share: float = 0.3, n_perm: int = 200) -> DataFrame:
+    """(seed, accuracy, p_value, n_train, n_test): classifier two-sample tests, all seeds in one plan.
 
-    Sides have channel_idx, group_id, window_id, x. Groups do not cross the split. Each
-    permutation deals the test labels anew, as many of each as there are, in the order of a
-    keyed hash; no permutation is sorted in one task.
+    Sides have channel_idx, group_id, window_id, x. A seed takes as many windows of both
+    sides in each channel, holds groups out (none is on both sides of the split), and fits
+    a logistic regression; held-out balanced accuracy is compared with that of labels dealt
+    anew. Seeds without both classes in training and test give no row.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    rows = balanced(both(real, synth, "channel_idx", "group_id", "window_id", "x"), seed, "window_id")
-    rows = rows.withColumns({"label": F.col("real").cast("double"), "raw": array_to_vector("x")}).persist()  # read once for the split, the fit and the test
-    held = test_groups(rows, seed, share)
-    train, test = rows.join(held, "group_id", "left_anti"), rows.join(held, "group_id", "left_semi")
-    if train.select("label").distinct().count() < 2 or test.isEmpty():
-        return rows.sparkSession.createDataFrame([(float("nan"), float("nan"), 0)], "accuracy double, p_value double, n_test long")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-    model = LogisticRegression(regParam=0.01, maxIter=100).fit(scaler.transform(train))
-    said = model.transform(scaler.transform(test)).select("window_id", "real", "label", "prediction").persist()
-    hit = said.agg(balanced_accuracy(F.col("label"), F.col("prediction")).alias("accuracy"), F.count("*").alias("n_test"), F.sum("label").cast("long").alias("ones"))
-    draws = said.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn("h", hashing.hashed(seed, F.col("perm"), F.col("real"), F.col("window_id")))
-    dealt = ranking.numbered(draws, ["perm"], ranking.hash_bucket(F.col("h")), ["h", "real", "window_id"]).join(F.broadcast(hit))
-    fake = (F.col("index") < F.col("ones")).cast("double")
-    perms = dealt.groupBy("perm", "accuracy", "n_test").agg(balanced_accuracy(fake, F.col("prediction")).alias("a"))
-    return perms.groupBy("accuracy", "n_test").agg(((F.count_if(F.col("a") >= F.col("accuracy")) + 1) / (n_perm + 1)).alias("p_value")).select("accuracy", "p_value", "n_test")
+    rows = both(real, synth, "channel_idx", "group_id", "window_id", "x")
+    taken = shared.written(balanced(rows, seeds, "group_id", "window_id"), "c2st")
+    held = test_groups(taken, share).withColumn("test", F.lit(True))
+    parts = taken.join(held, ["seed", "group_id"], "left").select("real", "window_id", "seed", F.coalesce("test", F.lit(False)).alias("test"))
+    # One row a window, however many seeds take it.
+    use = parts.groupBy("real", "window_id").agg(F.collect_list(F.when(~F.col("test"), F.col("seed"))).alias("train"), F.collect_list(F.when(F.col("test"), F.col("seed"))).alias("test"))
+    ready = shared.written(rows.join(use, ["real", "window_id"]).select(F.col("real").cast("double").alias("label"), F.col("x").alias("f"), "train", "test"), "c2st")
+    full = [{r["seed"] for r in ready.select("label", F.explode(part).alias("seed")).groupBy("seed").agg(F.count_distinct("label").alias("k")).where("k = 2").collect()} for part in ("train", "test")]
+    good = sorted(full[0] & full[1])
+    out = "seed int, accuracy double, p_value double, n_train long, n_test long"
+    if not good:
+        return rows.sparkSession.createDataFrame([], out)
+    number = F.array(*[F.lit(good.index(s) if s in good else None).cast("int") for s in range(seeds)])
+    named = lambda c: F.filter(F.transform(c, lambda s: F.get(number, s)), lambda k: k.isNotNull()).alias("models")
+    models = grouped.fit(ready.select("label", "f", named("train")), len(good), l2=1.0, balanced=False)
+    said = grouped.scored(ready.select("label", "f", named("test")), models, "label")
+    one, yes = F.col("label") == 1, F.col("score") >= 0
+    counts = said.groupBy("model").agg(F.count_if(one & yes).alias("hit"), F.count_if(yes).alias("said"), F.count_if(one).alias("ones"), F.count_if(~one).alias("zeros"))
+    trained = {s: int(models.counts[k].sum()) for k, s in enumerate(good)}
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                s = good[r.model]
+                rows.append((s, (r.hit / r.ones + (r.zeros - (r.said - r.hit)) / r.zeros) / 2, null_share(r.hit, r.said, r.ones, r.zeros, n_perm, s), trained[s], r.ones + r.zeros))
+            yield pd.DataFrame(rows, columns=["seed", "accuracy", "p_value", "n_train", "n_test"])
+
+    return counts.mapInPandas(judged, out)
 
 
 def c2st_over_seeds(real: DataFrame, synth: DataFrame, seeds: int = 5, n_perm: int = 200) -> DataFrame:
     """One row: median accuracy, median p-value and share of seeds that reject at 0.05."""
-    out = None
-    for seed in range(seeds):
-        row = c2st(real, synth, seed, n_perm=n_perm)
-        out = row if out is None else out.unionByName(row)
+    out = c2st(real, synth, seeds, n_perm=n_perm)  # one row a seed
     return out.agg(F.percentile("accuracy", F.lit(0.5)).alias("accuracy"), F.percentile("p_value", F.lit(0.5)).alias("p_value"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("reject_rate"), F.max("n_test").alias("n_test"))
 
 

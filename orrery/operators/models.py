@@ -219,21 +219,3 @@ def supcon_loss(z: np.ndarray, label: np.ndarray, temperature: float = 0.1) -> f
     each = np.where(same, np.where(same, log_p, 0), 0).sum(axis=1)[n > 0] / n[n > 0]
     return float(-each.mean()) if len(each) else 0.0
 
-
-def fit_detector(rows: DataFrame, seed: int = 0):
-    """A class-balanced logistic regression on standardised windows (label, x); gives a transformer adding ``score``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(n.values())
-    weight = F.when(F.col("label") == 1, total / max(1, n.get(1, 0)) / 2).otherwise(total / max(1, n.get(0, 0)) / 2)
-    ready = rows.withColumns({"v": array_to_vector("x"), "w": weight})
-    fitted = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="f", withMean=True), LogisticRegression(featuresCol="f", labelCol="label", weightCol="w", regParam=0.01)]).fit(ready)
-
-    def score(df: DataFrame) -> DataFrame:
-        return fitted.transform(df.withColumn("v", array_to_vector("x"))).withColumn("score", vector_to_array("rawPrediction")[1]).drop("v", "f", "rawPrediction", "probability", "prediction")
-
-    return score

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.plans import analytics, relational, reports  # noqa: F401  (they register their queries)
+from orrery.plans import analytics, relational, reports, study  # noqa: F401  (they register their queries)
 from orrery.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "s0_labeled_windows"

@@ -61,11 +61,36 @@ def test_permuted_labels_tell_alike_from_unlike(spark):
     def side(shift, base):
         return spark.createDataFrame([(0, i // 2, base + i, [float(v) for v in rng.normal(shift, 1, 8)]) for i in range(160)], "channel_idx int, group_id long, window_id long, x array<double>")
 
-    same = fidelity.c2st(side(0, 0), side(0, 0), n_perm=60).first()
-    far = fidelity.c2st(side(0, 0), side(2, 0), n_perm=60).first()
-    assert far["accuracy"] > 0.9 and far["p_value"] < 0.05 < same["p_value"] and abs(same["accuracy"] - 0.5) < 0.2
-    n = fidelity.test_groups(side(0, 0), 0, 0.3).count()
-    assert n == math.ceil(0.3 * 80)
+    same = fidelity.c2st(side(0, 0), side(0, 0), n_perm=60).collect()
+    far = fidelity.c2st(side(0, 0), side(2, 0), n_perm=60).collect()
+    assert sorted(r["seed"] for r in same) == sorted(r["seed"] for r in far) == list(range(5))
+    assert all(r["accuracy"] > 0.9 and r["p_value"] < 0.05 for r in far)
+    assert all(abs(r["accuracy"] - 0.5) < 0.2 for r in same) and sum(r["p_value"] < 0.05 for r in same) <= 2
+    assert all(r["n_train"] + r["n_test"] == 320 for r in same + far)
+    groups = side(0, 0).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert fidelity.test_groups(groups, 0.3).count() == 2 * math.ceil(0.3 * 80)
+    assert fidelity.c2st(side(0, 0), side(0, 0).limit(0)).count() == 0
+
+
+def test_null_share_equals_dealing_labels(spark):
+    rng = np.random.default_rng(8)
+    label, said = rng.permutation(np.repeat([1, 0], [40, 60])), rng.random(100) < 0.4
+    value = lambda y: (said[y == 1].mean() + (~said)[y == 0].mean()) / 2
+    dealt = np.mean([value(rng.permutation(label)) >= value(label) - 1e-12 for _ in range(20_000)])
+    p = fidelity.null_share(int(said[label == 1].sum()), int(said.sum()), 40, 60, 20_000, 1)
+    assert abs(p - dealt) < 0.02
+
+
+def test_one_outlier_does_not_fill_a_bucket(spark):
+    v = [float(i) for i in range(6400)] + [1e12, -1e12]
+    counts = spark.createDataFrame([("g", x, 1) for x in v], "g string, v double, c long")
+    at = ranking.below(counts, ["g"], "v", ["c"])
+    assert {r["v"]: r["c_below"] for r in at.collect()} == {x: i for i, x in enumerate(sorted(v))}
+    cuts = counts.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).first()[0]
+    assert max(np.bincount(np.searchsorted(cuts, v))) < 2 / 64 * len(v)
+    two = counts.unionByName(counts.select(F.lit("h").alias("g"), (F.col("v") / 1000).alias("v"), "c"))
+    q = {r["g"]: r["q"] for r in ranking.quantiles(two, "v", [0.25, 0.5], ["g"]).collect()}
+    assert np.allclose(q["g"], np.quantile(v, [0.25, 0.5])) and np.allclose(q["h"], np.quantile(v, [0.25, 0.5]) / 1000)
 
 
 def test_counts_gates_and_picks(spark):
