@@ -14,22 +14,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions import shared
+
 LEFT, RIGHT = 4096, 32_768
 
 
-def count(rows: DataFrame, size: int) -> int:
-    return max(1, -(-rows.count() // size))
+def dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """``rows`` with a block number ``_at``, and the number of blocks.
+
+    The numbers are written with the rows: a task that runs again, or a second look at the
+    plan, reads the same ones. Rows are dealt by their place, so repeated rows do not pile up.
+    """
+    kept = shared.written(rows.withColumn("_at", F.monotonically_increasing_id()), name)
+    n = max(1, -(-kept.count() // size))
+    return kept.withColumn("_at", F.pmod("_at", F.lit(n)).cast("int")), n
 
 
-def meet(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, sizes: tuple[int, int] = (LEFT, RIGHT)) -> DataFrame:
-    """What ``work`` makes of every pair of blocks; rows are dealt by their place in the input, so repeated rows do not pile up."""
-    n, m = count(left, sizes[0]), count(right, sizes[1])
+def meet(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """What ``work`` makes of every pair of blocks."""
+    sizes = sizes or (LEFT, RIGHT)
+    (left, n), (right, m) = dealt(left, sizes[0], "left"), dealt(right, sizes[1], "right")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    spot = F.monotonically_increasing_id
-    # Both sides may come from one table: new names of the same columns keep them apart.
-    left, right = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (left, right))
-    a = left.withColumn("_l", F.pmod(spot(), F.lit(n)).cast("int")).withColumn("_r", every(m))
-    b = right.withColumn("_r", F.pmod(spot(), F.lit(m)).cast("int")).withColumn("_l", every(n))
+    a = left.withColumnRenamed("_at", "_l").withColumn("_r", every(m))
+    b = right.withColumnRenamed("_at", "_r").withColumn("_l", every(n))
     return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInPandas(work, schema)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions import ranking
+from orrery.functions import ranking, shared
 from orrery.operators import blocks
 
 MOST = 20_000
@@ -69,18 +69,66 @@ def energies(queries: DataFrame, refs: DataFrame, tau: float, k: int = 8, kind:
     return rows.select("query_id", *[F.coalesce(c, F.lit(float("inf"))).alias(c) for c in ("soft", "nearest", "knn", "balanced")])
 
 
-def pair_squares(rows: DataFrame) -> DataFrame:
-    """(d2, c): how many pairs of rows have each squared distance."""
+#: Buckets of a pass over all pairs, and how many values of one bucket come out as rows.
+CUTS, FEW = 4096, 1_000_000
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"d2": [], "c": []})
-        pair = a.id.to_numpy()[:, None] < b.id.to_numpy()[None]
-        v, c = np.unique(blocks.squares(blocks.matrix(a.x), blocks.matrix(b.x))[pair], return_counts=True)
-        return pd.DataFrame({"d2": v, "c": c})
 
-    own = rows.select(F.monotonically_increasing_id().alias("id"), "x")
-    return blocks.meet(own, own, work, "d2 double, c long", (2048, 2048))
+def inside(d2: np.ndarray, path: list[tuple[float, float, int]]) -> np.ndarray:
+    """Values that lie in bucket k of [low, high) at every level (low, high, k) of ``path``."""
+    ok = np.ones(d2.shape, bool)
+    for low, high, k in path:
+        ok &= bucket(d2, low, high) == k
+    return ok
+
+
+def bucket(d2: np.ndarray, low: float, high: float) -> np.ndarray:
+    return np.clip(np.floor((d2 - low) * (CUTS / (high - low))), 0, CUTS - 1).astype(np.int64)
+
+
+def median_square(rows: DataFrame, few: int = FEW) -> float | None:
+    """The squared distance at place floor((n - 1) / 2) of all pairs of rows; None of fewer than two.
+
+    Passes over all pairs count them in ``CUTS`` buckets, each pass within the median's
+    bucket of the one before, until it holds ``few`` pairs or one value; the last one gives
+    the values of that bucket alone. What leaves a pair of blocks is never its pairs.
+    """
+    own = rows.select("x").withColumn("id", F.monotonically_increasing_id())
+    own = shared.written(own, "pairs")
+
+    def over(work, schema: str) -> DataFrame:
+        def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return work(np.zeros(0))
+            return work(blocks.squares(blocks.matrix(a.x), blocks.matrix(b.x))[a.id.to_numpy()[:, None] < b.id.to_numpy()[None]])
+
+        return blocks.meet(own, own, pairs, schema, (2048, 2048))
+
+    span = over(lambda d2: pd.DataFrame({"n": [len(d2)], "low": [d2.min() if len(d2) else np.nan], "high": [d2.max() if len(d2) else np.nan]}), "n long, low double, high double")
+    one = span.where("n > 0").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if not one["n"]:
+        return None
+    place, n, low, high = (one["n"] - 1) // 2, one["n"], one["low"], one["high"]
+    path: list[tuple[float, float, int]] = []
+    while n > few and high > low:
+
+        def counted(d2: np.ndarray, path=tuple(path), low=low, high=high) -> pd.DataFrame:
+            d2 = d2[inside(d2, path)]
+            k, c = np.unique(bucket(d2, low, high), return_counts=True)
+            return pd.DataFrame({"k": k, "c": c, "low": [d2[bucket(d2, low, high) == i].min() for i in k], "high": [d2[bucket(d2, low, high) == i].max() for i in k]})
+
+        # At most CUTS rows a pair of blocks; CUTS on the driver.
+        got = sorted(over(counted, "k long, c long, low double, high double").groupBy("k").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")).collect(), key=lambda r: r["k"])
+        for r in got:
+            if place < r["c"]:
+                break
+            place -= r["c"]
+        path.append((low, high, r["k"]))
+        n, low, high = r["c"], r["low"], r["high"]
+    if high == low:
+        return float(low)
+    few_values = over(lambda d2: pd.DataFrame(dict(zip(("d2", "c"), np.unique(d2[inside(d2, path)], return_counts=True), strict=True))), "d2 double, c long")
+    at = ranking.below(few_values.groupBy("d2").agg(F.sum("c").alias("c")), [], "d2", ["c"])
+    return at.where((F.col("c_below") <= place) & (place < F.col("c_below") + F.col("c"))).first()["d2"]
 
 
 def proto_energy(rows: DataFrame) -> DataFrame:
@@ -94,7 +142,7 @@ def shell(refs: DataFrame, validation: DataFrame, q: float = 0.99, scale: float
     """One row: tau (root of the lower median squared distance of references), Q_q, delta, mean and std of the energy."""
     if tau is None:
         # The lower middle of n values is the order statistic at floor((n - 1) / 2).
-        mid = ranking.lower_median(pair_squares(refs), "d2", "c").first()["v"]
+        mid = median_square(refs)
         tau = max(float(np.sqrt(mid)), 1e-3) if mid is not None else 1e-3
     h = energies(validation, refs, tau)
     p = ranking.quantiles(h, "soft", [0.25, 0.75, q])

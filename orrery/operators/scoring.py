@@ -12,23 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import ranking
-from orrery.operators import blocks
+from orrery.operators import blocks, nearest
 
 
-def min_distances(queries: DataFrame, gallery: DataFrame, by: str | None = None) -> DataFrame:
-    """(query_id, [by,] distance) from each query (query_id, x) to the nearest gallery row (x[, by]); infinite for an empty gallery."""
-    kind = f", {by} {gallery.schema[by].dataType.simpleString()}" if by else ""
+def min_distances(queries: DataFrame, gallery: DataFrame, by: str | None = None, pivots: int = nearest.PIVOTS) -> DataFrame:
+    """(query_id, [by,] distance) from each query (query_id, x) to the nearest gallery row (x[, by]); infinite for an empty gallery.
 
-    def work(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, part in g.groupby(by) if by else [(None, g)]:
-            if len(q) and len(part):
-                d2 = blocks.squares(blocks.matrix(q.x), blocks.matrix(part.x)).min(axis=1)
-                out.append(pd.DataFrame({"query_id": q.query_id, **({by: key} if by else {}), "d2": d2}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ["query_id", *([by] if by else []), "d2"]}, dtype=object)
-
-    near = blocks.meet(queries.select("query_id", "x"), gallery.select(*([by] if by else []), "x"), work, f"query_id long{kind}, d2 double")
-    near = near.groupBy("query_id", *([by] if by else [])).agg(F.sqrt(F.min("d2")).alias("distance"))
+    Exact: the gallery lies in rings around pivots, and rings that the triangle inequality
+    rules out are not compared (:mod:`orrery.operators.nearest`).
+    """
+    near = nearest.distances(queries, gallery, by, pivots)
     if by:
         return near
     return queries.select("query_id").join(near, "query_id", "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
