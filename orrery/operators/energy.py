@@ -6,6 +6,8 @@ exponentials and the nearest distances of a query, which are put together by que
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,6 +133,42 @@ def median_square(rows: DataFrame, few: int = FEW) -> float | None:
     return at.where((F.col("c_below") <= place) & (place < F.col("c_below") + F.col("c"))).first()["d2"]
 
 
+def locality(rows: DataFrame, refs: DataFrame, basis: np.ndarray, centre: np.ndarray, tau: float, top: float = 0.1) -> DataFrame:
+    """(query_id, share): how much of the squared gradient of the soft energy lies on the ``top`` share of a window's steps.
+
+    ``rows`` (query_id, x) and ``refs`` (x) are windows; the encoder is linear, so the
+    gradient is exact: 2 (z - mean of the references, weighted by nearness) on the basis.
+    Blocks meet; a pair of blocks gives one weighted sum of references for a query. A
+    gradient of zero has a share of zero; without references there are no rows.
+    """
+
+    def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({c: [] for c in ("query_id", "m", "s", "v")}, dtype=object)
+        z, y = (blocks.matrix(q.x) - centre) @ basis, (blocks.matrix(r.x) - centre) @ basis
+        w = -blocks.squares(z, y) / tau
+        m = w.max(axis=1)
+        p = np.exp(w - m[:, None])
+        return pd.DataFrame({"query_id": q.query_id, "m": m, "s": p.sum(axis=1), "v": list(p @ y)})
+
+    met = blocks.meet(rows.select("query_id", "x"), refs.select("x"), work, "query_id long, m double, s double, v array<double>")
+    # One row for a query and a block of references.
+    parts = met.groupBy("query_id").agg(F.collect_list(F.struct("m", "s", "v")).alias("p"))
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x, p in zip(b.x, b.p, strict=True):
+                m, s, v = np.array([e["m"] for e in p]), np.array([e["s"] for e in p]), np.stack([np.array(e["v"], float) for e in p])
+                w = np.exp(m - m.max())
+                g2 = (2 * ((np.array(x, float) - centre) @ basis - (w @ v) / (w @ s)) @ basis.T) ** 2
+                k = max(1, round(top * len(g2)))
+                out.append(np.sort(g2)[-k:].sum() / max(g2.sum(), 1e-12))
+            yield pd.DataFrame({"query_id": b.query_id, "share": out})
+
+    return rows.select("query_id", "x").join(parts, "query_id").mapInPandas(shares, "query_id long, share double")
+
+
 def proto_energy(rows: DataFrame) -> DataFrame:
     """Squared distance of each row's x to its own prototype ``proto``."""
     from orrery.functions import arrays as A

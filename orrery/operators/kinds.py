@@ -80,6 +80,17 @@ def alloc_contiguous(donors: DataFrame, kinds: list[str]) -> DataFrame:
     return spot.withColumn("kind_alloc", F.element_at(F.array(*map(F.lit, kinds)), tile + 1)).drop("all", "index", "n")
 
 
+def alloc_shares(donors: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
+    """Recipes in blocks of donors by their shares, rounded half to even; the last one takes what is left."""
+    spot = ranking.numbered(donors.withColumn("all", F.lit(0)), ["all"], ranking.number_bucket(donors, "donor_id"), ["donor_id"])
+    rule, upto = None, F.lit(0)
+    for recipe, share in shares[:-1]:
+        upto = upto + F.bround(F.col("n") * share)
+        rule = (F.when if rule is None else rule.when)(F.col("index") < upto, recipe)
+    last = F.lit(shares[-1][0])
+    return spot.withColumn("recipe", last if rule is None else rule.otherwise(last)).drop("all", "index", "n")
+
+
 def alloc_stratified(donors: DataFrame, kinds: list[str], seed: int = 0) -> DataFrame:
     """Kinds even within each channel; which kinds get the remainder turns with the channel."""
     k = len(kinds)

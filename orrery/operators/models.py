@@ -50,6 +50,48 @@ def q_sample(rows: DataFrame, alpha_bar: float, seed: int = 0) -> DataFrame:
     return rows.withColumn("x", F.transform("x", lambda v, t: a**0.5 * v + (1 - a) ** 0.5 * hashing.gauss(seed, F.col("donor_id"), t)))
 
 
+def timed(rows: DataFrame, schedule: Schedule, seed: int = 0) -> DataFrame:
+    """Rows (donor_id, channel_idx, x) with a time t drawn by keyed hash, its level a, keyed noise e and the noised window xt."""
+    bars = F.array(*[F.lit(float(b)) for b in schedule.alpha_bar()])
+    at = rows.withColumn("t", hashing.pick(seed, schedule.n_steps, F.col("donor_id"), F.lit("time")).cast("int"))
+    at = at.withColumns({"a": F.get(bars, F.col("t")), "e": F.transform("x", lambda _, i: hashing.gauss(seed, F.col("donor_id"), i))})
+    return at.withColumn("xt", F.zip_with("x", "e", lambda v, e: F.sqrt("a") * v + F.sqrt(1 - F.col("a")) * e))
+
+
+def error_by_time(errors: DataFrame, n_steps: int, n_bins: int = 8) -> DataFrame:
+    """(lo, hi, n, mse) of rows (t, mse) in even buckets of time; buckets without rows have n 0 and mse 0."""
+    edge = lambda b: F.floor(b * n_steps / n_bins).cast("int")
+    b = F.least(F.floor(((F.col("t") + 1) * n_bins - 1) / n_steps), F.lit(n_bins - 1))
+    got = errors.groupBy(b.cast("int").alias("b")).agg(F.count("*").alias("n"), F.avg("mse").alias("mse"))
+    every = errors.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("b"))
+    return every.join(got, "b", "left").select(edge(F.col("b")).alias("lo"), edge(F.col("b") + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mse", F.lit(0.0)).alias("mse"))
+
+
+def noise_error_apart(train: DataFrame, rows: DataFrame, schedule: Schedule | None = None, seed: int = 0, n_bins: int = 8, ridge: float = 1e-6) -> DataFrame:
+    """Squared error of the noise that independent Gaussians of each channel and step predict, by buckets of time."""
+    schedule = schedule or Schedule()
+    per = train.select("channel_idx", F.posexplode("x").alias("i", "v")).groupBy("channel_idx", "i").agg(F.avg("v").alias("m"), (F.var_pop("v") + ridge).alias("s"))
+    model = per.groupBy("channel_idx").agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("g"))
+    at = timed(rows, schedule, seed).join(F.broadcast(model), "channel_idx")  # a row a channel
+    guess = F.zip_with("xt", "g", lambda v, g: F.sqrt(1 - F.col("a")) * (v - F.sqrt("a") * g["m"]) / (F.col("a") * g["s"] + 1 - F.col("a")))
+    mse = F.aggregate(F.zip_with(guess, "e", lambda p, e: (p - e) * (p - e)), F.lit(0.0), lambda x, y: x + y) / F.size("x")
+    return error_by_time(at.select("t", mse.alias("mse")), schedule.n_steps, n_bins)
+
+
+def noise_error(model: Gaussians, rows: DataFrame, schedule: Schedule | None = None, seed: int = 0, n_bins: int = 8) -> DataFrame:
+    """The same of the sampler's own model, with its covariances."""
+    schedule = schedule or Schedule()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (c, a), g in b.groupby(["channel_idx", "a"]):
+                e = model.noise(np.stack(g.xt).astype(float), int(c), float(a))
+                yield pd.DataFrame({"t": g.t, "mse": ((e - np.stack(g.e).astype(float)) ** 2).mean(axis=1)})
+
+    each = timed(rows, schedule, seed).select("channel_idx", "t", "a", "e", "xt").mapInPandas(work, "t int, mse double")
+    return error_by_time(each, schedule.n_steps, n_bins)
+
+
 @dataclass
 class Gaussians:
     """Mean and covariance of the windows of each channel, in their eigenbasis."""
@@ -112,11 +154,14 @@ class Guide:
     mode: str = "band"
     parent: float = 0.0
     n_correct: int = 1
+    anomalies: np.ndarray | None = None
+    lam_anom: float = 0.0
+    proto: bool = False
 
-    def energy(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def energy(self, x: np.ndarray, refs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Soft energy of rows, and its gradient."""
         z = (x - self.centre) @ self.basis
-        diff = z[:, None, :] - self.refs[None]
+        diff = z[:, None, :] - (self.refs if refs is None else refs)[None]
         s = -(diff**2).sum(axis=2) / self.tau
         m = s.max(axis=1, keepdims=True)
         p = np.exp(s - m)
@@ -124,7 +169,16 @@ class Guide:
         grad = 2 * ((p / total)[:, :, None] * diff).sum(axis=1)
         return -self.tau * (m + np.log(total))[:, 0], grad @ self.basis.T
 
-    def step(self, x: np.ndarray, x0: np.ndarray) -> np.ndarray:
+    def towards(self, x: np.ndarray, chosen: np.ndarray | None) -> np.ndarray:
+        """Gradient of the anomaly term: to one prototype a row, or to all softly."""
+        if self.anomalies is None or not len(self.anomalies) or not self.lam_anom:
+            return np.zeros_like(x)
+        if self.proto:
+            z = (x - self.centre) @ self.basis
+            return 2 * self.lam_anom * (z - self.anomalies[chosen % len(self.anomalies)]) @ self.basis.T
+        return self.lam_anom * self.energy(x, self.anomalies)[1]
+
+    def step(self, x: np.ndarray, x0: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
         if self.mode == "off":
             return x
         for _ in range(self.n_correct):
@@ -132,7 +186,7 @@ class Guide:
             gap = h - self.q_value
             if self.mode == "push":
                 gap = np.minimum(gap, 0)
-            g = 2 * gap[:, None] * g + 2 * self.parent * (x - x0)
+            g = 2 * gap[:, None] * g + 2 * self.parent * (x - x0) + self.towards(x, chosen)
             size = np.linalg.norm(g, axis=1, keepdims=True)
             x = x - self.lam * g * np.minimum(1, self.clip / np.maximum(size, 1e-12))
         return x
@@ -174,6 +228,39 @@ def ddim(rows: DataFrame, model: Gaussians, schedule: Schedule | None = None, nu
     return noised.mapInPandas(work, "donor_id long, channel_idx int, x array<double>")
 
 
+def ddim_recipes(rows: DataFrame, model: Gaussians, recipes: dict[str, Guide | None], schedule: Schedule | None = None, nu: float = 1.0, steps: int = 20, seed: int = 0) -> DataFrame:
+    """(donor_id, channel_idx, recipe, x): one pass in which every donor (donor_id, channel_idx, x, parent, recipe) follows its own recipe.
+
+    Whatever order or partition donors come in, a donor's window is the same, and donor_id
+    tells whose it is: slices of recipes need not be put back in order. Prototypes are
+    chosen by keyed hash of the donor. Donors of a recipe that is not there are left out;
+    ``None`` is unguided. Recipes go with the tasks: references are bounded by
+    :func:`orrery.operators.energy.references`.
+    """
+    bars = (schedule or Schedule()).alpha_bar()
+    top = max(0, min(len(bars) - 1, round(nu * (len(bars) - 1))))
+    times = np.unique(np.linspace(0, top, max(2, steps)).round().astype(int))[::-1]
+    known = rows.where(F.col("recipe").isin(list(recipes)))
+    noised = q_sample(known, float(bars[top]), seed).select("donor_id", "channel_idx", "recipe", "x", "parent", hashing.hashed(seed, F.col("donor_id"), F.lit("proto")).alias("chosen"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (c, name), g in b.groupby(["channel_idx", "recipe"]):
+                guide, chosen = recipes[name], g.chosen.to_numpy()
+                x, x0 = np.stack(g.x).astype(float), np.stack(g.parent).astype(float)
+                for i, t in enumerate(times):
+                    a = bars[t]
+                    e = model.noise(x, int(c), a)
+                    clean = (x - np.sqrt(1 - a) * e) / np.sqrt(a)
+                    if guide is not None:
+                        clean = guide.step(clean, x0, chosen)
+                    after = bars[times[i + 1]] if i + 1 < len(times) else 1.0
+                    x = np.sqrt(after) * clean + np.sqrt(1 - after) * e
+                yield pd.DataFrame({"donor_id": g.donor_id, "channel_idx": g.channel_idx, "recipe": name, "x": list(x)})
+
+    return noised.mapInPandas(work, "donor_id long, channel_idx int, recipe string, x array<double>")
+
+
 def with_parent(rows: DataFrame) -> DataFrame:
     return rows.select("donor_id", "channel_idx", "x", F.col("x").alias("parent"))
 

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import arrays as A
+from orrery.functions import hashing, ranking
+
 BLOCK = 1024
 
 
@@ -94,3 +97,24 @@ def window_report(panel: DataFrame, width: int, block: int = BLOCK) -> DataFrame
     per = panel.groupBy("channel").agg(F.avg((F.col("cnt") > 0).cast("double")).alias("finite_frac"), F.stddev_pop("y").alias("std"), (F.max("y") - F.min("y")).alias("ptp"))
     w = windows(panel, width, block).groupBy("channel").agg(F.count("*").alias("n_windows"), F.avg(F.size(F.array_distinct(F.transform("x", lambda v: F.round(v, 6)))) / width).alias("unique_frac"))
     return per.join(w, "channel", "left").select("channel", "finite_frac", "std", "ptp", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("unique_frac", F.lit(0.0)).alias("unique_frac"))
+
+
+def snap_report(panel: DataFrame, width: int, n_probe: int = 48, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """Per channel: n_probe, median_unique_per_win and mean_snap of probed windows, n_unique_all of finite bins.
+
+    Probes are ``n_probe`` finite windows by keyed hash (all, if fewer). A window of at most
+    32 distinct values (to six places) snaps where a value is within a quarter of the
+    smallest gap of its nearest distinct value; with more of them nothing snaps.
+    """
+    r6 = lambda v: F.round(v, 6)
+    w = windows(panel, width, block).withColumn("h", hashing.hashed(seed, F.col("channel_idx"), F.col("start")))
+    probes = ranking.numbered(w, ["channel"], ranking.hash_bucket(F.col("h")), ["h", "start"]).where(F.col("index") < n_probe)
+    u = F.array_sort(F.array_distinct(F.transform("x", r6)))
+    gap = lambda u: F.when(F.size(u) > 1, F.array_min(F.zip_with(F.slice(u, 2, F.size(u) - 1), F.slice(u, 1, F.size(u) - 1), lambda b, a: b - a))).otherwise(1e-6)
+    near = lambda u, room: F.size(F.filter("x", lambda v: F.array_min(F.transform(u, lambda k: F.abs(v - k))) <= room)) / width
+    snap = A.let(u, lambda u: F.when(F.size(u) <= 32, A.let(0.25 * F.greatest(gap(u), F.lit(1e-9)), lambda room: near(u, room))).otherwise(0.0))
+    each = probes.select("channel", F.size(u).alias("k"), snap.alias("snap"))
+    # At most ``n_probe`` rows a channel.
+    probed = each.groupBy("channel").agg(F.count("*").alias("n_probe"), F.percentile("k", F.lit(0.5)).alias("median_unique_per_win"), F.avg("snap").alias("mean_snap"))
+    every = panel.groupBy("channel").agg(F.count_distinct(F.when((F.col("cnt") > 0) & ~F.isnan("y"), r6("y"))).alias("n_unique_all"))
+    return every.join(probed, "channel", "left").select("channel", F.coalesce("n_probe", F.lit(0)).alias("n_probe"), F.coalesce("median_unique_per_win", F.lit(0.0)).alias("median_unique_per_win"), F.coalesce("mean_snap", F.lit(0.0)).alias("mean_snap"), "n_unique_all")

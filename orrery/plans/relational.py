@@ -56,6 +56,18 @@ def channel_scout_stats(spark, d):
     return r.select("channel", *[F.round(c, 6).alias(c) for c in ("finite_frac", "std", "ptp", "unique_frac")], "n_windows")
 
 
+@query(f"""WITH {B.FINITE},
+pr AS (SELECT channel, x, list_sort(list_distinct(list_transform(x, lambda v: round(v, 6)))) AS u FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY {B.h(B.SEED, 'channel_idx', 'start')}, start) AS k FROM finite) WHERE k <= 48),
+g AS (SELECT channel, x, u, 0.25 * greatest(CASE WHEN len(u) > 1 THEN list_min(list_transform(range(1, len(u)), lambda i: u[i + 1] - u[i])) ELSE 1e-6 END, 1e-9) AS room FROM pr),
+sn AS (SELECT channel, len(u) AS k, CASE WHEN len(u) <= 32 THEN len(list_filter(x, lambda v: list_min(list_transform(u, lambda k: abs(v - k))) <= room)) / {W}.0 ELSE 0 END AS snap FROM g),
+p AS (SELECT channel, count(*) AS n, quantile_cont(k, 0.5) AS m, avg(snap) AS s FROM sn GROUP BY 1),
+e AS (SELECT channel, count(DISTINCT round(y, 6)) FILTER (cnt > 0) AS n_unique_all FROM panel GROUP BY 1)
+SELECT channel, coalesce(n, 0) AS n_probe, round(coalesce(m, 0.0), 6) AS median_unique_per_win, round(coalesce(s, 0.0), 6) AS mean_snap, n_unique_all FROM e LEFT JOIN p USING (channel)""")
+def channel_snap_stats(spark, d):
+    r = panel.snap_report(B.grid(spark, d), W, 48, B.SEED)
+    return r.select("channel", "n_probe", *[F.round(c, 6).alias(c) for c in ("median_unique_per_win", "mean_snap")], "n_unique_all")
+
+
 def _orders(spark, d):
     li, o = T(spark, d, "lineitem"), T(spark, d, "orders")
     labels = li.select(F.col("l_orderkey").alias("ID"), F.col("l_returnflag").alias("Channel"), F.col("l_shipdate").alias("StartTime"), (F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("EndTime"))
