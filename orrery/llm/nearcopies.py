@@ -22,6 +22,10 @@ what a pivot has absorbed is compared only with what is left, so the edges are a
 spanning forest of all links. A cell of more than ``CELL`` sets, and a component of
 more than ``HASHES`` hashes, is dealt into pieces; each pair of pieces is a cell.
 
+Texts move only where they have to: keys of the sets to compare, and of the documents that
+go, are few against the documents; counted and within ``BROADCAST_ROWS`` they meet the
+documents where these are read. Beyond that, documents shuffle to them.
+
 Defined cases: null, empty and blank texts have the empty set and are copies of each
 other; repeated rows are one; ids may be null or repeated; an empty table stays empty;
 other columns go along untouched, whatever their names; long texts are hashed whole.
@@ -47,6 +51,8 @@ SEGMENTS = 16
 CHAIN = 4
 CELL = 4096
 HASHES = 1_000_000
+#: A table of keys is broadcast after a count, and only up to this many rows; a larger one shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -220,6 +226,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), raw], ["cell", "pieces", "sig", "n", "raw"])
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if a count says that it may be."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def groups(docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFrame:
     """(doc_id, th, root) per row: rows with one root are connected by similarities of 0.8 or more."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
@@ -245,7 +256,7 @@ def groups(docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFra
     scratch.sweep()
     near = scratch.cut(sets.join(loose, F.col("sig") == F.col("node")).select(F.col("root").alias("cell"), "sig", "n", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")), "near")
     dealt = near.groupBy("cell").agg(F.ceil(F.sum("n") / HASHES).cast("int").alias("pieces"))
-    wanted = near.join(dealt, "cell")
+    wanted = _small(scratch.cut(near.join(dealt, "cell"), "wanted"))
     texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("cell", "pieces", "sig", "n", "text")
     whole = texts.mapInArrow(_whole, "cell long, pieces int, sig long, n long, raw binary")
     whole = whole.select("cell", "sig", "n", "raw", F.inline(_cells(F.col("pieces"))))
@@ -260,9 +271,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     scratch = Scratch(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
-    # One shuffle of the documents: the distinct rows are found in the partitions of the join.
     keys = lambda i, h: [F.coalesce(i.cast("string"), F.lit("")).alias("i"), i.isNull().alias("none"), h.alias("h")]
-    first = groups(docs, id_col, text, scratch).groupBy("root").agg(F.min(order).alias("k"))
-    first = scratch.cut(first.select(*keys(F.col("k.doc_id"), F.col("k.th"))), "kept")
+    own = scratch.cut(groups(docs, id_col, text, scratch).groupBy("doc_id", "th").agg(F.min("root").alias("root"), F.count("*").alias("n")), "groups")
+    first = scratch.cut(own.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("m")), "firsts")
+    # What is not alone: documents that go, and kept ones of which there are several rows.
+    several = own.join(first.where("m > 1"), "root").where(~F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th")).eqNullSafe(F.col("k")))
+    gone = scratch.cut(several.select(*keys(F.col("doc_id"), F.col("th"))), "gone")
+    twice = own.where("n > 1").select(*keys(F.col("doc_id"), F.col("th"))).join(gone, ["i", "none", "h"], "left_anti")
+    twice = scratch.cut(twice, "twice")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *keys(F.col(id_col), F.xxhash64(F.col(text))))
-    return rows.join(first, ["i", "none", "h"], "left_semi").dropDuplicates(["i", "none", "h"]).select("d.*")
+    kept = rows.join(_small(gone), ["i", "none", "h"], "left_anti")
+    if not twice.isEmpty():
+        again = _small(twice)
+        kept = kept.join(again, ["i", "none", "h"], "left_anti").unionByName(rows.join(again, ["i", "none", "h"], "left_semi").dropDuplicates(["i", "none", "h"]))
+    return kept.select("d.*")

@@ -32,8 +32,9 @@ def texts():
     return out + [line + " " + " ".join(rnd.choices(words, k=n)) for n in (5, 5, 8, 12, 40, 80)]
 
 
-@pytest.mark.parametrize("cell, hashes", [(nearcopies.CELL, nearcopies.HASHES), (4, 2000)])
-def test_the_stage_links_from_0_8_on(spark, monkeypatch, cell, hashes):
+@pytest.mark.parametrize("cell, hashes, few", [(nearcopies.CELL, nearcopies.HASHES, nearcopies.BROADCAST_ROWS), (4, 2000, 0)])
+def test_the_stage_links_from_0_8_on(spark, monkeypatch, cell, hashes, few):
+    monkeypatch.setattr(nearcopies, "BROADCAST_ROWS", few)
     monkeypatch.setattr(nearcopies, "CELL", cell)
     monkeypatch.setattr(nearcopies, "HASHES", hashes)
     rows = list(enumerate(texts())) + [(7, texts()[7]), (None, texts()[40]), (None, "a text without an id")]
