@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import hashing, ranking
+from orrery.functions import hashing, ranking, shared
 from orrery.operators import blocks
 
 # Names of kinds, fixed values.
@@ -139,32 +139,46 @@ def nearest_generated(queries: DataFrame, gallery: DataFrame, by: str = "kind_na
     return live.select(by, "query_id", "donor_id", "distance", "rank").groupBy(by).applyInPandas(match, f"{by} string, query_id long, donor_id long, distance double")
 
 
-def farthest_points(rows: DataFrame, n: int, rounds_id: str = "donor_id") -> DataFrame:
-    """Maximin sample: begin at the smallest id, then always the row farthest from those chosen.
+def farthest_points(rows: DataFrame, n: int, rounds_id: str = "donor_id", pool: int = 4096) -> DataFrame:
+    """Maximin sample: begin at the smallest id, then always the row farthest from those chosen (the smallest id of equals).
 
-    Each round is one scan with a map-side maximum; only the chosen rows (n) are on the driver.
+    Every row keeps its squared distance to the nearest chosen one, in a written table.
+    A pass takes the ``pool`` rows with the largest to the driver and chooses among them
+    as long as the best is beyond all rows outside: a distance only shrinks as rows are
+    chosen, so none of those can be farther. Then one scan brings the table up to date.
+    Each pass chooses one row at least; ``pool`` bounds the driver, not the result.
+    Rows equal to a chosen one are never chosen, so fewer than ``n`` may come out; no
+    rows give none. Rows without an id or with a null x are left out.
     """
     spark = rows.sparkSession
-    first = rows.orderBy(rounds_id).limit(1).collect()
-    chosen = [(r[rounds_id], np.asarray(r["x"], float)) for r in first]
-    while first and len(chosen) < n:
-        centres = np.stack([c for _, c in chosen])
-
-        def far(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
-            best = None
+    own = rows.select(F.col(rounds_id).alias("id"), "x").where("id IS NOT NULL AND x IS NOT NULL")
+    live = own.withColumn("m", F.lit(float("inf")))
+    first = live.orderBy("id").limit(1).collect()
+    chosen = [r["id"] for r in first]
+    new = [np.asarray(r["x"], float) for r in first]
+    while new and len(chosen) < n:
+        centres = np.stack(new)
+
+        def nearer(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    x = np.stack(b.x)
-                    d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-                    o = np.lexsort((b[rounds_id].to_numpy(), -d))[0]
-                    new = (float(d[o]), b[rounds_id].iloc[o], x[o])
-                    if best is None or (new[0], -new[1]) > (best[0], -best[1]):
-                        best = new
-            if best is not None:
-                yield pd.DataFrame({"d": [best[0]], "id": [best[1]], "x": [best[2]]})
-
-        top = rows.select(rounds_id, "x").mapInPandas(far, "d double, id long, x array<double>").orderBy(F.col("d").desc(), "id").limit(1).collect()
-        if not top or top[0]["d"] <= 0:
-            break
-        chosen.append((top[0]["id"], np.asarray(top[0]["x"], float)))
-    return spark.createDataFrame([(int(i), k) for k, (i, _) in enumerate(chosen)], f"{rounds_id} long, rank int")
+                    x, m = np.stack(b.x).astype(float), b.m.to_numpy()
+                    for c in centres:
+                        m = np.minimum(m, ((x - c) ** 2).sum(axis=1))
+                    yield b.assign(m=m)[m > 0]
+
+        live = shared.written(live.mapInPandas(nearer, live.schema), "maximin")
+        top = live.orderBy(F.desc("m"), "id").limit(pool + 1).collect()
+        beyond = top[pool]["m"] if len(top) > pool else 0.0
+        top, new = top[:pool], []
+        ids, m = np.array([r["id"] for r in top]), np.array([r["m"] for r in top])
+        x = np.stack([np.asarray(r["x"], float) for r in top]) if top else np.zeros((0, 0))
+        while len(top) and len(chosen) < n:
+            best = np.lexsort((ids, -m))[0]
+            # At the start of a pass the first row is the best of all; later ties with rows outside need a new pass.
+            if m[best] <= 0 or (new and m[best] <= beyond):
+                break
+            chosen.append(int(ids[best]))
+            new.append(x[best])
+            m = np.minimum(m, ((x - x[best]) ** 2).sum(axis=1))
+    return spark.createDataFrame([(int(i), k) for k, i in enumerate(chosen[:n])], f"{rounds_id} long, rank int")

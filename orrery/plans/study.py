@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.functions import shared
-from orrery.operators import energy, inject, models, nearest, oof, scaling, study
+from orrery.functions import arrays as A
+from orrery.functions import ranking, shared
+from orrery.operators import energy, inject, models, nearest, oof, scaling, selection, study, tuning
 from orrery.plans import bindings as B
 from orrery.plans.registry import query
 
@@ -66,6 +67,38 @@ def oof_scores(spark, d):
     return r.select("variant", "fold", "n_gallery", *[F.round(c, 4).alias(c) for c in ("tau", "coverage_anomaly", "arp_anomaly", "coverage_rare", "arp_rare", "gap")])
 
 
+def _tuned(spark, d):
+    """The report of all tuning cells on fold 0, and the median total variation of the real anomalies."""
+    s = B.scaler(spark, d)
+    unit = lambda df: scaling.transform(df, s, (-1.0, 1.0))
+    train, donors = shared.written(unit(B.finite(spark, d)), "train"), shared.written(unit(B.donors(spark, d)).select("donor_id", "channel_idx", "x"), "donors")
+    real = unit(B.kinded(spark, d).where("is_anomaly OR is_rare")).select(F.xxhash64("event_id", "channel", "start").alias("query_id"), F.col("event_id").cast("string").alias("event_id"), "fold", F.when(F.col("is_anomaly"), "anomaly").otherwise("rare").alias("side"), "x")
+    real = shared.written(real, "queries")
+    basis, centre = models.fit_encoder(train, 4)
+    few = donors.where(F.pmod("donor_id", F.lit(B.DONORS)) < 13)
+    shell = energy.shell(tuning.encode(few, basis, centre), shared.written(tuning.encode(donors, basis, centre), "encoded")).first()
+    base = models.Guide(basis, centre, (energy.references(few)[0] - centre) @ basis, shell["tau"], shell["q_value"])
+    tv = ranking.quantiles(real.where("side = 'anomaly'").select(A.total_variation(F.col("x")).alias("tv")), "tv", [0.5]).select(F.col("q")[0].alias("tv")).first()["tv"]
+    return tuning.run(donors, real, models.fit_gaussians(train), base, shell["delta"], n_folds=B.N_FOLDS, seed=B.SEED), tv
+
+
+@query()
+def tuning_cells(spark, d):
+    """Gates, occupancy and out-of-fold scores of 17 settings of the sampler."""
+    rows = _tuned(spark, d)[0]
+    return rows.select("cell", "family", "n", "finite", "explode", *[F.round(c, 4).alias(c) for c in ("occupancy", "h_mean", "h_std", "tv", "coverage_anomaly", "arp_anomaly", "coverage_rare", "arp_rare", "gap", "distance_anomaly", "distance_rare")])
+
+
+@query()
+def tuning_winners(spark, d):
+    """Which cells win by occupancy, ARP and gap, and which a family recommends by total variation."""
+    rows, tv = _tuned(spark, d)
+    rows = shared.written(rows, "tuned")
+    live = rows.where("NOT explode").select(F.col("cell").alias("id"), "family", "lam", "occupancy", F.col("arp_anomaly").alias("arp"), "tv")
+    best = selection.recommend(live, tv, by="family").select(F.concat(F.lit("recommended_"), F.col("family")).alias("goal"), F.col("id").alias("cell"), F.round("excess", 4).alias("value"))
+    return tuning.winners(rows).select("goal", "cell", F.round("value", 4).alias("value")).unionByName(best)
+
+
 @query()
 def gradient_locality(spark, d):
     """Share of the squared energy gradient on a tenth of the steps, by channel: windows of each channel against donors' windows."""
