@@ -9,7 +9,9 @@ blocked by a rule, unless some alias is explicitly allowed: explicit allows take
 precedence. A URL's own rule always decides for itself. Otherwise it is allowed.
 
 Every canonical link and every refresh of a page counts, but for those inside comments,
-scripts and styles; a base element moves relative targets. Only URLs and link targets
+scripts, styles and the values of attributes; attributes go by their whole names, ``rel`` by
+its tokens; references by number and those of ``NAMED`` are decoded; the first base element
+with a target moves relative ones. Only URLs and link targets
 leave the scan, never the html.
 
 Nodes are URLs without scheme, fragment, user and default port, their host in lower
@@ -83,29 +85,54 @@ def rule(h: Column, p: Column, rules=RULES) -> Column:
     return none if out is None else out.otherwise(none)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    v = r"(?is)\b" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    return F.trim(F.concat(*[F.regexp_extract(tag, v, i) for i in (1, 2, 3)]))
-
-
 #: What hides links from a reader of the page.
 HIDING = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\b|\z)"
-LINK = r"""(?is)^<link\b[^>]*?\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""
-REFRESH = r"""(?is)^<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
+#: A tag; a ">" or a "<" in a quoted value does not end or begin one. One that the page breaks off is matched, so that a scan is linear, and not used.
+TAG = r"""(?is)<[a-z/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\z)"""
+#: An attribute's name and value; the name of a tag comes as "<link".
+ATTRIBUTE = r"""(?s)([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+
+# Named references that URLs are written with.
+NAMED = {"amp": "&", "colon": ":", "sol": "/", "period": ".", "quest": "?", "equals": "=", "num": "#", "percnt": "%", "lowbar": "_", "commat": "@", "plus": "+", "comma": ",", "semi": ";", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "Tab": "\t", "NewLine": "\n"}
+
+
+def decoded(value: Column) -> Column:
+    """Character references by number, and those of ``NAMED``, replaced; all others stay as they are."""
+    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def one(t: Column) -> Column:
+        hexed = F.conv(F.regexp_extract(t, "^&#[xX]0*([0-9a-fA-F]{1,6});$", 1), 16, 10)
+        n = F.when(t.rlike("^&#[xX]"), hexed).otherwise(F.regexp_extract(t, "^&#0*([0-9]{1,7});$", 1)).try_cast("int")
+        letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        known = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(t.startswith("&#"), F.when(known, letter).otherwise(t)).otherwise(F.coalesce(F.try_element_at(named, F.substring(t, 2, F.char_length(t) - 2)), t))
+
+    parts = F.regexp_extract_all(value, F.lit("(?s)&#?[0-9a-zA-Z]++;|[^&]++|&"), 0)
+    whole = F.array_join(F.transform(parts, lambda t: F.when(t.rlike("^&.+;$"), one(t)).otherwise(t)), "")
+    return F.when(F.contains(value, F.lit("&")), whole).otherwise(value)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The first value of an attribute, by its whole name, in any case; empty if there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), lambda x: F.lower(x))
+    value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2), F.array_position(names, name).cast("int") - 1)
+    bare = F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.regexp_replace(decoded(F.coalesce(bare, F.lit(""))), r"^\s+|\s+$", "")
 
 
 def targets(html: Column) -> Column:
     """Array of the canonical links and refresh targets of a page, as written, its base (or null) first."""
     seen = F.when(html.rlike("(?i)canonical|refresh"), F.regexp_replace(html, HIDING, " ")).otherwise("")
-    tags = F.regexp_extract_all(seen, F.lit(r"(?is)<(?:link|meta|base)\b[^<>]*+>"), 0)
+    tags = F.filter(F.regexp_extract_all(seen, F.lit(TAG), 0), lambda t: t.endswith(">") & t.rlike(r"(?is)^<(?:(?:link|meta)[\s/].*(?:canonical|refresh)|base[\s/])"))
 
     def of(tag: Column) -> Column:
-        refresh = F.regexp_extract(_attribute(tag, "content"), r"""(?is)\burl\s*=\s*['"]?([^'"\s]+)""", 1)
-        return F.when(tag.rlike(LINK), _attribute(tag, "href")).when(tag.rlike(REFRESH), refresh).otherwise("")
+        refresh = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*url\s*=\s*['"]?([^'"\s]+)""", 1)
+        canonical = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+        return F.when(tag.rlike(r"(?i)^<link[\s/]") & canonical, _attribute(tag, "href")).when(tag.rlike(r"(?i)^<meta[\s/]") & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), refresh).otherwise("")
 
-    base = F.get(F.transform(F.filter(tags, lambda t: t.rlike("(?i)^<base")), lambda t: _attribute(t, "href")), 0)
+    bases = F.filter(F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<base[\s/]")), lambda t: _attribute(t, "href")), lambda x: x != "")
     found = F.filter(F.transform(tags, of), lambda x: x != "")
-    return F.transform(F.concat(F.array(base), F.array_distinct(found)), lambda x: F.regexp_replace(x, "(?i)&(amp|#38|#x26);", "&"))
+    return F.concat(F.array(F.get(bases, 0)), F.array_distinct(found))
 
 
 def resolve(base: Column, ref: Column) -> Column:

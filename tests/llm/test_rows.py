@@ -304,3 +304,28 @@ def test_toxicity_cases(spark):
 
 def test_scratch_is_in_the_shared_folder(spark):
     assert Scratch(spark).base.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+def test_links_as_browsers_read_them(spark):
+    """What the attributes of a page say: (html, the targets without the base)."""
+    cases = [
+        ('<link rel=canonical data-href="x" href="http://b.com/de/4">', ["http://b.com/de/4"]),
+        ('<link title="a > b" rel="canonical" href="http://b.com/de/6">', ["http://b.com/de/6"]),
+        ('<link rel="not-canonical" href="http://b.com/de/6">', []),
+        ('<link rel="alternate\n Canonical" href="http://b.com/de/6">', ["http://b.com/de/6"]),
+        ('<p title="<link rel=\'canonical\' href=\'http://b.com/de/1\'>">', []),
+        ('<meta http-equiv=refresh content="0;URL=http&#58;//b.com/de/7">', ["http://b.com/de/7"]),
+        ("<meta content='5; url=\"http&#x3A;//b.com&sol;de/8?a=1&amp;b=2&unknown;\"' HTTP-EQUIV='Refresh'>", ["http://b.com/de/8?a=1&b=2&unknown;"]),
+        ('<meta name=refresh http-equiv=x content="0;url=http://b.com/9">', []),
+        ('<link rel=canonical href=http://b.com/1 href=http://b.com/2>', ["http://b.com/1"]),
+        ('<linker rel=canonical href=http://b.com/1>', []),
+        ("<p class=it's><link rel=canonical href=http://b.com/3/>", ["http://b.com/3/"]),
+        ('<link rel="canonical" href="http://b.com/&#128512;&#0;&#xD800;&#99999999;">', ["http://b.com/\U0001f600&#0;&#xD800;&#99999999;"]),
+        ("<link rel=canonical href=http://b.com/3", []),
+        ("<p " + "a=1 " * 100_000 + "><link rel=canonical " + "b='>' " * 50_000 + "href=/far>", ["/far"]),
+        ("canonical" + "<" * 300_000 + "<a b='" * 50_000, []),
+        ("canonical", []),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    got = {r["i"]: r["t"][1:] for r in rows.select("i", urls.targets(F.col("html")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == [t for _, t in cases]
