@@ -69,8 +69,14 @@ COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"
 FIRM = {"ad", "ads", "adslot", "adsense", "adsbygoogle", "banner", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sharing", "social", "newsletter", "subscribe", "signup", "login", "pagination", "pager", "sponsor", "sponsored", "advert", "adverts", "advertisement", "advertising", *COMMENTS}
 LOOSE = {"notice", "notices", "alert", "overlay", "foot", "copyright", "skip"}
 LAYOUT = {"sidebar", "sidebars", "side", "aside", "header", "search", "widget", "widgets", "tags", "related", "recommended", "toolbar", "share"}
+TOPICS = {"banner", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "menu", "navigation", "sharing", "social", "newsletter", "subscribe", "signup", "login", "sponsor", "advertising"}
+PIECES = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "footer", "form", "head", "header", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "media", "message", "modal", "notice", "outer", "overlay", "panel", "policy", "popup", "prompt", "right", "section", "slot", "text", "toggle", "top", "unit", "widget", "wrap", "wrapper"} | FIRM
 NOT_SO = {"has", "no", "not", "with", "without", "is", "non"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
+SENTENCE = re.compile(r"[.!?…。！？]['\"”’)]*(\s|$)")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Two words in one: a name and a piece of a page.
+JOINED = re.compile(r"(ad|ads|banner|promo|cookie|consent|popup|menu|newsletter|signup|login|sponsor|comment|comments)(bar|block|box|container|form|item|items|links|list|notice|panel|section|slot|unit|widget|wrap|wrapper)$")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 IN, OUT, WRAPPER, LOST = 0, 1, 2, 3  # plain; left out; left out unless it wraps the page; never in the tree
@@ -86,17 +92,26 @@ class Node:
 
 
 def _named(value: str, tag: str) -> int:
-    """What the tokens of a class or id say of an element."""
+    """What the tokens of a class or id say of an element.
+
+    A token is cut at hyphens, underscores and capitals. A word of ``TOPICS`` that begins
+    a longer token may be what the text is about ("social-science", "login-guide"): there
+    it counts only before a word of ``PIECES`` ("social-links", "login-form").
+    """
     out = IN
-    for token in value.lower().split():
-        parts = token.replace("_", "-").strip("-").split("-")
-        if NOT_SO & set(parts):
+    for token in value.split():
+        parts = [x for x in HUMP.sub("-", token).lower().replace("_", "-").split("-") if x]
+        if not parts or NOT_SO & set(parts):
             continue
+        if len(parts) == 1 and (m := JOINED.match(parts[0])):
+            parts = list(m.groups())
         first, last = parts[0], parts[-1]
         if tag in ("article", "main"):
             if first in COMMENTS and first != "respond":
                 return OUT
-        elif first in FIRM or last in FIRM:
+        elif last in FIRM and (len(parts) == 1 or tag not in PARAGRAPHS):
+            return OUT
+        elif first in FIRM and (first not in TOPICS or PIECES & set(parts[1:])):
             return OUT
         elif tag not in PARAGRAPHS and len(parts) <= 2:
             if last in LOOSE:
@@ -377,6 +392,11 @@ def _has_paragraphs(node: Node) -> bool:
     return False
 
 
+def _has_sentence(node: Node) -> bool:
+    """Does a plain container beside the article hold prose, not a label?"""
+    return node.text >= 25 and any(SENTENCE.search(t) for t in blocks(node))
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -399,7 +419,7 @@ def main_text(html: str | None) -> str:
             out += blocks(k)
         elif isinstance(k, Node) and k.place == IN and k.text:
             density = k.linked / k.text
-            if k.points >= least or density < 0.25 and _has_paragraphs(k) or density < 0.5 and k.tag == "article":
+            if k.points >= least or density < 0.25 and (_has_paragraphs(k) or _has_sentence(k)) or density < 0.5 and k.tag == "article":
                 out += blocks(k)
     return "\n\n".join(out)
 

@@ -329,3 +329,31 @@ def test_links_as_browsers_read_them(spark):
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
     got = {r["i"]: r["t"][1:] for r in rows.select("i", urls.targets(F.col("html")).alias("t")).collect()}
     assert [got[i] for i in range(len(cases))] == [t for _, t in cases]
+
+
+PROSE = "The river rose again in spring, and the bridge stood under water, as it had every year. People waited."
+NAMES = [
+    # name, tag, is its text kept
+    ("social-science", "div", True), ("login-guide", "div", True), ("promo-code", "p", True), ("cookie-recipes", "section", True), ("newsletterHistory", "div", True),
+    ("cookieBanner", "div", False), ("adbox", "div", False), ("social-links", "div", False), ("login-form", "div", False), ("ad-300x250", "div", False), ("cookie_notice", "div", False), ("newsletter-signup", "p", False), ("mainNav", "div", False), ("commentlist", "div", False),
+    ("loaded", "div", True), ("adobe", "div", True), ("adverbs", "div", True), ("menus-of-paris", "div", True),
+]
+
+
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_names_that_are_topics_stay_and_parts_of_a_page_go(attribute):
+    one, two, three = (f"{w} {PROSE}" for w in ("First:", "Second:", "Third:"))
+    for name, tag, kept in NAMES:
+        inner = two if tag == "p" else f"<p>{two}</p>"
+        part = f'<{tag} {attribute}="{name}">{inner}</{tag}>'
+        want = [one, two, three] if kept else [one, three]
+        for page in ("<main><p>{}</p>{}<p>{}</p></main>", "<body><div><p>{}</p>{}<p>{}</p></div></body>", "<article><h1>Title</h1><p>{}</p>{}<p>{}</p></article>"):
+            got = html.main_text(page.format(one, part, three)).split("\n\n")
+            assert [t for t in got if t != "Title"] == want, (name, page)
+        if kept:
+            assert html.main_text(f'<html><body><{tag} {attribute}="{name}">{inner}</{tag}></body></html>') == two
+
+
+def test_prose_beside_the_article_stays_and_labels_go():
+    page = f"<body><div><div><p>{PROSE}</p><p>{PROSE}</p></div><div>{PROSE}</div><div>Read more here soon my friends</div></div></body>"
+    assert html.main_text(page) == "\n\n".join([PROSE] * 3)
