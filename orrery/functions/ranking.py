@@ -77,6 +77,13 @@ def quantiles(rows: DataFrame, col: str, shares: list[float], by: list[str] | No
     return found.select(*by, "n", F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
 
 
+def with_medians(groups: DataFrame, rows: DataFrame, by: list[str], **columns: str) -> DataFrame:
+    """``groups`` (one row a group) with the medians of columns of ``rows`` under the given names; a null group has null ones."""
+    for name, col in columns.items():
+        groups = groups.join(quantiles(rows, col, [0.5], by).select(*by, F.col("q")[0].alias(name)), by, "left")
+    return groups
+
+
 def lower_median(rows: DataFrame, col: str, times: str) -> DataFrame:
     """One row: the value at place floor((n - 1) / 2) of values that each count ``times``; null of none."""
     at = below(rows.groupBy(F.col(col).alias("v")).agg(F.sum(times).alias("c")), [], "v", ["c"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import hashing, ranking
@@ -51,14 +51,11 @@ def average_precision(rows: DataFrame, score: str = "score", by: list[str] | Non
 def bootstrap_recall(hits: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """Median and 2.5 and 97.5 percent points of event recall over resampled events.
 
-    Events get dense numbers by prefix sums over hash buckets; each draw of each
-    resample is one row, joined to its event; only sums of a resample move on.
+    Events get dense numbers in the order of a keyed hash; each draw of each resample
+    is one row, joined to its event; only sums of a resample move on.
     """
-    bucket = F.pmod(F.xxhash64("event_id"), F.lit(256))
-    placed = hits.select("event_id", "hit", bucket.alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    index = placed.join(F.broadcast(base), "b").select((F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy("event_id")) - 1).alias("i"), "hit")
+    placed = hits.select("event_id", "hit", hashing.hashed(seed, F.col("event_id")).alias("h"))
+    index = ranking.numbered(placed, [], ranking.hash_bucket(F.col("h")), ["h", "event_id"]).select(F.col("index").alias("i"), "hit")
     total = hits.agg(F.count("*").alias("n"))
     draws = index.select(F.col("i").alias("slot")).withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).join(F.broadcast(total))
     draws = draws.select("boot", hashing.pick(seed, F.col("n"), F.col("boot"), F.col("slot")).alias("i"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import spectral
+from orrery.functions import ranking, spectral
 
 
 def deviation_patch(parent: Column, generated: Column, tau: float) -> Column:
@@ -52,7 +52,8 @@ def reconstruction(rows: DataFrame) -> DataFrame:
     cov = A.mean(F.zip_with("parent", "generated", lambda p, g: p * g)) - pm * gm
     sds = A.std(F.col("parent")) * A.std(F.col("generated"))
     per = rows.select(se.alias("mse"), F.when(sds > 1e-12, cov / sds).alias("corr"))
-    return per.agg(F.sqrt(F.avg("mse")).alias("rmse"), F.percentile(F.sqrt("mse"), F.lit(0.5)).alias("median_rmse"), F.avg("corr").alias("shape_corr"))
+    middle = ranking.quantiles(per.select(F.sqrt("mse").alias("rmse")), "rmse", [0.5]).select(F.col("q")[0].alias("median_rmse"))
+    return per.agg(F.sqrt(F.avg("mse")).alias("rmse"), F.avg("corr").alias("shape_corr")).join(F.broadcast(middle))  # one row each
 
 
 def shuffled_null(rows: DataFrame, seed: int = 0) -> DataFrame:

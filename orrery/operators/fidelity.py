@@ -83,6 +83,21 @@ def autocorrelation_difference(real: DataFrame, synth: DataFrame, lags: int = 64
     return wide.where("r IS NOT NULL AND s IS NOT NULL").groupBy("channel_idx").agg(F.sqrt(F.sum(F.pow(F.col("r") - F.col("s"), F.lit(2)))).alias("acd"))
 
 
+def method_metrics(real: DataFrame, synth: DataFrame, method: str = "method") -> DataFrame:
+    """(method, channel_idx, metric, value): marginal W1 and autocorrelation difference (lags under 16) of every method's windows, all methods in one plan.
+
+    A method has no row for a channel that it or the real side lacks.
+    """
+    names = synth.select(F.col(method).alias("method"), "channel_idx").distinct()  # a row a method and channel
+    against = real.select("channel_idx", "x").join(F.broadcast(names), "channel_idx")
+    key = ["method", "channel_idx"]
+    rows = both(against, synth.withColumnRenamed(method, "method"), *key, "x")
+    w1 = wasserstein(rows.select("real", *key, F.explode("x").alias("v")), key)
+    acf = pooled_acf(rows, 16, [*key, "real"]).groupBy(*key, "lag").agg(F.max(F.when(F.col("real"), F.col("acf"))).alias("r"), F.max(F.when(~F.col("real"), F.col("acf"))).alias("s"))
+    acd = acf.where("r IS NOT NULL AND s IS NOT NULL").groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("r") - F.col("s"), F.lit(2)))).alias("value"))
+    return w1.select(*key, F.lit("w1").alias("metric"), F.col("w1").alias("value")).unionByName(acd.select(*key, F.lit("acd").alias("metric"), "value"))
+
+
 def feature_w1(real: DataFrame, synth: DataFrame) -> DataFrame:
     """(channel_idx, feature, w1) of the six interpretable features."""
     rows = both(real, synth, "channel_idx", A.moments(F.col("x")).alias("m"))

@@ -65,7 +65,7 @@ def kind_refs(rows: DataFrame, fold: int, most: int, ties: list[str]) -> DataFra
 def kind_examples(rows: DataFrame, n: int, ties: list[str]) -> DataFrame:
     """``n`` typical windows of each kind: nearest to the median amplitude, of distinct events first."""
     amp = rows.withColumn("amp", A.amplitude(F.col("x")))
-    middle = amp.groupBy("kind_name").agg(F.percentile("amp", F.lit(0.5)).alias("mid"))
+    middle = ranking.quantiles(shared.written(amp.select("kind_name", "amp"), "amplitudes"), "amp", [0.5], ["kind_name"]).select("kind_name", F.col("q")[0].alias("mid"))
     near = amp.join(middle, "kind_name").withColumn("off", F.round(F.abs(F.col("amp") - F.col("mid")), 9))
     own = F.row_number().over(Window.partitionBy("kind_name", "event_id").orderBy("off", *ties))
     first = near.withColumn("again", (own > 1).cast("int"))

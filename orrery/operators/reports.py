@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import hashing, ranking
+from orrery.functions import hashing, ranking, shared
 
 
 def slice_metrics(rows: DataFrame, by: str = "kind_alloc", amp: float = 0.1, shift: float = 0.01) -> DataFrame:
     """Per slice of windows (x): how many, what share reaches an amplitude and a level shift, and the medians of both."""
-    s = rows.select(by, A.amplitude(F.col("x")).alias("amp"), A.level_shift(F.col("x")).alias("dmu"))
+    s = shared.written(rows.select(by, A.amplitude(F.col("x")).alias("amp"), A.level_shift(F.col("x")).alias("dmu")), "slices")
     share = lambda c, least: F.avg((F.col(c) >= least).cast("double"))
-    return s.groupBy(by).agg(F.count("*").alias("n"), share("amp", amp).alias("amp_rate"), share("dmu", shift).alias("shift_rate"), F.percentile("amp", F.lit(0.5)).alias("amp_median"), F.percentile("dmu", F.lit(0.5)).alias("shift_median"))
+    g = s.groupBy(by).agg(F.count("*").alias("n"), share("amp", amp).alias("amp_rate"), share("dmu", shift).alias("shift_rate"))
+    return ranking.with_medians(g, s, [by], amp_median="amp", shift_median="dmu")
 
 
 def spectrum_slices(rows: DataFrame, by: str = "kind_alloc", bands: str = "bands") -> DataFrame:
     """Per slice: the median ratio of high to low frequency energy, from log-bands."""
-    return rows.select(by, A.hf_lf(F.col(bands)).alias("r")).groupBy(by).agg(F.count("*").alias("n"), F.percentile("r", F.lit(0.5)).alias("hf_lf_median"))
+    s = shared.written(rows.select(by, A.hf_lf(F.col(bands)).alias("r")), "slices")
+    return ranking.with_medians(s.groupBy(by).agg(F.count("*").alias("n")), s, [by], hf_lf_median="r")
 
 
 def kind_hits(rows: DataFrame, amp: float = 0.1, shift: float = 0.01) -> DataFrame:
@@ -35,23 +37,19 @@ def coverage_by_slice(near: DataFrame, tau: float, by: str = "kind_name") -> Dat
 
 
 def diagnostics(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    """(by, metric, n, mean, median, p05, p95) of each metric's values that are neither null nor NaN."""
+    """(by, metric, n, mean, median, p05, p95) of each metric's values that are neither null nor NaN; a null group has null quantiles."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
-    long = rows.select(*by, F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = long.groupBy(*by, "metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), p.alias("p"))
-    return g.select(*by, "metric", "n", "mean", F.col("p")[1].alias("median"), F.col("p")[0].alias("p05"), F.col("p")[2].alias("p95"))
+    long = shared.written(rows.select(*by, F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v")), "metrics")
+    key = [*by, "metric"]
+    q = ranking.quantiles(long, "v", [0.05, 0.5, 0.95], key).select(*key, "q")
+    g = long.groupBy(*key).agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(q, key, "left")
+    return g.select(*key, "n", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p05"), F.col("q")[2].alias("p95"))
 
 
 def ecdf(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, value, share): the share of values up to each distinct one, step at ties; running sums by buckets of values."""
     n = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    span = n.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("c").alias("n"))
-    at = n.join(span, by).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0))
-    before = Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = at.groupBy(by, "b").agg(F.sum("c").alias("s")).select(by, "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(by, "b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return at.join(tops, [by, "b"]).select(by, value, ((F.col("base") + F.sum("c").over(inside)) / F.col("n")).alias("share"))
+    return ranking.below(n, [by], value, ["c"]).select(by, value, ((F.col("c_below") + F.col("c")) / F.col("c_total")).alias("share"))
 
 
 def channel_totals(labeled: DataFrame, nominal: DataFrame, channels: DataFrame, least: int = 5) -> DataFrame:

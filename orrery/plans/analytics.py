@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
-from orrery.functions import spectral
+from orrery.functions import hashing, spectral
 from orrery.operators import detection, editor, energy, fidelity, inject, kinds, models, scaling, scoring, selection
 from orrery.plans import bindings as B
 from orrery.plans.registry import query
@@ -169,7 +169,23 @@ def gallery_cutaddpaste(spark, d):
     return g.select("donor_id", F.round(A.total(F.col("x")), 5).alias("total"), F.round(A.total(F.transform(F.col("x"), lambda v, t: v * t)), 4).alias("moment"))
 
 
-@query()
+_QUARTER = W // 16 if W // 16 > 4 else 4
+TAXONOMY = f"""{_RING.replace('{seed}', str(B.SEED))},
+tx0 AS (SELECT donors.donor_id, ['point', 'contextual', 'shapelet', 'seasonal', 'trend'][{_hash_i('family', '1', '6')}] AS family, CASE WHEN {_hash_u('sign')} < 0.5 THEN 1 ELSE -1 END AS sign, 0.5 + 1.5 * {_hash_u('sev')} AS sev,
+  {_hash_i('points', '1', '4')} AS n_pts, {_hash_i('point', '0', str(W))} AS pt, {_hash_i('hop', '1', str(max(2, W // 3)))} AS hop, 2 + 3 * {_hash_u('boost')} AS boost, {_hash_i('context', str(_QUARTER), str(W - _QUARTER))} AS ct, 3 + 3 * {_hash_u('cboost')} AS cboost,
+  least({W}, {_hash_i('len', str(min(max(8, W // 16), W)), str(max(min(max(8, W // 16), W) + 1, W // 4)))}) AS len, {_hash_i('t0', '0', str(W - max(8, W // 8) + 1))} AS t0, {_hash_i('w0', '0', str(W - max(16, W // 8) + 1))} AS w0, 12 + {max(13.0, W / 4) - 12} * {_hash_u('period')} AS period FROM donors),
+tx AS (SELECT tx0.*, o, CASE WHEN d < 1e-8 THEN 1 ELSE d END AS sd, {_hash_i('cut', '0', f'{W} - len + 1')} AS c0, {_hash_i('paste', '0', f'{W} - len + 1')} AS p0, {_hash_i('t1', f't0 + {max(8, W // 8)}', str(W + 1))} AS t1, {_hash_i('w1', f'w0 + {max(16, W // 8)}', str(W + 1))} AS w1
+  FROM tx0 JOIN s USING (donor_id) JOIN other USING (donor_id)),
+nb AS (SELECT donor_id, avg(v) AS mu, greatest(stddev_pop(v), 0.25 * any_value(sd), 1e-8) AS near FROM long JOIN tx USING (donor_id) WHERE t BETWEEN ct - {_QUARTER} AND ct + {_QUARTER} AND t <> ct GROUP BY 1),
+mine AS (SELECT donor_id, avg(v) AS m FROM long JOIN tx USING (donor_id) WHERE t >= p0 AND t < p0 + len GROUP BY 1), theirs AS (SELECT tx.donor_id, avg(v) AS m FROM tx JOIN long l ON l.donor_id = o AND l.t >= c0 AND l.t < c0 + len GROUP BY 1),
+made AS (SELECT l.donor_id, l.channel_idx, family, l.t, CASE
+  WHEN family = 'point' AND list_contains(list_transform(generate_series(0, n_pts - 1), lambda j: (pt + j * hop) % {W}), l.t) THEN l.v + sign * sev * sd * boost
+  WHEN family = 'contextual' AND l.t = ct THEN mu + sign * sev * near * cboost WHEN family = 'shapelet' AND l.t >= p0 AND l.t < p0 + len THEN b.v + mine.m - theirs.m
+  WHEN family = 'seasonal' AND l.t >= w0 AND l.t < w1 THEN l.v + sign * sev * sd * sin(2 * pi() * (l.t - w0) / period) WHEN family = 'trend' AND l.t >= t0 AND l.t < t1 THEN l.v + sign * sev * sd * (l.t - t0) / (t1 - t0 - 1) ELSE l.v END AS y
+  FROM long l JOIN tx ON tx.donor_id = l.donor_id JOIN nb ON nb.donor_id = l.donor_id JOIN mine ON mine.donor_id = l.donor_id JOIN theirs ON theirs.donor_id = l.donor_id LEFT JOIN long b ON b.donor_id = o AND b.t = c0 + len - 1 - (l.t - p0))"""
+
+
+@query(f"WITH {LONG}, {STATS}, {TAXONOMY} SELECT donor_id, channel_idx, any_value(family) AS family, round(sum(y), 5) AS total FROM made GROUP BY 1, 2")
 def gallery_taxonomy(spark, d):
     g = inject.taxonomy(B.donors(spark, d), W, B.SEED)
     return g.select("donor_id", "channel_idx", "family", F.round(A.total(F.col("x")), 5).alias("total"))
@@ -201,14 +217,32 @@ def residual_copy(spark, d):
     return e.select("donor_id", F.round(A.total(F.col("edited")), 5).alias("total"), F.round(A.total(F.transform("edited", lambda v, t: v * t)), 4).alias("moment"))
 
 
-@query()
+_EXAMPLES = f"""{B.KINDED}, mid AS (SELECT kind_name, quantile_cont({B.AMP}, 0.5) AS mid FROM kinded GROUP BY 1),
+o AS (SELECT kinded.*, round(abs({B.AMP} - mid), 9) AS off FROM kinded JOIN mid USING (kind_name)),
+ag AS (SELECT *, least(row_number() OVER (PARTITION BY kind_name, event_id ORDER BY off, channel, start), 2) AS again FROM o),
+ex AS (SELECT kind_name, {B.h(B.SEED, 'event_id', 'channel', 'start')} AS query_id, x FROM (SELECT *, row_number() OVER (PARTITION BY kind_name ORDER BY again, off, event_id, channel, start) AS k FROM ag) WHERE k <= 4),
+donors AS (SELECT CAST(channel_idx * {B.DONORS} + rk - 1 AS BIGINT) AS donor_id, channel_idx, start, x FROM (SELECT *, row_number() OVER (PARTITION BY channel_idx ORDER BY {B.h(B.SEED, 'channel_idx', 'start')}, start) AS rk FROM finite) WHERE rk <= {B.DONORS}),
+al AS (SELECT donor_id, x, {B.KINDS!r}[(ntile({len(B.KINDS)}) OVER (PARTITION BY channel_idx ORDER BY {B.h(B.SEED, 'donor_id')}, donor_id) - 1 + dense_rank() OVER (ORDER BY channel_idx) - 1) % {len(B.KINDS)} + 1] AS kind_name FROM donors),
+cand AS MATERIALIZED (SELECT e.kind_name, query_id, donor_id, dense_rank() OVER (PARTITION BY e.kind_name ORDER BY query_id) AS turn, sqrt(list_sum(list_transform(list_zip(e.x, al.x), lambda p: pow(p[1] - p[2], 2)))) AS distance FROM ex e JOIN al USING (kind_name))"""
+_TURN = "t{k} AS MATERIALIZED (SELECT kind_name, any_value(query_id) AS query_id, arg_min(donor_id, (distance, donor_id)) AS donor_id, min(distance) AS distance FROM cand c WHERE turn = {k} AND NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.kind_name = c.kind_name AND b.donor_id = c.donor_id) GROUP BY 1)"
+_TURNS = ", ".join(_TURN.format(k=k, before=" UNION ALL ".join(f"SELECT kind_name, donor_id FROM t{i}" for i in range(1, k)) or "SELECT '' AS kind_name, -1 AS donor_id") for k in range(1, 5))
+
+
+@query(f"WITH {_EXAMPLES}, {_TURNS} SELECT kind_name, query_id, donor_id, round(distance, 6) AS distance FROM ({' UNION ALL '.join(f'SELECT * FROM t{k}' for k in range(1, 5))})")
 def nearest_generated(spark, d):
-    q = kinds.kind_examples(B.kinded(spark, d), 4, ["event_id", "channel", "start"]).select("kind_name", F.xxhash64("event_id", "channel", "start").alias("query_id"), "x")
+    """A query's number is a keyed hash of its window, so SQL can take them in the same order."""
+    number = hashing.hashed(B.SEED, F.col("event_id"), F.col("channel"), F.col("start"))
+    q = kinds.kind_examples(B.kinded(spark, d), 4, ["event_id", "channel", "start"]).select("kind_name", number.alias("query_id"), "x")
     g = kinds.alloc_stratified(B.donors(spark, d), B.KINDS, B.SEED).select(F.col("kind_alloc").alias("kind_name"), "donor_id", "x")
     return kinds.nearest_generated(q, g).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+# One step a point: m is each row's squared distance to the nearest point chosen so far.
+_STEP = """m{k} AS MATERIALIZED (SELECT d.donor_id, d.x, least(m, list_sum(list_transform(list_zip(d.x, c.x), lambda p: pow(p[1] - p[2], 2)))) AS m FROM m{before} d, c{before} c),
+c{k} AS MATERIALIZED (SELECT donor_id, x FROM m{k} WHERE m > 0 ORDER BY m DESC, donor_id LIMIT 1)"""
+
+
+@query(f"WITH {B.DONOR}, m0 AS (SELECT donor_id, x, CAST('infinity' AS DOUBLE) AS m FROM donors), c0 AS MATERIALIZED (SELECT donor_id, x FROM m0 ORDER BY donor_id LIMIT 1), {', '.join(_STEP.format(k=k, before=k - 1) for k in range(1, 16))} {' UNION ALL '.join(f'SELECT donor_id, CAST({k} AS INTEGER) AS rank FROM c{k}' for k in range(16))}")
 def farthest_points(spark, d):
     return kinds.farthest_points(B.donors(spark, d), 16)
 
@@ -314,7 +348,14 @@ def feature_w1(spark, d):
     return fidelity.feature_w1(*B.sides(spark, d)).select("channel_idx", "feature", F.round("w1", 5).alias("w1"))
 
 
-@query()
+_PEAKS = f"""k AS (SELECT unnest(generate_series(1, {W // 2})) AS k),
+sp AS (SELECT side, donor_id, channel_idx, k, round(2 * sqrt(pow(sum(z * cos(2 * pi() * k * t / {W})), 2) + pow(sum(z * sin(2 * pi() * k * t / {W})), 2)) / {W}, 12) AS a
+  FROM (SELECT side, donor_id, channel_idx, t, v - avg(v) OVER (PARTITION BY side, donor_id) AS z FROM (SELECT 'r' AS side, * FROM real UNION ALL SELECT 's', * FROM synth)) CROSS JOIN k GROUP BY 1, 2, 3, 4),
+pk AS (SELECT side, donor_id, channel_idx, max(a) AS a, arg_max(k, (a, -k)) / {W // 2} AS b FROM sp GROUP BY 1, 2, 3),
+pl AS (SELECT side, channel_idx || '|a' AS g, a AS v FROM pk UNION ALL SELECT side, channel_idx || '|b', b FROM pk), rv AS (SELECT g, v FROM pl WHERE side = 'r'), sv AS (SELECT g, v FROM pl WHERE side = 's')"""
+
+
+@query(f"WITH {SIDES}, {_PEAKS}, {W1} SELECT CAST(split_part(g, '|', 1) AS INTEGER) AS channel_idx, round(max(w1) FILTER (g LIKE '%a'), 6) AS amplitude_w1, round(max(w1) FILTER (g LIKE '%b'), 6) AS frequency_w1 FROM w1 GROUP BY 1")
 def fft_awd(spark, d):
     return fidelity.fft_distance(*B.sides(spark, d), W).select("channel_idx", *r6("amplitude_w1", "frequency_w1"))
 
@@ -327,10 +368,21 @@ def c2st(spark, d):
     return fidelity.c2st_over_seeds(ids(real), ids(synth)).select(*r6("accuracy", "p_value", "reject_rate"), "n_test")
 
 
-@query(f"WITH {SIDES}, rv AS (SELECT channel_idx AS g, v FROM real), sv AS (SELECT channel_idx AS g, v FROM synth), {W1} SELECT 'posthoc' AS method, round(avg(w1), 6) AS w1, CAST(NULL AS DOUBLE) AS acd FROM w1 HAVING count(*) > 0")
+_CHANGED = f"sc AS (SELECT donor_id, y.channel_idx, family, t, (y - lo) / greatest(hi - lo, 1e-12) AS v FROM made y JOIN scaler USING (channel_idx))"
+
+
+@query(f"""WITH {LONG}, {STATS}, {TAXONOMY}, {B.SCALER}, {_CHANGED}, real AS (SELECT donor_id, channel_idx, t, (v - lo) / greatest(hi - lo, 1e-12) AS v FROM long JOIN scaler USING (channel_idx)),
+rv AS (SELECT family || '|' || channel_idx AS g, v FROM real CROSS JOIN (SELECT DISTINCT family FROM sc)), sv AS (SELECT family || '|' || channel_idx AS g, v FROM sc), {W1},
+zr AS (SELECT donor_id, channel_idx, t, v - avg(v) OVER (PARTITION BY channel_idx) AS z FROM real), ar AS ({_ACF.format(z='zr')}),
+zs AS (SELECT donor_id, family || '|' || channel_idx AS channel_idx, t, v - avg(v) OVER (PARTITION BY family, channel_idx) AS z FROM sc), ay AS ({_ACF.format(z='zs')}),
+ac AS (SELECT ay.channel_idx AS g, sqrt(sum(pow(ar.acf - ay.acf, 2))) AS acd FROM ay JOIN ar ON ar.lag = ay.lag AND CAST(ar.channel_idx AS VARCHAR) = split_part(ay.channel_idx, '|', 2) GROUP BY 1)
+SELECT split_part(g, '|', 1) AS method, round(avg(w1), 6) AS w1, round(avg(acd), 6) AS acd FROM w1 LEFT JOIN ac USING (g) GROUP BY 1""")
 def metric_pivot(spark, d):
-    w = fidelity.marginal_w1(*B.sides(spark, d)).select(F.lit("posthoc").alias("method"), F.lit("w1").alias("metric"), F.col("w1").alias("value"))
-    return selection.pivot_metrics(w, ["w1", "acd"]).select("method", *r6("w1", "acd"))
+    """Each family of the taxonomy is a method; its channels' W1 and autocorrelation differences from the donors."""
+    base, s = B.donors(spark, d).select("donor_id", "channel_idx", "x"), B.scaler(spark, d)
+    made = scaling.span_normalise(inject.taxonomy(base, W, B.SEED), s)
+    real = scaling.span_normalise(base, s)
+    return selection.pivot_metrics(fidelity.method_metrics(real, made, "family"), ["w1", "acd"]).select("method", *r6("w1", "acd"))
 
 
 # --- detection ---
@@ -365,7 +417,9 @@ def average_precision(spark, d):
     return detection.average_precision(_scores(spark, d)).select(*r6("average_precision"))
 
 
-@query()
+@query(f"""WITH {DET}, t AS (SELECT quantile_cont(score, 0.9) AS t FROM s WHERE label = 0), e AS (SELECT event_id, max(CAST(score >= t AS INTEGER)) AS hit FROM s, t WHERE label = 1 GROUP BY 1),
+i AS (SELECT hit, row_number() OVER (ORDER BY {B.h(B.SEED, 'event_id')}, event_id) - 1 AS i, count(*) OVER () AS n FROM e), dr AS (SELECT boot, {B.h(B.SEED, 'boot', 'i')} % n AS i FROM i CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS boot)),
+r AS (SELECT boot, avg(hit) AS r FROM dr JOIN i USING (i) GROUP BY 1) SELECT round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r""")
 def bootstrap_recall(spark, d):
     s = _scores(spark, d)
     t = detection.threshold_at_far(s.where("label = 0"), 0.1)

@@ -163,3 +163,39 @@ def test_files(spark, tmp_path):
 def test_prototype_energy(spark):
     rows = spark.createDataFrame([(1, [0.0, 2.0], [0.0, 0.0])], "query_id long, x array<double>, proto array<double>")
     assert energy.proto_energy(rows).first()["energy"] == 4.0
+
+
+def test_report_quantiles_with_an_outlier(spark):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=300), [1e12]])
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("a", math.nan), ("b", 2.0), (None, 7.0)], "source string, m double")
+    got = {r["source"]: r for r in reports.diagnostics(df, ["source"], ["m"]).collect()}
+    assert np.allclose([got["a"][c] for c in ("p05", "median", "p95")], np.quantile(v, [0.05, 0.5, 0.95])) and got["a"]["n"] == 301
+    assert got["b"]["median"] == 2.0 and got[None]["n"] == 1 and got[None]["median"] is None
+    share = {r["m"]: r["share"] for r in reports.ecdf(df.where("source = 'a' AND NOT isnan(m)"), "source", "m").collect()}
+    assert all(math.isclose(share[x], (v <= x).mean()) for x in v.tolist())
+    at = ranking.below(spark.createDataFrame([(float(x), 1) for x in v], "v double, c long"), [], "v", ["c"])
+    assert sorted((r["v"], r["c_below"]) for r in at.collect()) == [(x, i) for i, x in enumerate(sorted(v.tolist()))]
+    x = [[0.0, 1.0, 3.0], [0.0, 5.0, 0.0], [2.0, 2.0, 2.0]]
+    s = reports.slice_metrics(spark.createDataFrame([("k", w) for w in x], "kind_alloc string, x array<double>")).first()
+    assert s["n"] == 3 and s["amp_median"] == 3.0 and s["shift_median"] == 2.0
+    assert reports.slice_metrics(spark.createDataFrame([], "kind_alloc string, x array<double>")).count() == 0
+
+
+def test_metrics_of_methods_equal_those_of_each(spark):
+    rng = np.random.default_rng(13)
+
+    def side(n, shift, channels):
+        return [(i, c, [float(v) for v in rng.normal(shift, 1, 24)]) for c in channels for i in range(n)]
+
+    real = spark.createDataFrame(side(9, 0, (0, 1)), "donor_id long, channel_idx int, x array<double>")
+    made = [("p", *r) for r in side(7, 1, (0, 1))] + [("q", *r) for r in side(5, 2, (1, 2))]
+    synth = spark.createDataFrame(made, "family string, donor_id long, channel_idx int, x array<double>")
+    got = {(r["method"], r["channel_idx"], r["metric"]): r["value"] for r in fidelity.method_metrics(real, synth, "family").collect()}
+    want = {}
+    for m in ("p", "q"):
+        one = synth.where(F.col("family") == m)
+        want |= {(m, r["channel_idx"], "w1"): r["w1"] for r in fidelity.marginal_w1(real, one).collect()}
+        want |= {(m, r["channel_idx"], "acd"): r["acd"] for r in fidelity.autocorrelation_difference(real, one, 16).collect()}
+    assert set(got) == set(want) == {(m, c, k) for m, c in (("p", 0), ("p", 1), ("q", 1)) for k in ("w1", "acd")}
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
