@@ -117,7 +117,7 @@ def nearest_generated(queries: DataFrame, gallery: DataFrame, by: str = "kind_na
         for name, part in a.groupby(by):
             there = b[b[by] == name]
             if len(there):
-                d, ids = np.sqrt(blocks.squares(blocks.matrix(part.x), blocks.matrix(there.x))), there.donor_id.to_numpy()
+                d, ids = np.sqrt(blocks.differences(blocks.matrix(part.x), blocks.matrix(there.x))), there.donor_id.to_numpy()
                 for i, row, k in zip(part.query_id, d, part.k, strict=True):
                     best = np.lexsort((ids, row))[:k]
                     out.append(pd.DataFrame({by: name, "query_id": i, "donor_id": ids[best], "distance": row[best]}))

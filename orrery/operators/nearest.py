@@ -1,12 +1,15 @@
 """Exact nearest neighbours of a stated set of queries, without comparing all pairs.
 
-Gallery rows lie in cells by their nearest pivot, cells in rings of bounded size by their
-distance from it. For a query, a ring whose distances from the pivot are [lo, hi] cannot
-hold anything nearer than the query's own distance from the pivot is from that range
-(triangle inequality). Pivots are gallery rows, so the nearest of them bounds the distance
-at first; a look at the one ring that promises most tightens it; then only rings within
-the bound are compared. Nothing is lost: a ring is skipped only if its best row cannot be
-nearer than one already found.
+Gallery rows lie in cells by their nearest pivot; blocks of queries meet blocks of the
+gallery (:mod:`orrery.operators.blocks`), and in each pair of blocks the rows of a cell
+lie in rings of bounded size by their distance from the pivot. For a query, a ring whose
+distances from the pivot are [lo, hi] cannot hold anything nearer than the query's own
+distance from the pivot is from that range (triangle inequality). Pivots are gallery
+rows, so the nearest of them bounds the distance at first; the ring that promises most
+tightens it; then only rings within the bound are compared. Nothing is lost: a ring is
+skipped only if its best row cannot be nearer than one already found. Which ring a query
+asks for never leaves the task, so where nothing can be ruled out (noise) the cost is
+that of all pairs and the memory still that of two blocks.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions import ranking, shared
+from orrery.functions import shared
 from orrery.operators import blocks
 
-#: Pivots of each group of the gallery: they and the bounds of the rings go with the queries' tasks.
+#: Pivots of each group of the gallery: they go with the tasks.
 PIVOTS = 256
 #: Rows of a ring, and queries that meet it at once.
-RING, QUERIES = 8192, 4096
+RING, QUERIES = 1024, 4096
 #: Distances are compared with this much room, relative to their size, for rounding.
 SLACK = 1e-9
 
@@ -37,8 +40,8 @@ def pivots(gallery: DataFrame, most: int) -> dict[str, np.ndarray]:
     return {g: np.stack(p.x).astype(float) for g, p in rows.groupby("grp")}
 
 
-def ringed(gallery: DataFrame, points: dict[str, np.ndarray], size: int = RING) -> DataFrame:
-    """(grp, x, cell, r, ring): the nearest pivot of each row, the distance r from it, and its ring (of at most ``size`` rows)."""
+def celled(gallery: DataFrame, points: dict[str, np.ndarray]) -> DataFrame:
+    """(grp, x, cell, r): the nearest pivot of each row and the distance r from it."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -47,44 +50,39 @@ def ringed(gallery: DataFrame, points: dict[str, np.ndarray], size: int = RING)
                 cell = d.argmin(axis=1)
                 yield pd.DataFrame({"grp": g, "x": part.x, "cell": cell, "r": np.sqrt(d[np.arange(len(d)), cell])})
 
-    cells = shared.written(gallery.select("grp", "x").mapInPandas(near, "grp string, x array<double>, cell int, r double").withColumn("id", F.monotonically_increasing_id()), "cells")
-    placed = ranking.numbered(cells, ["grp", "cell"], ranking.number_bucket(cells, "r"), ["r", "id"])
-    return shared.written(placed.select("grp", "x", "cell", "r", F.floor(F.col("index") / size).cast("int").alias("ring")), "rings")
-
-
-class Bounds:
-    """The rings of each group: cell, lo, hi and number of rows (a row for ``RING`` rows of the gallery)."""
-
-    def __init__(self, rings: DataFrame, points: dict[str, np.ndarray]):
-        self.points, self.of = points, {}
-        rows = rings.groupBy("grp", "cell", "ring").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).toPandas()
-        for g, p in rows.groupby("grp"):
-            self.of[g] = p.reset_index(drop=True)
-        self.rows = {g: int(p.n.sum()) for g, p in self.of.items()}
-
-    def least(self, q: np.ndarray, g: str) -> tuple[np.ndarray, np.ndarray]:
-        """(distance to the nearest pivot, least possible distance to each ring) of each query."""
-        d = np.sqrt(blocks.squares(q, self.points[g]))
-        at = d[:, self.of[g].cell.to_numpy()]
-        low = np.maximum(np.maximum(at - self.of[g].hi.to_numpy(), self.of[g].lo.to_numpy() - at), 0.0)
-        return d.min(axis=1), low
-
-
-def _met(asked: DataFrame, rings: DataFrame) -> DataFrame:
-    """(grp, query_id, d2): the nearest row of a ring for each query (grp, cell, ring, query_id, x) that asks for it."""
-    keys = ["grp", "cell", "ring"]
-    asked = shared.written(asked.withColumn("_at", F.monotonically_increasing_id()), "asked")
-    parts = asked.groupBy(*keys).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("_n"))
-    a = asked.join(parts, keys).withColumn("_part", F.pmod("_at", F.col("_n")).cast("int")).select(*keys, "_part", "query_id", "x")
-    b = rings.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(*keys, "_part", F.col("x").alias("y"))
-
-    def work(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({c: [] for c in ("grp", "query_id", "d2")}, dtype=object)
-        return pd.DataFrame({"grp": q.grp, "query_id": q.query_id, "d2": blocks.squares(blocks.matrix(q.x), blocks.matrix(r.y)).min(axis=1)})
-
-    both = a.groupBy(*keys, "_part").cogroup(b.groupBy(*keys, "_part")).applyInPandas(work, "grp string, query_id long, d2 double")
-    return both.groupBy("grp", "query_id").agg(F.min("d2").alias("d2"))
+    return gallery.select("grp", "x").mapInPandas(near, "grp string, x array<double>, cell int, r double")
+
+
+def within(q: np.ndarray, y: np.ndarray, cell: np.ndarray, r: np.ndarray, points: np.ndarray, ring: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, compared) of each query: to the nearest of ``y`` or of the pivots, and with how many rows it was compared."""
+    order = np.lexsort((r, cell))
+    y, cell, r = y[order], cell[order], r[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    place = np.arange(len(cell)) - np.repeat(first, np.diff(np.r_[first, len(cell)]))
+    start = np.flatnonzero(place % ring == 0)
+    end = np.r_[start[1:], len(cell)]
+    lo, hi, of, size = r[start][:, None], r[end - 1][:, None], cell[start], end - start
+    best, compared = np.empty(len(q)), np.zeros(len(q), np.int64)
+    for s in range(0, len(q), QUERIES):
+        z = q[s : s + QUERIES]
+        at = np.sqrt(blocks.squares(z, points)).T
+        near, n = at.min(axis=0), compared[s : s + QUERIES]
+        at = at[of]
+        low = np.maximum(np.maximum(at - hi, lo - at), 0.0)
+        promising = low.argmin(axis=0)
+
+        def look(k: int, i: np.ndarray, z=z, near=near, n=n) -> None:
+            if len(i):
+                some = z if len(i) == len(z) else z[i]
+                near[i] = np.minimum(near[i], np.sqrt(blocks.nearest(some, y[start[k] : end[k]])))
+                n[i] += size[k]
+
+        for k in np.unique(promising):
+            look(k, np.flatnonzero(promising == k))
+        for k in range(len(start)):
+            look(k, np.flatnonzero((low[k] <= near + SLACK * (near + at[k])) & (promising != k)))
+        best[s : s + QUERIES] = near
+    return best, compared
 
 
 def search(queries: DataFrame, gallery: DataFrame, by: str | None = None, most: int = PIVOTS, ring: int = RING) -> tuple[DataFrame, DataFrame]:
@@ -93,44 +91,24 @@ def search(queries: DataFrame, gallery: DataFrame, by: str | None = None, most:
     own = shared.written(own, "gallery")
     # More cells than rings would only be more groups.
     points = pivots(own, min(most, max(1, -(-2 * own.count() // ring))))
-    asked = shared.written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("x").cast("array<double>").alias("x")), "queries")
     spark = queries.sparkSession
     if not points:
         return spark.createDataFrame([], "query_id long, grp string, distance double"), spark.createDataFrame([], "grp string, pairs long, compared long")
-    rings = ringed(own, points, ring)
-    bounds = Bounds(rings, points)
-    kind = "grp string, cell int, ring int, query_id long, x array<double>, bound double, n long"
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("x").cast("array<double>").alias("x"))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The ring that promises most, for each group."""
-        for b in batches:
-            for g, rows in bounds.of.items():
-                if len(b):
-                    near, low = bounds.least(blocks.matrix(b.x), g)
-                    k = low.argmin(axis=1)
-                    yield pd.DataFrame({"grp": g, "cell": rows.cell.to_numpy()[k], "ring": rows.ring.to_numpy()[k], "query_id": b.query_id, "x": b.x, "bound": near, "n": rows.n.to_numpy()[k]})
-
-    start = shared.written(asked.mapInPandas(first, kind), "first")
-    tight = start.join(_met(start.select("grp", "cell", "ring", "query_id", "x"), rings), ["grp", "query_id"])
-    found = shared.written(tight.select("grp", "query_id", "x", "cell", "ring", "n", F.least("bound", F.sqrt("d2")).alias("bound")), "found")
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All other rings within the bound."""
-        for b in batches:
-            for g, part in b.groupby("grp"):
-                rows = bounds.of[g]
-                _, low = bounds.least(blocks.matrix(part.x), g)
-                best = part.bound.to_numpy()[:, None]
-                ask = low < best + SLACK * np.maximum(best, 1.0)
-                ask &= ~((rows.cell.to_numpy()[None] == part.cell.to_numpy()[:, None]) & (rows.ring.to_numpy()[None] == part.ring.to_numpy()[:, None]))
-                i, k = np.nonzero(ask)
-                yield pd.DataFrame({"grp": g, "cell": rows.cell.to_numpy()[k], "ring": rows.ring.to_numpy()[k], "query_id": part.query_id.to_numpy()[i], "x": part.x.to_numpy()[i], "bound": part.bound.to_numpy()[i], "n": rows.n.to_numpy()[k]})
-
-    more = shared.written(found.mapInPandas(rest, kind), "rest")
-    met = _met(more.select("grp", "cell", "ring", "query_id", "x"), rings).select("grp", "query_id", F.sqrt("d2").alias("d"))
-    out = found.select("grp", "query_id", F.col("bound").alias("d")).unionByName(met).groupBy("query_id", "grp").agg(F.min("d").alias("distance"))
-    sizes = spark.createDataFrame(list(bounds.rows.items()), "grp string, g long")  # a row a group
-    used = start.select("grp", "n", F.lit(1).alias("q")).unionByName(more.select("grp", "n", F.lit(0).alias("q"))).groupBy("grp").agg(F.sum("n").alias("compared"), F.sum("q").alias("q"))
+    def work(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(g):
+            return pd.DataFrame({c: [] for c in ("query_id", "grp", "d", "n")}, dtype=object)
+        z, out = blocks.matrix(q.x), []
+        for k, p in g.groupby("grp"):
+            d, n = within(z, blocks.matrix(p.x), p.cell.to_numpy(), p.r.to_numpy(), points[k], ring)
+            out.append(pd.DataFrame({"query_id": q.query_id, "grp": k, "d": d, "n": n}))
+        return pd.concat(out)
+
+    met = blocks.meet(asked, celled(own, points), work, "query_id long, grp string, d double, n long")
+    out = met.groupBy("query_id", "grp").agg(F.min("d").alias("distance"))
+    sizes = own.groupBy("grp").agg(F.count("*").alias("g"))  # a row a group
+    used = met.groupBy("grp").agg(F.sum("n").alias("compared")).join(F.broadcast(asked.agg(F.count("*").alias("q"))))
     return out, used.join(F.broadcast(sizes), "grp").select("grp", (F.col("q") * F.col("g")).alias("pairs"), "compared")
 
 
@@ -141,7 +119,8 @@ def direct(queries: DataFrame, gallery: DataFrame, by: str | None = None) -> Dat
     def work(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(g):
             return pd.DataFrame({c: [] for c in ("query_id", "grp", "d2")}, dtype=object)
-        return pd.concat([pd.DataFrame({"query_id": q.query_id, "grp": k, "d2": blocks.squares(blocks.matrix(q.x), blocks.matrix(p.x)).min(axis=1)}) for k, p in g.groupby("grp")])
+        z = blocks.matrix(q.x)
+        return pd.concat([pd.DataFrame({"query_id": q.query_id, "grp": k, "d2": blocks.nearest(z, blocks.matrix(p.x))}) for k, p in g.groupby("grp")])
 
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("x").cast("array<double>").alias("x"))
     met = blocks.meet(asked, own, work, "query_id long, grp string, d2 double")
