@@ -28,9 +28,12 @@ def references(refs: DataFrame, kind: str | None = None) -> tuple[np.ndarray, np
     return x, rows.kind.to_numpy()
 
 
-def log_sum_exp(x: np.ndarray) -> np.ndarray:
+def log_sum_exp(x: np.ndarray, times: float = 1.0) -> np.ndarray:
+    """Of each row of ``x`` times a factor; ``x`` is overwritten."""
+    x *= times
     m = x.max(axis=1, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=1, keepdims=True)))[:, 0]
+    x -= m
+    return m[:, 0] + np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def energies(queries: DataFrame, refs: DataFrame, tau: float, k: int = 8, kind: str | None = None) -> DataFrame:
@@ -46,9 +49,13 @@ def energies(queries: DataFrame, refs: DataFrame, tau: float, k: int = 8, kind:
         if len(q) and len(r):
             z = blocks.matrix(q.x)
             for name, part in r.groupby("kind", dropna=False):
-                d2 = blocks.squares(z, blocks.matrix(part.x))
-                near = np.sort(d2, axis=1)[:, :k]
-                out.append(pd.DataFrame({"query_id": q.query_id, "kind": name, "n": len(part), "part": log_sum_exp(-d2 / tau), "near": list(near)}))
+                y, few = blocks.matrix(part.x), min(k, len(part))
+                total, near = np.empty(len(z)), np.empty((len(z), few))
+                for s in blocks.tiles(len(z), len(y)):
+                    d2 = blocks.squares(z[s], y)
+                    near[s] = np.sort(np.partition(d2, few - 1, axis=1)[:, :few], axis=1)
+                    total[s] = log_sum_exp(d2, -1 / tau)
+                out.append(pd.DataFrame({"query_id": q.query_id, "kind": name, "n": len(part), "part": total, "near": list(near)}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "kind", "n", "part", "near")}, dtype=object)
 
     met = blocks.meet(queries.select("query_id", "x"), own, work, "query_id long, kind string, n long, part double, near array<double>")
