@@ -94,6 +94,12 @@ def bucket(d2: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip(np.floor((d2 - low) * (CUTS / (high - low))), 0, CUTS - 1).astype(np.int64)
 
 
+def spread(rows: DataFrame) -> float:
+    """No less than any squared distance of two rows: the diagonal of the box around them."""
+    sides = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("s"))  # a row a coordinate
+    return sides.agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("d")).first()["d"]
+
+
 def median_square(rows: DataFrame, few: int = FEW) -> float | None:
     """The squared distance at place floor((n - 1) / 2) of all pairs of rows; None of fewer than two.
 
@@ -101,32 +107,28 @@ def median_square(rows: DataFrame, few: int = FEW) -> float | None:
     bucket of the one before, until it holds ``few`` pairs or one value; the last one gives
     the values of that bucket alone. What leaves a pair of blocks is never its pairs.
     """
-    own = rows.select("x").withColumn("id", F.monotonically_increasing_id())
-    own = shared.written(own, "pairs")
-
-    def over(work, schema: str) -> DataFrame:
-        def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return work(np.zeros(0))
-            return work(blocks.squares(blocks.matrix(a.x), blocks.matrix(b.x))[a.id.to_numpy()[:, None] < b.id.to_numpy()[None]])
-
-        return blocks.meet(own, own, pairs, schema, (2048, 2048))
-
-    span = over(lambda d2: pd.DataFrame({"n": [len(d2)], "low": [d2.min() if len(d2) else np.nan], "high": [d2.max() if len(d2) else np.nan]}), "n long, low double, high double")
-    one = span.where("n > 0").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
-    if not one["n"]:
+    own, size = blocks.numbered(rows.select("x").withColumn("id", F.monotonically_increasing_id()), "pairs")
+    if size < 2:
         return None
-    place, n, low, high = (one["n"] - 1) // 2, one["n"], one["low"], one["high"]
+    n = size * (size - 1) // 2
+    place, low, high = (n - 1) // 2, 0.0, spread(own)
     path: list[tuple[float, float, int]] = []
     while n > few and high > low:
 
-        def counted(d2: np.ndarray, path=tuple(path), low=low, high=high) -> pd.DataFrame:
-            d2 = d2[inside(d2, path)]
-            k, c = np.unique(bucket(d2, low, high), return_counts=True)
-            return pd.DataFrame({"k": k, "c": c, "low": [d2[bucket(d2, low, high) == i].min() for i in k], "high": [d2[bucket(d2, low, high) == i].max() for i in k]})
+        def counted(tiles: Iterator[np.ndarray], path=tuple(path), low=low, high=high) -> pd.DataFrame:
+            c, least, most = np.zeros(CUTS, np.int64), np.full(CUTS, np.inf), np.full(CUTS, -np.inf)
+            for d2 in tiles:
+                d2 = d2[inside(d2, path)]
+                k = bucket(d2, low, high)
+                c += np.bincount(k, minlength=CUTS)
+                np.minimum.at(least, k, d2)
+                np.maximum.at(most, k, d2)
+            k = np.flatnonzero(c)
+            return pd.DataFrame({"k": k, "c": c[k], "low": least[k], "high": most[k]})
 
         # At most CUTS rows a pair of blocks; CUTS on the driver.
-        got = sorted(over(counted, "k long, c long, low double, high double").groupBy("k").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")).collect(), key=lambda r: r["k"])
+        passed = blocks.among(own, size, counted, "k long, c long, low double, high double")
+        got = sorted(passed.groupBy("k").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")).collect(), key=lambda r: r["k"])
         for r in got:
             if place < r["c"]:
                 break
@@ -135,9 +137,14 @@ def median_square(rows: DataFrame, few: int = FEW) -> float | None:
         n, low, high = r["c"], r["low"], r["high"]
     if high == low:
         return float(low)
-    few_values = over(lambda d2: pd.DataFrame(dict(zip(("d2", "c"), np.unique(d2[inside(d2, path)], return_counts=True), strict=True))), "d2 double, c long")
+
+    def values(tiles: Iterator[np.ndarray]) -> pd.DataFrame:
+        v, c = np.unique(np.concatenate([np.zeros(0), *(d2[inside(d2, path)] for d2 in tiles)]), return_counts=True)
+        return pd.DataFrame({"d2": v, "c": c})
+
+    few_values = blocks.among(own, size, values, "d2 double, c long")
     at = ranking.below(few_values.groupBy("d2").agg(F.sum("c").alias("c")), [], "d2", ["c"])
-    return at.where((F.col("c_below") <= place) & (place < F.col("c_below") + F.col("c"))).first()["d2"]
+    return at.where(F.col("c_below") <= place).agg(F.max("d2").alias("d2")).first()["d2"]
 
 
 def locality(rows: DataFrame, refs: DataFrame, basis: np.ndarray, centre: np.ndarray, tau: float, top: float = 0.1) -> DataFrame:
@@ -153,10 +160,14 @@ def locality(rows: DataFrame, refs: DataFrame, basis: np.ndarray, centre: np.nda
         if not len(q) or not len(r):
             return pd.DataFrame({c: [] for c in ("query_id", "m", "s", "v")}, dtype=object)
         z, y = (blocks.matrix(q.x) - centre) @ basis, (blocks.matrix(r.x) - centre) @ basis
-        w = -blocks.squares(z, y) / tau
-        m = w.max(axis=1)
-        p = np.exp(w - m[:, None])
-        return pd.DataFrame({"query_id": q.query_id, "m": m, "s": p.sum(axis=1), "v": list(p @ y)})
+        m, total, v = np.empty(len(z)), np.empty(len(z)), np.empty(z.shape)
+        for s in blocks.tiles(len(z), len(y)):
+            w = blocks.squares(z[s], y) / -tau
+            m[s] = w.max(axis=1)
+            w -= m[s, None]
+            p = np.exp(w, out=w)
+            total[s], v[s] = p.sum(axis=1), p @ y
+        return pd.DataFrame({"query_id": q.query_id, "m": m, "s": total, "v": list(v)})
 
     met = blocks.meet(rows.select("query_id", "x"), refs.select("x"), work, "query_id long, m double, s double, v array<double>")
     # One row for a query and a block of references.

@@ -6,6 +6,8 @@ so neither side is ever whole on the driver or in a task; only minima and sums m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,14 +54,13 @@ def choose_tau(distances: DataFrame, target: float = 0.1) -> DataFrame:
 def mean_pairwise(rows: DataFrame, key: str = "query_id") -> DataFrame:
     """One row: the mean distance of all pairs of distinct ids; 0 of fewer than two rows. Blocks meet; only sums move."""
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"s": [], "n": []})
-        pair = a.id.to_numpy()[:, None] < b.id.to_numpy()[None]
-        return pd.DataFrame({"s": [float(np.sqrt(blocks.squares(blocks.matrix(a.x), blocks.matrix(b.x)))[pair].sum())], "n": [int(pair.sum())]})
+    def work(tiles: Iterator[np.ndarray]) -> pd.DataFrame:
+        total, n = 0.0, 0
+        for d2 in tiles:
+            total, n = total + float(np.sqrt(d2).sum()), n + len(d2)
+        return pd.DataFrame({"s": [total], "n": [n]})
 
-    own = rows.select(F.col(key).alias("id"), "x")
-    out = blocks.meet(own, own, work, "s double, n long", (blocks.LEFT, blocks.LEFT))
+    out = blocks.among(*blocks.numbered(rows.select(F.col(key).alias("id"), "x"), "pairs"), work, "s double, n long")
     return out.agg(F.coalesce(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("diversity"))
 
 
