@@ -45,7 +45,9 @@ MARK = "▁"
 #: Log-probabilities are whole multiples of 1 / SCALE, so sums are exact and ties are ties.
 SCALE = 1 << 20
 BYTE_LOG_P = -30 * SCALE
-MEMO = 300_000
+UNREACHED = -(1 << 62)
+#: Stretches of each of the memo's two generations, and the longest stretch that is searched whole and remembered.
+MEMO, SHORT = 150_000, 64
 LETTER, SIGN = r"[A-Za-z\u00C0-\u024F]", r"[^\w \n]"
 
 
@@ -61,9 +63,10 @@ class Pieces:
     splits: bool  # no piece has a space after another character, or a line feed
     signs: bool  # no piece has a sign after a Latin letter
     memo: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)  # the memo's older generation: what is used again moves on
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "before": {}}
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -143,6 +146,33 @@ def viterbi(text: str, p: Pieces) -> Iterator[list[int]]:
                     score[to], back[to] = mine + hit[0], (k, (hit[1],))
 
 
+def short(text: str, p: Pieces) -> list[int]:
+    """The ids of a short text, as :func:`viterbi` gives them, without its window."""
+    get, longest, n = p.prefixes.get, p.longest, len(text)
+    score, start, piece = [0] + [UNREACHED] * n, [0] * (n + 1), [-1] * (n + 1)
+    for k in range(n + 1):
+        mine = score[k]
+        if mine == UNREACHED:  # no piece ends here
+            mine = score[k] = score[k - 1] + BYTE_LOG_P * len(text[k - 1].encode("utf-8", "surrogatepass"))
+            start[k] = k - 1
+        for end in range(k + 1, min(n, k + longest) + 1):
+            hit = get(text[k:end], 0)
+            if hit:
+                total = mine + hit[0]
+                if total > score[end]:
+                    score[end], start[end], piece[end] = total, k, hit[1]
+            elif hit == 0:
+                break
+    out: list[int] = []
+    while n:
+        if piece[n] >= 0:
+            out.append(piece[n])
+        else:
+            out += [p.byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
+        n = start[n]
+    return out[::-1]
+
+
 #: Stretches between boundaries that no piece crosses.
 STRETCH = re.compile(r"\n| *[^ \n]+| +")
 PART = re.compile(f"(?<={LETTER})(?={SIGN})")
@@ -152,13 +182,18 @@ def _ids(s: str, p: Pieces, parts: list[str]) -> bytes:
     """The ids of a stretch, through the memo."""
     got = p.memo.get(s)
     if got is None:
-        if len(parts) > 1:
+        got = p.before.get(s)
+        if got is not None:
+            pass
+        elif len(parts) > 1:
             got = b"".join([_ids(x, p, [x]) for x in parts])
+        elif len(s) <= SHORT:
+            got = array("i", short(s, p)).tobytes()
         else:
             got = array("i", [i for run in viterbi(s, p) for i in run]).tobytes()
-        if len(s) <= 64:
+        if len(s) <= SHORT:
             if len(p.memo) >= MEMO:
-                p.memo.clear()
+                p.before, p.memo = p.memo, {}
             p.memo[s] = got
     return got
 
