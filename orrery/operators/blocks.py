@@ -25,6 +25,10 @@ LEAST, GROUPS = 1024, 96
 TILE = 4_000_000
 #: Squared distances below this share of the rows' own squares are taken by differences: products would cancel.
 CANCEL = 1e-3
+#: Rows on either side of a tile in single precision: its products stay in a core's cache.
+SIDE = 1024
+#: With more rows a query than this that may be its nearest, a tile is taken by :func:`squares`.
+MAY = 32
 
 
 def numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -125,16 +129,59 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.column_stack((-2 * p, n, np.ones(len(p)))) @ np.column_stack((q, np.ones(len(q)), m)).T
     near = np.flatnonzero(out.min(axis=1) <= CANCEL * (n + m.max()))
     i, j = np.nonzero(out[near] <= CANCEL * (n[near, None] + m))
-    step = max(1, TILE // max(1, b.shape[1]))
-    for s in range(0, len(i), step):
-        k, other = near[i[s : s + step]], j[s : s + step]
-        out[k, other] = ((a[k] - b[other]) ** 2).sum(axis=1)
+    out[near[i], j] = apart(a, b, near[i], j)
+    return out
+
+
+def nearest(a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """The squared distance of each row to the nearest of ``b``; with ``most``, what is reached already, the smaller of both.
+
+    Products of centred rows in single precision, with a bound on their error, say which
+    rows may be the nearest; only these are taken by differences, so the result is as
+    exact as theirs. A tile in which too many may be (copies, clusters far apart) is taken
+    by :func:`squares`, and so is all that is not finite.
+    """
+    out = np.full(len(a), np.inf) if most is None else np.array(most, float)
+    with np.errstate(all="ignore"):
+        c = b.mean(axis=0)
+        p, q = a - c, b - c
+        n, m = (p * p).sum(axis=1), (q * q).sum(axis=1)
+        top = max(n.max(), m.max())
+    if not np.isfinite(top):
+        return np.minimum(out, np.concatenate([squares(a[s], b).min(axis=1) for s in tiles(len(a), len(b))]))
+    top = top or 1.0
+    # Squared distances but for the rows' own squares, in units in which single precision overflows nowhere.
+    n, m, root = n / top, m / top, np.sqrt(top)
+    p, q = np.column_stack((-2 / root * p, np.ones(len(p)))).astype(np.float32), np.column_stack((q / root, m)).astype(np.float32)
+    room = b.shape[1] + 8
+    for s in range(0, len(a), SIDE):
+        z, of = p[s : s + SIDE], n[s : s + SIDE]
+        parts = [(slice(t, t + SIDE), m[t : t + SIDE].max()) for t in range(0, len(b), SIDE)]
+        # Twice the bound of a product of so many terms, and of its parts' own rounding.
+        error = [room * (2.0**-23 * (k + 2 * np.sqrt(of * k)) + 1e-37) + 1e-15 * of for _, k in parts]
+        low = [(z @ q[t].T).min(axis=1) for t, _ in parts]
+        upper = np.minimum(out[s : s + SIDE] / top - of, np.min([v + e for v, e in zip(low, error, strict=True)], axis=0))
+        for (t, _), v, e in zip(parts, low, error, strict=True):
+            k = np.flatnonzero(v - e <= upper)
+            if not len(k):
+                continue
+            may = np.flatnonzero(z[k] @ q[t].T <= np.nextafter((upper + e)[k].astype(np.float32), np.float32(np.inf))[:, None])
+            i, j = np.divmod(may, len(q[t]))
+            k += s
+            if len(may) > MAY * len(k):
+                out[k] = np.minimum(out[k], squares(a[k], b[t]).min(axis=1))
+            else:
+                np.minimum.at(out, k[i], apart(a, b, k[i], j + t.start))
     return out
 
 
-def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The squared distance of each row to the nearest of ``b``."""
-    return np.concatenate([squares(a[s], b).min(axis=1) for s in tiles(len(a), len(b))])
+def apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of stated pairs of rows by differences, in slices of bounded size."""
+    out = np.empty(len(i))
+    step = max(1, TILE // max(1, b.shape[1]))
+    for s in range(0, len(i), step):
+        out[s : s + step] = ((a[i[s : s + step]] - b[j[s : s + step]]) ** 2).sum(axis=1)
+    return out
 
 
 def matrix(x: pd.Series) -> np.ndarray:

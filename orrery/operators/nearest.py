@@ -9,7 +9,8 @@ rows, so the nearest of them bounds the distance at first; the ring that promise
 tightens it; then only rings within the bound are compared. Nothing is lost: a ring is
 skipped only if its best row cannot be nearer than one already found. Which ring a query
 asks for never leaves the task, so where nothing can be ruled out (noise) the cost is
-that of all pairs and the memory still that of two blocks.
+that of all pairs and the memory still that of two blocks; a query that the pivots leave
+with most of a block meets it whole, as many small rings would cost more than they spare.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PIVOTS = 256
 RING, QUERIES = 1024, 4096
 #: Distances are compared with this much room, relative to their size, for rounding.
 SLACK = 1e-9
+#: A query that may find its nearest row in this share of a block or more meets the block without rings.
+WHOLE = 0.5
 
 
 def pivots(gallery: DataFrame, most: int) -> dict[str, np.ndarray]:
@@ -69,18 +72,21 @@ def within(q: np.ndarray, y: np.ndarray, cell: np.ndarray, r: np.ndarray, points
         near, n = at.min(axis=0), compared[s : s + QUERIES]
         at = at[of]
         low = np.maximum(np.maximum(at - hi, lo - at), 0.0)
-        promising = low.argmin(axis=0)
+        whole = size @ (low <= near + SLACK * (near + at)) >= WHOLE * len(y)
 
-        def look(k: int, i: np.ndarray, z=z, near=near, n=n) -> None:
+        def look(rows: slice, i: np.ndarray, z=z, near=near, n=n) -> None:
             if len(i):
                 some = z if len(i) == len(z) else z[i]
-                near[i] = np.minimum(near[i], np.sqrt(blocks.nearest(some, y[start[k] : end[k]])))
-                n[i] += size[k]
-
-        for k in np.unique(promising):
-            look(k, np.flatnonzero(promising == k))
-        for k in range(len(start)):
-            look(k, np.flatnonzero((low[k] <= near + SLACK * (near + at[k])) & (promising != k)))
+                near[i] = np.sqrt(blocks.nearest(some, y[rows], near[i] ** 2))
+                n[i] += rows.stop - rows.start
+
+        look(slice(0, len(y)), np.flatnonzero(whole))
+        promising = np.where(whole, -1, low.argmin(axis=0))
+        for k in np.unique(promising[~whole]):
+            look(slice(start[k], end[k]), np.flatnonzero(promising == k))
+        if not whole.all():
+            for k in range(len(start)):
+                look(slice(start[k], end[k]), np.flatnonzero((low[k] <= near + SLACK * (near + at[k])) & (promising != k) & ~whole))
         best[s : s + QUERIES] = near
     return best, compared
 
