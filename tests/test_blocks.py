@@ -95,3 +95,19 @@ def test_search_in_noise_writes_no_pairs(spark):
     assert sum(sizes) <= 3 * (len(q) + len(g))
     u = used.first()
     assert u["pairs"] == len(q) * len(g) and u["pairs"] / 2 < u["compared"] <= u["pairs"]
+
+
+def test_cells_of_a_tuning_grid_meet_queries_in_small_tiles(spark, monkeypatch):
+    """What a worker holds of one group beyond its rows does not follow their product (480 MB here)."""
+    kept, (x, y, q, r) = in_process(monkeypatch), frames(3000, 20_000)
+    few = rows(spark, x[:2])
+    nearest.direct(few, few.selectExpr("x", "'a' AS kind"), "kind")
+    r["grp"] = r.kind
+    tracemalloc.start()
+    got = kept[0](q, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    for k in "ab":
+        mine = got[got.grp == k]
+        assert np.allclose(mine.d2[:20], exact(x[:20], y["ab".index(k) :: 2]).min(axis=1), rtol=1e-12) and len(mine) == 3000
